@@ -28,6 +28,7 @@ ADD_A = 11
 MUL_B = 16807
 ADD_B = 7
 CHAIN = 65599
+ROW_KEY_SEED = 7919
 
 
 # ---------------------------------------------------------------- Column API
@@ -39,15 +40,27 @@ def mix(x) -> Column:
     """One mixing round: LCG step, then a quadratic step, modulo 2**31-1."""
     a = F.pmod(_c(x).cast("bigint"), F.lit(MODULUS))
     b = (a * MUL_A + ADD_A) % MODULUS
-    return ((b * b) % MODULUS + b * MUL_B + ADD_B) % MODULUS
+    # b * (b + MUL_B) + ADD_B  (mod M), with b written twice, not three times
+    return (b * ((b + MUL_B) % MODULUS) + ADD_B) % MODULUS
+
+
+def _mix_int(x: int) -> int:
+    a = int(x) % MODULUS
+    b = (a * MUL_A + ADD_A) % MODULUS
+    return (b * ((b + MUL_B) % MODULUS) + ADD_B) % MODULUS
 
 
 def chain(seed: int, *values) -> Column:
-    """Hash of a short list of BIGINT values (nest depth = len(values))."""
-    h = mix(F.lit(int(seed)))
-    for v in values:
-        h = mix(h * CHAIN + F.pmod(_c(v).cast("bigint"), F.lit(MODULUS)))
-    return h
+    """Hash of a list of BIGINT values.  The fold runs in ``aggregate`` so
+    the running hash is a lambda variable: the expression does not grow
+    with the number of values (no re-inlined sub-trees, no 64 KB methods)."""
+    h0 = F.lit(_mix_int(seed)).cast("bigint")
+    if not values:
+        return h0
+    if len(values) == 1:
+        return mix(h0 * CHAIN + F.pmod(_c(values[0]).cast("bigint"), F.lit(MODULUS)))
+    arr = F.array(*[_c(v).cast("bigint") for v in values])
+    return F.aggregate(arr, h0, lambda h, x: mix(h * CHAIN + F.pmod(x, F.lit(MODULUS))))
 
 
 def uniform(seed: int, *values) -> Column:
@@ -57,13 +70,11 @@ def uniform(seed: int, *values) -> Column:
 
 def with_row_key(df: DataFrame, key_cols: Sequence, out: str = "rk",
                  seed: int = 0) -> DataFrame:
-    """Adds ``out``: hash of many key columns, one projection per column so
-    the expression tree stays linear (no repeated sub-trees)."""
-    tmp = f"__{out}_h"
-    df = df.withColumn(tmp, mix(F.lit(int(seed))))
-    for k in key_cols:
-        df = df.withColumn(tmp, mix(F.col(tmp) * CHAIN + F.pmod(_c(k).cast("bigint"), F.lit(MODULUS))))
-    return df.withColumnRenamed(tmp, out)
+    """Adds ``out``: a ~62-bit hash of the key columns (a table's unique
+    key), two independent chains side by side, so distinct keys do not
+    collide in practice.  Draws use ``out mod 2**31-1`` (the second chain)."""
+    return df.withColumn(out, chain(seed + ROW_KEY_SEED, *key_cols) * MODULUS
+                         + chain(seed, *key_cols))
 
 
 def poisson_cdf(rate: float, tail: float = 1e-12) -> list[float]:
@@ -109,11 +120,10 @@ def _fmt(x: float) -> str:
 
 
 def mix_sql(x: str) -> str:
-    """SQL for ``mix``; the argument text is used once, then aliased steps
-    are avoided by nesting only the LCG result twice."""
+    """SQL text for ``mix`` (the argument text appears twice)."""
     a = f"((CAST({x} AS BIGINT) % {MODULUS} + {MODULUS}) % {MODULUS})"
     b = f"(({a} * {MUL_A} + {ADD_A}) % {MODULUS})"
-    return f"((({b} * {b}) % {MODULUS} + {b} * {MUL_B} + {ADD_B}) % {MODULUS})"
+    return f"(({b} * (({b} + {MUL_B}) % {MODULUS}) + {ADD_B}) % {MODULUS})"
 
 
 def chain_select_items(alias: str, seed: int, values: Sequence[str]) -> list[str]:
@@ -131,6 +141,13 @@ def chain_select_items(alias: str, seed: int, values: Sequence[str]) -> list[str
     return items
 
 
+def row_key_sql(alias: str, seed: int, values: Sequence[str]) -> list[str]:
+    """SELECT items for ``with_row_key``'s 62-bit key."""
+    hi = chain_select_items(f"{alias}_hi", seed + ROW_KEY_SEED, values)
+    lo = chain_select_items(f"{alias}_lo", seed, values)
+    return hi + lo + [f"{alias}_hi * {MODULUS} + {alias}_lo AS {alias}"]
+
+
 def uniform_sql(h: str) -> str:
     return f"(CAST({h} AS DOUBLE) / CAST({MODULUS} AS DOUBLE))"
 
@@ -153,7 +170,7 @@ def bag_weight_sql(u: str, num_trees: int, rate: float = 1.0) -> str:
 def mix_np(x) -> np.ndarray:
     a = np.mod(np.asarray(x, dtype=np.int64), MODULUS)
     b = (a * MUL_A + ADD_A) % MODULUS
-    return ((b * b) % MODULUS + b * MUL_B + ADD_B) % MODULUS
+    return (b * ((b + MUL_B) % MODULUS) + ADD_B) % MODULUS
 
 
 def chain_np(seed: int, *values) -> np.ndarray:

@@ -104,8 +104,7 @@ def unordered_subsets(arity_df: DataFrame) -> DataFrame:
     s = arity_df.select("feature", "arity", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
                         .alias("split_idx"))
     mask = F.col("split_idx") + 1
-    cats = F.filter(F.sequence(F.lit(0), F.col("arity") - 1),
-                    lambda c: F.shiftright(mask, c).bitwiseAND(1) == 1)
+    cats = F.expr("filter(sequence(0, arity - 1), c -> ((split_idx + 1) >> c) & 1 = 1)")
     return s.select("feature", F.col("split_idx").cast("int").alias("split_idx"),
                     mask.alias("left_mask"),
                     F.array_join(cats, ",").alias("categories"))

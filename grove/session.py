@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "grove") -> SparkSession:
     """A local session configured the way the tests and the bench expect."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -31,6 +31,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes ``grove`` importable by Python workers: the package is zipped
+    once per SparkContext and added with ``addPyFile`` (on a cluster this is
+    how it reaches every executor)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_grove_shipped", False):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="grove-pkg-"), "grove.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._grove_shipped = True
 
 
 def work_dir(spark: SparkSession) -> str:
