@@ -385,3 +385,190 @@ def best_split_continuous(spark, sf):
                       F.col("feature") + 1)
     return b.select("feature", "split_idx", F.element_at(th, F.col("split_idx") + 1).alias("threshold"),
                     rnd("gain").alias("gain"))
+
+
+# ============================================================ trees / forests
+def _fit(spark, df, spec, **kw):
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    return IncrementalForest(spec, ForestParams(**kw)).fit(df)
+
+
+def _nodes_out(model, spark, C=2):
+    n = model.nodes_df(spark)
+    return n.select("tree_id", "node_id", "is_leaf", "feature", "split_idx",
+                    F.when(F.col("is_leaf"), F.lit(0.0)).otherwise(rnd("gain")).alias("gain"),
+                    *[rnd(F.col("stats")[c]).alias(f"c{c}") for c in range(C)])
+
+
+def _nodes_sql(fs, C=2):
+    return (f"{fs['with']} SELECT CAST(tree_id AS INTEGER) AS tree_id, node_id, is_leaf, "
+            f"CAST(feature AS INTEGER) AS feature, CAST(split_idx AS INTEGER) AS split_idx, "
+            f"{O.r6('gain')} AS gain, " + ", ".join(O.r6(f"c{c}") + f" AS c{c}" for c in range(C))
+            + " FROM nodes")
+
+
+TREE = dict(num_trees=1, max_depth=3, seed=0)
+FOREST = dict(num_trees=5, max_depth=3, seed=0)  # sqrt of 4 features -> 2 per node
+ERF = dict(num_trees=3, max_depth=2, seed=0, erf=True)
+REG = dict(num_trees=1, max_depth=3, seed=0, impurity="variance")
+REG_FEATURES = ["l_discount", "l_tax", "l_extendedprice"]
+
+
+def _tree_sql():
+    return _nodes_sql(O.forest_sql(FX.hyperplane_sql(), FX.HYPER_FEATURES, num_trees=1, max_depth=3))
+
+
+@query("tree_nodes", _tree_sql)
+def tree_nodes(spark, sf):
+    """One tree (no bagging, all features), depth 3, node table."""
+    m = _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), **TREE)
+    return _nodes_out(m, spark)
+
+
+def _forest_sql_dict():
+    return O.forest_sql(FX.hyperplane_sql(), FX.HYPER_FEATURES, num_trees=5, max_depth=3,
+                        subset_k=2)
+
+
+@query("forest_nodes", lambda: _nodes_sql(_forest_sql_dict()))
+def forest_nodes(spark, sf):
+    """T9 with bagging (B3) and per-node feature subsets."""
+    m = _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), **FOREST)
+    return _nodes_out(m, spark)
+
+
+@query("erf_nodes", lambda: _nodes_sql(O.forest_sql(
+    FX.hyperplane_sql(), FX.HYPER_FEATURES, num_trees=3, max_depth=2, subset_k=2, erf=True)))
+def erf_nodes(spark, sf):
+    """Extremely randomised splits (one hashed threshold per feature)."""
+    m = _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), **ERF)
+    return _nodes_out(m, spark)
+
+
+def _reg_base_sql():
+    return (f"SELECT rk, CAST(l_quantity AS DOUBLE) AS label, {', '.join(REG_FEATURES)} "
+            f"FROM ({FX.hyperplane_sql()})")
+
+
+def _reg_df(spark, sf):
+    return FX.hyperplane(spark, sf).select("rk", F.col("l_quantity").alias("label"), *REG_FEATURES)
+
+
+@query("regression_tree_nodes", lambda: _nodes_sql(O.forest_sql(
+    _reg_base_sql(), REG_FEATURES, num_trees=1, max_depth=3, kind="variance", num_classes=0), 3))
+def regression_tree_nodes(spark, sf):
+    """Variance tree predicting l_quantity (count, sum, sum of squares)."""
+    from grove.operators.features import FeatureSpec
+    spec = FeatureSpec(list(REG_FEATURES), [0] * 3, "label", 0)
+    m = _fit(spark, _reg_df(spark, sf), spec, **REG)
+    return _nodes_out(m, spark, 3)
+
+
+def _pred_sql(fs, depth, base_filter="", pred_only=False):
+    route = O.route_sql("SELECT * FROM binned" + base_filter, "SELECT * FROM nodes", depth)
+    return f"""{fs['with']},
+    leafs AS ({route}),
+    votes AS (SELECT l.rk, sum(CASE WHEN n.c0 + n.c1 > 0 THEN n.c0 / (n.c0 + n.c1) ELSE 0 END) AS r0,
+                     sum(CASE WHEN n.c0 + n.c1 > 0 THEN n.c1 / (n.c0 + n.c1) ELSE 0 END) AS r1
+              FROM leafs l JOIN nodes n ON n.tree_id = l.tree_id AND n.node_id = l.node_id
+              GROUP BY l.rk),
+    pred AS (SELECT v.rk, b.label, CASE WHEN r1 > r0 THEN 1.0 ELSE 0.0 END AS prediction,
+                    CASE WHEN r0 + r1 > 0 THEN r1 / (r0 + r1) ELSE 0.0 END AS p1
+             FROM votes v JOIN base b ON b.rk = v.rk)"""
+
+
+def _forest_model(spark, sf):
+    return _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), **FOREST)
+
+
+def _forest_scored(spark, sf, df=None):
+    m = _forest_model(spark, sf)
+    df = FX.hyperplane(spark, sf) if df is None else df
+    return m.transform(df, keep=["rk", "label"]).select(
+        "rk", "label", "prediction", F.col("probability")[1].alias("p1")), m
+
+
+@query("forest_predictions",
+       lambda: _pred_sql(_forest_sql_dict(), 3) + f" SELECT rk, prediction, {O.r6('p1')} AS p1 FROM pred")
+def forest_predictions(spark, sf):
+    """M1-M4: weighted votes of leaf class shares, normalised; argmax."""
+    s, _ = _forest_scored(spark, sf)
+    return s.select("rk", "prediction", rnd("p1").alias("p1"))
+
+
+@query("tree_predictions", lambda: _pred_sql(
+    O.forest_sql(FX.hyperplane_sql(), FX.HYPER_FEATURES, num_trees=1, max_depth=3), 3)
+    + " SELECT rk, prediction FROM pred")
+def tree_predictions(spark, sf):
+    """M5: single-tree majority prediction."""
+    from grove.operators.score import transform_tree
+    m = _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), **TREE)
+    return transform_tree(m, FX.hyperplane(spark, sf), 0, keep=["rk"]).select("rk", "prediction")
+
+
+@query("accuracy", lambda: _pred_sql(_forest_sql_dict(), 3)
+       + f" SELECT {O.r6('avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END)')} AS accuracy, "
+         "count(*) AS n FROM pred")
+def accuracy(spark, sf):
+    """Share of correct predictions (micro precision)."""
+    from grove.operators.evaluate import accuracy as acc
+    s, _ = _forest_scored(spark, sf)
+    return acc(s)
+
+
+@query("confusion", lambda: _pred_sql(_forest_sql_dict(), 3)
+       + " SELECT label, prediction, count(*) AS n FROM pred GROUP BY ALL")
+def confusion(spark, sf):
+    """E1 detail: confusion counts."""
+    from grove.operators.evaluate import confusion as conf
+    s, _ = _forest_scored(spark, sf)
+    return conf(s)
+
+
+def _imp_sql():
+    fs = _forest_sql_dict()
+    return f"""{fs['with']},
+    per AS (SELECT tree_id, feature, sum(gain * (c0 + c1)) AS g FROM nodes WHERE NOT is_leaf
+            GROUP BY ALL),
+    norm AS (SELECT feature, g / sum(g) OVER (PARTITION BY tree_id) AS g FROM per)
+    SELECT CAST(feature AS INTEGER) AS feature, {O.r6('sum(g) / (SELECT sum(g) FROM norm)')} AS importance
+    FROM norm GROUP BY feature"""
+
+
+@query("feature_importance", _imp_sql)
+def feature_importance(spark, sf):
+    """M7: gain x count per tree and feature, normalised per tree, summed,
+    normalised."""
+    from grove.operators.inspect import feature_importance as fi
+    m = _forest_model(spark, sf)
+    return fi(m.nodes_df(spark)).select("feature", rnd("importance").alias("importance"))
+
+
+@query("tree_shape", lambda: f"""{_forest_sql_dict()['with']}
+    SELECT CAST(tree_id AS INTEGER) AS tree_id, count(*) AS num_nodes,
+           CAST(sum(CASE WHEN is_leaf THEN 1 ELSE 0 END) AS BIGINT) AS num_leaves,
+           CAST(max(floor(log2(node_id))) AS INTEGER) AS depth FROM nodes GROUP BY tree_id""")
+def tree_shape(spark, sf):
+    """M8: node count, leaf count, depth per tree."""
+    from grove.operators.inspect import tree_shape as ts
+    return ts(_forest_model(spark, sf).nodes_df(spark))
+
+
+def _rules_sql():
+    fs = _forest_sql_dict()
+    return f"""{fs['with']},
+    anc AS (SELECT l.tree_id, l.node_id AS leaf, k.k, l.node_id >> k.k AS anc,
+                   (l.node_id >> (k.k - 1)) & 1 AS side
+            FROM nodes l, range(1, 31) k(k) WHERE l.is_leaf AND (l.node_id >> k.k) >= 1)
+    SELECT CAST(a.tree_id AS INTEGER) AS tree_id, a.leaf AS node_id,
+           string_agg('f' || CAST(n.feature AS VARCHAR) || CASE WHEN a.side = 0 THEN ' <= ' ELSE ' > ' END
+                      || CAST(n.split_idx AS VARCHAR), ' and ' ORDER BY a.k DESC) AS rule
+    FROM anc a JOIN nodes n ON n.tree_id = a.tree_id AND n.node_id = a.anc GROUP BY ALL"""
+
+
+@query("tree_rules", _rules_sql)
+def tree_rules(spark, sf):
+    """M9: one rule per leaf below the root: the path as text."""
+    from grove.operators.inspect import tree_rules as tr
+    return tr(_forest_model(spark, sf).nodes_df(spark), style="bins").select("tree_id", "node_id", "rule")
