@@ -572,3 +572,367 @@ def tree_rules(spark, sf):
     """M9: one rule per leaf below the root: the path as text."""
     from grove.operators.inspect import tree_rules as tr
     return tr(_forest_model(spark, sf).nodes_df(spark), style="bins").select("tree_id", "node_id", "rule")
+
+
+# ======================================================================= L
+SUMMARY_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _summary_sql():
+    parts = []
+    for f in SUMMARY_FEATURES:
+        w = "(label + 1.0)"
+        s1, s2, W, W2 = f"sum({w} * {f})", f"sum({w} * {f} * {f})", f"sum({w})", f"sum({w} * {w})"
+        var = f"greatest(CASE WHEN {W} - {W2} / {W} > 0 THEN ({s2} - {s1} * {s1} / {W}) / ({W} - {W2} / {W}) ELSE 0.0 END, 0.0)"
+        parts.append(
+            f"SELECT '{f}' AS feature, count({f}) AS count, {O.r6(f'{s1} / {W}')} AS mean, "
+            f"{O.r6(var)} AS variance, {O.r6(f'min({f})')} AS min, {O.r6(f'max({f})')} AS max, "
+            f"{O.r6(f'sum(CASE WHEN {f} <> 0 THEN {w} ELSE 0.0 END)')} AS num_nonzeros, "
+            f"{O.r6(f'sum({w} * abs({f}))')} AS norm_l1, {O.r6(f'sqrt({s2})')} AS norm_l2 "
+            f"FROM ({FX.hyperplane_sql()})")
+    return " UNION ALL ".join(parts)
+
+
+def _round_summary(df):
+    return df.select("feature", "count", *[rnd(c).alias(c) for c in
+                     ["mean", "variance", "min", "max", "num_nonzeros", "norm_l1", "norm_l2"]])
+
+
+@query("column_summary", _summary_sql)
+def column_summary(spark, sf):
+    """L1: weighted count, mean, unbiased variance, min, max, non-zeros, norms."""
+    h = FX.hyperplane(spark, sf).withColumn("w", F.col("label") + 1.0)
+    return _round_summary(L.column_summary(h, SUMMARY_FEATURES, "w"))
+
+
+@query("column_summary_merged", _summary_sql)
+def column_summary_merged(spark, sf):
+    """L2: moments of two batches merged exactly = summary of their union."""
+    h = B.split_batches(FX.hyperplane(spark, sf).withColumn("w", F.col("label") + 1.0), 2,
+                        holdout=False)
+    m0 = L.moments(h.where(F.col("batch") == 0), SUMMARY_FEATURES, "w")
+    m1 = L.moments(h.where(F.col("batch") == 1), SUMMARY_FEATURES, "w")
+    return _round_summary(L.summary_from_moments(L.merge_moments(m0, m1)))
+
+
+@query("joint_label_histogram", f"""
+SELECT label, {O.r6('sum(label + 1.0)')} AS weight, count(*) AS n, true AS valid
+FROM ({FX.hyperplane_sql()}) GROUP BY label""")
+def joint_label_histogram(spark, sf):
+    """L4: label histogram from the same single scan as the feature moments."""
+    h = FX.hyperplane(spark, sf).withColumn("w", F.col("label") + 1.0)
+    _, labels = L.joint_summary(h, SUMMARY_FEATURES, "label", "w")
+    return labels.select("label", rnd("weight").alias("weight"), "n", "valid")
+
+
+LR_BETA = [0.5, -0.25, 0.1]
+LR_B = -0.2
+LR_REG = 0.1
+
+
+def _lr_sql():
+    sd = {f: f"(SELECT sqrt(var_samp({f})) FROM lineitem)" for f in SUMMARY_FEATURES}
+    m = f"{LR_B}" + "".join(f" + {f} * ({b} / {sd[f]})" for f, b in zip(SUMMARY_FEATURES, LR_BETA))
+    loss = (f"CASE WHEN m > 0 THEN m + ln(1 + exp(-m)) ELSE ln(1 + exp(m)) END - label * m")
+    mult = "(1.0 / (1.0 + exp(-m)) - label)"
+    pen = 0.5 * LR_REG * sum(b * b for b in LR_BETA)
+    grads = " UNION ALL ".join(
+        f"SELECT 'g{i}' AS name, {O.r6(f'sum({mult} * {f} / {sd[f]}) / count(*) + {LR_REG * b}')} AS value FROM d"
+        for i, (f, b) in enumerate(zip(SUMMARY_FEATURES, LR_BETA)))
+    return (f"WITH d AS (SELECT *, {m} AS m FROM ({FX.hyperplane_sql()})) "
+            f"SELECT 'loss' AS name, {O.r6(f'sum({loss}) / count(*) + {pen}')} AS value FROM d "
+            f"UNION ALL {grads} UNION ALL "
+            f"SELECT 'g_intercept' AS name, {O.r6(f'sum({mult}) / count(*)')} AS value FROM d")
+
+
+@query("logistic_loss_gradient", _lr_sql)
+def logistic_loss_gradient(spark, sf):
+    """Loss and gradient at fixed standardised coefficients, L2 penalty."""
+    import numpy as np
+    from grove.operators import logistic as LG
+    h = FX.hyperplane(spark, sf)
+    sd = LG.stds(h, SUMMARY_FEATURES)
+    row = LG.loss_gradient_frame(h, SUMMARY_FEATURES, LR_BETA, LR_B, sd).first()
+    loss, g, gi = LG.objective(row, np.array(LR_BETA), LR_REG, len(LR_BETA))
+    vals = [("loss", loss)] + [(f"g{i}", float(x)) for i, x in enumerate(g)] + [("g_intercept", gi)]
+    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in vals], "name string, value double")
+
+
+LR_COEF = [0.1, 5.0, 3.0]
+LR_INTERCEPT = -3.0
+
+
+@query("logistic_score", lambda: f"""
+SELECT rk, {O.r6('1.0 / (1.0 + exp(-m))')} AS probability,
+       CASE WHEN m > 0.0 THEN 1.0 ELSE 0.0 END AS prediction
+FROM (SELECT rk, CAST({LR_INTERCEPT} AS DOUBLE) + l_quantity * CAST({LR_COEF[0]} AS DOUBLE)
+      + l_discount * CAST({LR_COEF[1]} AS DOUBLE) + l_tax * CAST({LR_COEF[2]} AS DOUBLE) AS m
+      FROM ({FX.hyperplane_sql()}))""")
+def logistic_score(spark, sf):
+    """Margin, sigmoid, threshold (t and the pair (1-t, t) agree)."""
+    from grove.operators import logistic as LG
+    h = FX.hyperplane(spark, sf)
+    s = LG.score(h, SUMMARY_FEATURES, LR_COEF, LR_INTERCEPT, 0.5, thresholds=[0.5, 0.5])
+    return s.select("rk", rnd("probability").alias("probability"), "prediction")
+
+
+@query("logistic_warm_fit")
+def logistic_warm_fit(spark, sf):
+    """L-BFGS fit started from given coefficients; coefficients
+    and the objective per iteration."""
+    from grove.operators import logistic as LG
+    h = FX.hyperplane(spark, sf)
+    m = LG.fit(h, SUMMARY_FEATURES, reg=0.01, max_iter=50, init_coefficients=LR_COEF,
+               init_intercept=LR_INTERCEPT)
+    rows = [(f, float(c)) for f, c in zip(SUMMARY_FEATURES, m.coefficients)]
+    rows.append(("intercept", m.intercept))
+    rows += [(f"objective_{i}", float(v)) for i, v in enumerate(m.objective_history)]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+# ====================================================== curves
+def _curve_sql(select: str) -> str:
+    return _pred_sql(_forest_sql_dict(), 3) + f""",
+    per AS (SELECT round(p1, 6) AS s, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+                   sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM pred GROUP BY 1),
+    rk AS (SELECT *, row_number() OVER (ORDER BY s DESC) AS rnk, count(*) OVER () AS nd FROM per),
+    bins AS (SELECT CASE WHEN nd // 100 >= 2 THEN (rnk - 1) // (nd // 100) ELSE rnk - 1 END AS bin,
+                    max(s) AS threshold, sum(pos) AS pos, sum(neg) AS neg FROM rk GROUP BY 1),
+    cum AS (SELECT *, sum(pos) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum_pos,
+                      sum(neg) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum_neg,
+                      sum(pos) OVER () AS total_pos, sum(neg) OVER () AS total_neg FROM bins),
+    roc AS (SELECT CAST(0 AS BIGINT) AS point, 0.0 AS fpr, 0.0 AS tpr
+            UNION ALL SELECT bin + 1, cum_neg / total_neg, cum_pos / total_pos FROM cum
+            UNION ALL SELECT max(bin) + 2, 1.0, 1.0 FROM cum)
+    {select}"""
+
+
+def _bins(spark, sf):
+    from grove.operators.evaluate import score_bins
+    s, _ = _forest_scored(spark, sf)
+    return score_bins(s.select("label", F.round("p1", 6).alias("score")))
+
+
+@query("roc_curve", lambda: _curve_sql(
+    f"SELECT point, {O.r6('fpr')} AS fpr, {O.r6('tpr')} AS tpr FROM roc"))
+def roc_curve(spark, sf):
+    """ROC points of the forest's class-1 probability (100 bins)."""
+    from grove.operators.evaluate import roc_curve as rc
+    r = rc(_bins(spark, sf))
+    return r.select("point", rnd("fpr").alias("fpr"), rnd("tpr").alias("tpr"))
+
+
+@query("auc", lambda: _curve_sql(
+    f"SELECT {O.r6('sum((fpr - pf) * (tpr + pt) / 2.0)')} AS auc FROM (SELECT *, lag(fpr) OVER "
+    f"(ORDER BY point) AS pf, lag(tpr) OVER (ORDER BY point) AS pt FROM roc)"))
+def auc(spark, sf):
+    """Trapezoid area under the ROC curve."""
+    from grove.operators.evaluate import auc as a, roc_curve as rc
+    return a(rc(_bins(spark, sf))).select(rnd("auc").alias("auc"))
+
+
+@query("pr_curve", lambda: _curve_sql(
+    f"SELECT CAST(0 AS BIGINT) AS point, 0.0 AS recall, 1.0 AS precision UNION ALL "
+    f"SELECT bin + 1, {O.r6('cum_pos / total_pos')}, {O.r6('cum_pos / (cum_pos + cum_neg)')} FROM cum"))
+def pr_curve(spark, sf):
+    """Precision-recall points, (0, 1) first."""
+    from grove.operators.evaluate import pr_curve as pc
+    r = pc(_bins(spark, sf))
+    return r.select("point", rnd("recall").alias("recall"), rnd("precision").alias("precision"))
+
+
+@query("metrics_by_threshold", lambda: _curve_sql(
+    f"SELECT threshold, {O.r6('p')} AS precision, {O.r6('r')} AS recall, "
+    f"{O.r6('CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END')} AS f_measure FROM "
+    f"(SELECT threshold, cum_pos / (cum_pos + cum_neg) AS p, cum_pos / total_pos AS r FROM cum)"))
+def metrics_by_threshold(spark, sf):
+    """Precision, recall, F1 per threshold."""
+    from grove.operators.evaluate import metrics_by_threshold as mt
+    r = mt(_bins(spark, sf))
+    return r.select("threshold", rnd("precision").alias("precision"), rnd("recall").alias("recall"),
+                    rnd("f_measure").alias("f_measure"))
+
+
+# ============================================================ update (I)
+FATE_R, FATE_P = 0.3, 0.4
+
+
+def _fates_sql():
+    from grove.operators.sampling import SEED_FATE
+    i1, u1 = O.hash_u("f1", SEED_FATE, ["1", "tree_id", "1"])
+    i2, u2 = O.hash_u("f2", SEED_FATE, ["1", "tree_id", "2"])
+    keep = 1 - FATE_R / (1 - FATE_P)
+    return (f"SELECT CAST(tree_id AS INTEGER) AS tree_id, {O.r6('1.0 - 1.0 / 5')} AS weight, "
+            f"CASE WHEN 1.0 - 1.0 / 5 < 0.1 THEN 'replace' WHEN {u1} < {FATE_P} THEN 'grow' "
+            f"WHEN {u2} < {keep!r} THEN 'keep' ELSE 'replace' END AS fate "
+            f"FROM (SELECT tree_id, {i1}, {i2} FROM range(5) t(tree_id))")
+
+
+@query("tree_fates", _fates_sql)
+def tree_fates(spark, sf):
+    """Decayed weights and the fate each tree draws for version 1."""
+    from grove.operators.forest import fate_column
+    t = _forest_model(spark, sf).trees_df(spark)
+    t = t.withColumn("weight", F.col("weight") - 1.0 / 5)
+    return t.select("tree_id", rnd("weight").alias("weight"),
+                    fate_column(F.col("weight"), F.col("max_depth"), F.col("tree_id"), 1, FATE_R,
+                                FATE_P, 0).alias("fate"))
+
+
+@query("update_forest")
+def update_forest(spark, sf):
+    """I4-I8: fit on one half, update with the other (grow / keep / replace),
+    leaf statistics merged; returns the new version's trees."""
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    h = B.split_batches(FX.hyperplane(spark, sf), 2, holdout=False)
+    est = IncrementalForest(FX.hyperplane_spec(), ForestParams(
+        num_trees=5, max_depth=3, seed=0, regrow_prop=FATE_R, incremental_prop=FATE_P))
+    m0 = est.fit(h.where(F.col("batch") == 0))
+    m1 = est.update(m0, h.where(F.col("batch") == 1))
+    return m1.trees_df(spark)
+
+
+@query("add_trees")
+def add_trees(spark, sf):
+    """Warm start - two more trees on the model's frozen splits."""
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    h = B.split_batches(FX.hyperplane(spark, sf), 2, holdout=False)
+    est = IncrementalForest(FX.hyperplane_spec(), ForestParams(num_trees=3, max_depth=3, seed=0))
+    m = est.add_trees(est.fit(h.where(F.col("batch") == 0)), h.where(F.col("batch") == 1), 2)
+    return m.trees_df(spark)
+
+
+def _leaf_ids_sql():
+    fs = _forest_sql_dict()
+    return (f"{fs['with']} SELECT rk, CAST(tree_id AS INTEGER) AS tree_id, node_id FROM "
+            f"({O.route_sql('SELECT * FROM binned', 'SELECT * FROM nodes', 3)})")
+
+
+@query("leaf_ids", _leaf_ids_sql)
+def leaf_ids(spark, sf):
+    """A2: the leaf each row reaches in each tree."""
+    from grove.operators.score import leaf_ids as li
+    m = _forest_model(spark, sf)
+    d = li(m, FX.hyperplane(spark, sf), keep=["rk"])
+    return d.select("rk", F.posexplode("node_ids").alias("tree_id", "node_id"))
+
+
+def _subset_sql():
+    fs = _forest_sql_dict()
+    items, u = O.hash_u("sh", B.SEED_SUBSET, ["0", "n.tree_id", "n.node_id", "f.feature"])
+    return (f"{fs['with']} SELECT CAST(tree_id AS INTEGER) AS tree_id, node_id, "
+            f"CAST(feature AS INTEGER) AS feature FROM (SELECT n.tree_id, n.node_id, f.feature, "
+            f"{items}, row_number() OVER (PARTITION BY n.tree_id, n.node_id ORDER BY {u}, "
+            f"f.feature) AS r FROM nodes n, range(4) f(feature) WHERE NOT n.is_leaf) WHERE r <= 2")
+
+
+@query("feature_subset", _subset_sql)
+def feature_subset(spark, sf):
+    """The features each internal node of the forest considered."""
+    m = _forest_model(spark, sf)
+    nodes = m.nodes_df(spark).where(~F.col("is_leaf")).select("tree_id", "node_id")
+    return B.feature_subsets(nodes, 4, 2)
+
+
+# ====================================================== E2-E5, I13, S1-S5
+def _events_batches(spark, sf, n=3):
+    return B.split_batches(FX.events(spark, sf), n)
+
+
+@query("prequential_errors")
+def prequential_errors(spark, sf):
+    """E2 + S5: test on the next batch, then update with it."""
+    from grove.operators.evaluate import prequential
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=5, max_depth=3, seed=0))
+    return prequential(est.fit, est.update, lambda m, d: m.transform(d),
+                       _events_batches(spark, sf), holdout=3)
+
+
+@query("policy_grid")
+def policy_grid(spark, sf):
+    """Hold-out error for (regrow, incremental) pairs on a grid (step
+    0.5 here; the function's default is the 0.1 grid)."""
+    from grove.operators.evaluate import policy_grid as grid, prequential
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    batches = _events_batches(spark, sf, 2).persist()
+    out = None
+    for r, p in grid(0.5):
+        est = IncrementalForest(FX.events_spec(), ForestParams(
+            num_trees=3, max_depth=3, seed=0, regrow_prop=r, incremental_prop=p))
+        m = prequential(est.fit, est.update, lambda m, d: m.transform(d), batches, holdout=2,
+                        regrow=r, incremental=p)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("control_errors")
+def control_errors(spark, sf):
+    """E5 + B5: built-in forest retrained on all batches seen so far."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    batches = _events_batches(spark, sf)
+    va = VectorAssembler(inputCols=FX.EVENT_FEATURES, outputCol="features")
+    test = va.transform(batches.where(F.col("batch") == 3))
+    rows, seen = [], []
+    for b in range(3):
+        seen.append(batches.where(F.col("batch") == b))
+        train = va.transform(B.union_batches(seen))
+        m = RandomForestClassifier(numTrees=5, maxDepth=3, seed=0).fit(train)
+        acc = m.transform(test).select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        rows.append((b, float(1 - acc)))
+    return spark.createDataFrame(rows, "batch int, error double")
+
+
+@query("stream_update")
+def stream_update(spark, sf):
+    """Events as a file stream of three batches; micro-batch 0 fits,
+    the others update; returns the latest trees."""
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    from grove.session import new_work_path
+    from grove.streaming.stream import stream_updates, write_batches
+    ev = _events_batches(spark, sf, 3).where(F.col("batch") < 3)
+    src = new_work_path(spark, "events-stream")
+    write_batches(ev, src, "batch", [0, 1, 2])
+    schema = spark.read.parquet(f"{src}/batch=0").schema
+    est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=3, max_depth=3, seed=0))
+    st = stream_updates(spark, f"{src}/*", schema, est, new_work_path(spark, "stream-model"))
+    return st["model"].trees_df(spark).withColumn("version", F.lit(st["model"].version))
+
+
+@query("csv_scan", "SELECT event_id, event_type, value FROM events")
+def csv_scan(spark, sf):
+    """CSV with header and inferred types (written from the table)."""
+    from grove.session import new_work_path
+    from grove.sources.tables import read_csv
+    path = new_work_path(spark, "events-csv")
+    read_table(spark, sf, "events").select("event_id", "event_type", "value") \
+        .write.option("header", True).csv(path)
+    return read_csv(spark, path)
+
+
+@query("numbered_batches", """
+SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS batch,
+       count(*) AS n FROM events GROUP BY 1""")
+def numbered_batches(spark, sf):
+    """One CSV folder per batch number; the number comes from the path."""
+    from grove.session import new_work_path
+    from grove.sources.tables import read_numbered
+    path = new_work_path(spark, "events-numbered")
+    e = FX.events(spark, sf).select("event_id", F.col("day").alias("d"), "value")
+    e.write.option("header", True).partitionBy("d").csv(path)
+    df = read_numbered(spark, f"{path}/*/*.csv", number_regex=r"d=(\d+)", from_path=True)
+    return df.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("model_roundtrip", lambda: _nodes_sql(_forest_sql_dict()))
+def model_roundtrip(spark, sf):
+    """A saved forest loaded back gives the same nodes."""
+    from grove.operators.forest import ForestModel
+    m = _forest_model(spark, sf)
+    return _nodes_out(ForestModel.load(spark, m.root, m.version), spark)

@@ -46,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
 
 def read_numbered(spark: SparkSession, pattern: str, fmt: str = "csv",
                   number_regex: str = r"(\d+)", batch_col: str = "batch",
-                  **options) -> DataFrame:
+                  from_path: bool = False, **options) -> DataFrame:
     """Numbered batch files as one DataFrame with a ``batch`` column.
 
     ``pattern`` is a glob (``/data/*_processed.csv``); ``number_regex``'s
@@ -57,6 +57,5 @@ def read_numbered(spark: SparkSession, pattern: str, fmt: str = "csv",
     for k, v in options.items():
         reader = reader.option(k, v)
     df = reader.load(pattern)
-    return df.withColumn(
-        batch_col,
-        F.regexp_extract(F.col("_metadata.file_name"), number_regex, 1).cast("int"))
+    src = F.col("_metadata.file_path") if from_path else F.col("_metadata.file_name")
+    return df.withColumn(batch_col, F.regexp_extract(src, number_regex, 1).cast("int"))

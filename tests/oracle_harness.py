@@ -42,7 +42,8 @@ def _norm(v):
 
 def rows(df: pd.DataFrame):
     cols = sorted(df.columns)
-    out = [tuple(_norm(r[c]) for c in cols) for _, r in df.iterrows()]
+    data = [df[c].tolist() for c in cols]  # per column: no row-wise dtype upcast
+    out = [tuple(_norm(v) for v in r) for r in zip(*data)] if cols else []
     return cols, sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
