@@ -51,10 +51,18 @@ def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------- Q2, Q3
-def continuous_thresholds(vc: DataFrame, num_splits: int, buckets: int = 64) -> DataFrame:
+def default_buckets(df: DataFrame) -> int:
+    """Value ranges per feature for the distributed ranking: a few per core
+    of the cluster, so every core gets work and no range grows with it."""
+    return int(min(1024, max(4, 2 * df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def continuous_thresholds(vc: DataFrame, num_splits: int, buckets: int | None = None) -> DataFrame:
     """Q2 + Q3 over value counts ``(feature, v, n)`` ->
-    ``(feature, split_idx, threshold)``."""
+    ``(feature, split_idx, threshold)``.  ``vc`` is read three times
+    (ranges, totals, ranks): persist it when it is expensive."""
     S = int(num_splits)
+    buckets = default_buckets(vc) if buckets is None else buckets
     per_f = vc.groupBy("feature").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("m"))
     ranked = running_sums(vc, ["feature"], "v", ["n"], buckets=buckets)
     ranked = ranked.join(F.broadcast(per_f), "feature")  # one row per feature
@@ -126,18 +134,20 @@ class Splits:
 
 def find_splits(sample: DataFrame, names: Sequence[str], arity: Sequence[int],
                 num_classes: int, max_bins: int, on_constant: str = "ignore",
-                buckets: int = 64) -> tuple[Splits, DataFrame]:
+                buckets: int | None = None) -> tuple[Splits, DataFrame]:
     """Q6: all features in one grouped job.  ``sample`` is the (B2) sample.
     Returns the frozen ``Splits`` and the splits table."""
     cont = [i for i, a in enumerate(arity) if a == 0]
     S = max_bins - 1
     if cont:
-        vc = value_counts(sample, [names[i] for i in cont])
+        from pyspark import StorageLevel
+        vc = value_counts(sample, [names[i] for i in cont]).persist(StorageLevel.MEMORY_AND_DISK)
         tab = continuous_thresholds(vc, S, buckets)
         remap = F.create_map(*[x for j, i in enumerate(cont) for x in (F.lit(j), F.lit(i))])
         tab = tab.select(F.element_at(remap, F.col("feature")).alias("feature"), "split_idx",
                          "threshold")
         rows = tab.collect()  # bounded: features x (max_bins - 1)
+        vc.unpersist()
     else:
         tab = None
         rows = []

@@ -191,8 +191,9 @@ def value_counts(spark, sf):
        lambda: O.thresholds_sql(O.long_sql(FX.hyperplane_sql(), FX.HYPER_FEATURES), MAX_BINS - 1))
 def splits_stride(spark, sf):
     """Q2/Q3 over the whole table (distributed ranks; no group in one task)."""
+    from pyspark import StorageLevel
     vc = Q.value_counts(FX.hyperplane(spark, sf), FX.HYPER_FEATURES)
-    return Q.continuous_thresholds(vc, MAX_BINS - 1)
+    return Q.continuous_thresholds(vc.persist(StorageLevel.MEMORY_AND_DISK), MAX_BINS - 1)
 
 
 def _part_long():
@@ -478,8 +479,16 @@ def _pred_sql(fs, depth, base_filter="", pred_only=False):
              FROM votes v JOIN base b ON b.rk = v.rk)"""
 
 
+_MODELS: dict = {}
+
+
 def _forest_model(spark, sf):
-    return _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), **FOREST)
+    """The shared 5-tree forest; fitted once per session and table folder
+    (it is deterministic), then reused by the scoring/inspection queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), **FOREST)
+    return _MODELS[key]
 
 
 def _forest_scored(spark, sf, df=None):

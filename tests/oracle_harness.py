@@ -11,6 +11,7 @@ import duckdb
 import pandas as pd
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
+sys.path.insert(0, __file__.rsplit("/", 1)[0])
 
 from grove.sources.tables import TABLES  # noqa: E402
 
