@@ -30,6 +30,24 @@ from grove.session import default_parallelism, new_work_path
 from grove.sources import model_store as MS
 
 
+# --------------------------------------------------------------------- I10
+# Update strategies as (regrow_prop, incremental_prop):
+#   default      - no update; retrain on all data seen (B5 + fit)
+#   batched      - grow every tree with each batch
+#   replacement  - replace a share of trees, keep the rest
+#   combined     - grow some, replace some, keep the rest
+PRESETS = {
+    "batched": (0.0, 1.0),
+    "replacement": (0.3, 0.0),
+    "combined": (0.2, 0.5),
+}
+
+
+def preset(name: str, **overrides) -> "G.ForestParams":
+    r, p = PRESETS[name]
+    return G.ForestParams(regrow_prop=r, incremental_prop=p, **overrides)
+
+
 # ---------------------------------------------------------------------- I3
 def fate_uniforms(tree_ids, version: int, seed: int):
     t = np.asarray(tree_ids, dtype=np.int64)

@@ -80,7 +80,10 @@ def _cand_columns(C: int):
 def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_classes: int,
                      erf: bool = False, seed: int = 0, version: int = 0) -> DataFrame:
     """All candidate splits with left and total statistics:
-    (tree_id, node_id, feature, cand, split_idx, left_categories, l*, t*)."""
+    (tree_id, node_id, feature, cand, split_idx, left_categories, l*, t*, _ok).
+    Rows that cannot be a split (the last bin or category, or not the drawn
+    candidate in randomised mode) are kept with ``_ok`` false: they still
+    carry the node totals, so one aggregation yields totals and best split."""
     C = Hg.channels(num_classes)
     S = Hg.hist_columns(num_classes)
     L, T = _cand_columns(C)
@@ -101,15 +104,19 @@ def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_
             no_cats.alias("left_categories"), nb.alias("_nb"),
             *[F.sum(s).over(w).alias(l) for s, l in zip(S, L)],
             *[F.sum(s).over(part).alias(t) for s, t in zip(S, T)])
-        hc = hc.where(F.col("cand") < F.col("_nb") - 1)
+        hc = hc.withColumn("_ok", F.col("cand") < F.col("_nb") - 1)
         if erf:
             # one random threshold per feature; its left side holds the bins
             # up to the nearest populated bin at or below it
             hc = hc.withColumn("_k", F.floor(u_erf * (F.col("_nb") - 1)).cast("int"))
-            hc = hc.where(F.col("cand") <= F.col("_k"))
-            hc = (hc.withColumn("_r", F.row_number().over(part.orderBy(F.desc("cand"))))
-                  .where(F.col("_r") == 1).withColumn("split_idx", F.col("_k"))
-                  .withColumn("cand", F.col("_k")).drop("_r", "_k"))
+            # rows above the drawn threshold stay as invalid candidates (they
+            # still carry the node totals)
+            hc = hc.withColumn("_ok", F.col("_ok") & (F.col("cand") <= F.col("_k")))
+            hc = (hc.withColumn("_r", F.row_number().over(
+                      part.orderBy(F.desc("_ok"), F.desc("cand"))))
+                  .where(F.col("_r") == 1)
+                  .withColumn("split_idx", F.when(F.col("_ok"), F.col("_k")).otherwise(F.col("cand")))
+                  .withColumn("cand", F.col("split_idx")).drop("_r", "_k"))
         parts.append(hc.drop("_nb"))
     if ordc:
         s = [F.col(x) for x in S]
@@ -127,10 +134,10 @@ def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_
                        F.count(F.lit(1)).over(part).alias("_n"),
                        *[F.sum(x).over(wr).alias(l) for x, l in zip(S, L)],
                        *[F.sum(x).over(part).alias(t) for x, t in zip(S, T)])
-        ho = ho.where(F.col("cand") < F.col("_n"))
+        ho = ho.withColumn("_ok", F.col("cand") < F.col("_n"))
         if erf:
             k = (F.floor(u_erf * (F.col("_n") - 1)) + 1).cast("int")
-            ho = ho.where(F.col("cand") == k)
+            ho = ho.withColumn("_ok", F.col("_ok") & (F.col("cand") == k))
         parts.append(ho.drop("_n"))
     if unord:
         spark = hist.sparkSession
@@ -144,11 +151,12 @@ def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_
                 .agg(*[F.sum(x).alias(l) for x, l in zip(S, L)]))
         cu = left.join(tot, key).select(
             *key, F.col("split_idx").alias("cand"), F.lit(-1).alias("split_idx"),
-            F.split("categories", ",").cast("array<int>").alias("left_categories"), *L, *T)
+            F.split("categories", ",").cast("array<int>").alias("left_categories"), *L, *T,
+            F.lit(True).alias("_ok"))
         if erf:
             n = F.pow(F.lit(2), F.element_at(F.array(*[F.lit(int(a)) for a in arity]),
                                              F.col("feature") + 1) - 1) - 1
-            cu = cu.where(F.col("cand") == F.floor(u_erf * n).cast("int"))
+            cu = cu.withColumn("_ok", F.col("cand") == F.floor(u_erf * n).cast("int"))
         parts.append(cu)
     out = parts[0]
     for p in parts[1:]:
@@ -169,7 +177,8 @@ def scored_candidates(cands: DataFrame, num_classes: int, kind: str,
     gain = I.impurity(kind, tc) - (nl / nt) * I.impurity(kind, lc) - (nr / nt) * I.impurity(kind, rc)
     return (cands.withColumn("left_count", nl).withColumn("right_count", nr)
             .withColumn("gain", gain)
-            .withColumn("valid", (F.col("left_count") >= F.lit(float(min_instances)))
+            .withColumn("valid", F.col("_ok")
+                        & (F.col("left_count") >= F.lit(float(min_instances)))
                         & (F.col("right_count") >= F.lit(float(min_instances)))))
 
 
@@ -183,15 +192,29 @@ def best_splits(hist: DataFrame, arity: Sequence[int], splits: Splits, num_class
     S = Hg.hist_columns(num_classes)
     sc = scored_candidates(split_candidates(hist, arity, splits, num_classes, erf, seed, version),
                            num_classes, kind, min_instances)
-    sc = sc.where(F.col("valid") & (F.col("gain") >= F.lit(float(min_info_gain))))
-    best = sc.groupBy("tree_id", "node_id").agg(F.max_by(
-        F.struct("feature", "cand", "split_idx", "left_categories", "gain", *L),
-        F.struct(F.col("gain"), -F.col("feature"), -F.col("cand"))).alias("b"))
-    node_tot = (hist.groupBy("tree_id", "node_id", "feature")
-                .agg(*[F.sum(s).alias(t) for s, t in zip(S, T)])
-                .groupBy("tree_id", "node_id")
-                .agg(F.min_by(F.struct(*T), F.col("feature")).alias("tot")))
-    return node_tot.join(best, ["tree_id", "node_id"], "left")
+    ok = F.col("valid") & (F.col("gain") >= F.lit(float(min_info_gain)))
+    # one aggregation per node: totals (equal on every candidate row of the
+    # node) and the best valid candidate (valid first, then gain, then the
+    # lower feature, then the earlier candidate)
+    agg = sc.groupBy("tree_id", "node_id").agg(
+        F.first(F.struct(*T)).alias("tot"),
+        F.max_by(F.struct(ok.alias("ok"), "feature", "cand", "split_idx", "left_categories",
+                          "gain", *L),
+                 F.struct(ok, F.col("gain"), -F.col("feature"), -F.col("cand"))).alias("b"))
+    return agg.select("tree_id", "node_id", "tot",
+                      F.when(F.col("b.ok"), F.col("b")).alias("b"))
+
+
+def node_totals(hist: DataFrame, num_classes: int) -> DataFrame:
+    """Totals per node (the same on every feature of the node)."""
+    C = Hg.channels(num_classes)
+    S = Hg.hist_columns(num_classes)
+    T = [f"t{c}" for c in range(C)]
+    return (hist.groupBy("tree_id", "node_id", "feature")
+            .agg(*[F.sum(s).alias(t) for s, t in zip(S, T)])
+            .groupBy("tree_id", "node_id")
+            .agg(F.min_by(F.struct(*T), F.col("feature")).alias("tot"))
+            .withColumn("b", F.lit(None).cast("struct<ok:boolean>")))
 
 
 # ------------------------------------------------------------- impurity (py)
@@ -282,9 +305,17 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
                 old = stored_hist.join(F.broadcast(keys), Hg.NODE_KEY, "left_semi")
                 hist = Hg.merge_histograms([hist, old.select(*hist.columns)], num_classes)
             hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-            res = best_splits(hist, arity, splits, num_classes, kind,
-                              params.min_instances_per_node, params.min_info_gain, params.erf,
-                              params.seed, version).collect()  # one row per node in chunk
+            if all(level_of(i) >= max_depth[t] for t, i in chunk):
+                # every node here ends as a leaf: totals only, no split search
+                res = node_totals(hist, num_classes).collect()
+            else:
+                res = best_splits(hist, arity, splits, num_classes, kind,
+                                  params.min_instances_per_node, params.min_info_gain, params.erf,
+                                  params.seed, version).collect()  # one row per node in chunk
+                got = {(int(r["tree_id"]), int(r["node_id"])) for r in res}
+                if any(k not in got for k in chunk):  # nodes without any candidate row
+                    res += [r for r in node_totals(hist, num_classes).collect()
+                            if (int(r["tree_id"]), int(r["node_id"])) not in got]
             seen = set()
             leaves = []
             for r in res:

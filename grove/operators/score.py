@@ -127,3 +127,32 @@ def leaf_ids(model, df: DataFrame, keep=None) -> DataFrame:
                                              names=[f.name for f in schema.fields])
 
     return inp.mapInArrow(fn, schema)
+
+
+def tree_accuracy(model, df: DataFrame, label: str = "label") -> DataFrame:
+    """Accuracy of each tree on a batch (leaf majority vs label); the
+    leaf prediction table is small (one row per node) and broadcast."""
+    spark = df.sparkSession
+    ids = [int(t) for t in model.trees.tree_id]
+    d = leaf_ids(model, df.select("rk", label, *model.spec.names), keep=[label])
+    ex = d.select(F.col(label).cast("double").alias("label"),
+                  F.posexplode("node_ids").alias("pos", "node_id"))
+    ex = ex.withColumn("tree_id", F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("pos") + 1))
+    preds = spark.createDataFrame(
+        [(int(t), int(n), float(p)) for t, n, p in
+         zip(model.nodes.tree_id, model.nodes.node_id, model.nodes.prediction)],
+        "tree_id int, node_id bigint, leaf_prediction double")
+    j = ex.join(F.broadcast(preds), ["tree_id", "node_id"])
+    return j.groupBy("tree_id").agg(
+        F.avg((F.col("leaf_prediction") == F.col("label")).cast("double")).alias("accuracy"),
+        F.count(F.lit(1)).alias("n"))
+
+
+def reweight_by_accuracy(model, df: DataFrame, label: str = "label"):
+    """A copy of the model whose tree weights are their batch accuracy."""
+    import copy
+    acc = {int(r["tree_id"]): float(r["accuracy"]) for r in tree_accuracy(model, df, label).collect()}
+    m = copy.copy(model)
+    m.trees = model.trees.copy()
+    m.trees["weight"] = [acc.get(int(t), 0.0) for t in m.trees.tree_id]
+    return m

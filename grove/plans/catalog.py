@@ -362,7 +362,7 @@ FROM ({_root_cands_sql()[0]})""")
 def split_gains(spark, sf):
     """Gain and validity of every root candidate."""
     sc, _ = _root_cands_spark(spark, sf)
-    return sc.select("feature", "split_idx", F.col("left_count").cast("double").alias("left_count"),
+    return sc.where("_ok").select("feature", "split_idx", F.col("left_count").cast("double").alias("left_count"),
                      F.col("right_count").cast("double").alias("right_count"),
                      rnd("gain").alias("gain"), "valid")
 
@@ -945,3 +945,192 @@ def model_roundtrip(spark, sf):
     from grove.operators.forest import ForestModel
     m = _forest_model(spark, sf)
     return _nodes_out(ForestModel.load(spark, m.root, m.version), spark)
+
+
+# ============================================= categorical splits
+def _cat_root_best(spark, df, names, arity, num_classes):
+    """Best root split of one unbagged tree over categorical features."""
+    import numpy as np
+    from grove.operators.growth import GrowState, best_splits, root_row
+    splits = Q.Splits([np.array([]) for _ in names], list(arity),
+                      [Q.is_unordered(a, num_classes, MAX_BINS) for a in arity])
+    st = GrowState()
+    st.nodes[(0, 1)] = root_row(0, Hg.channels(num_classes))
+    fo = Hg.FlatForest.build(st.frame(), [0], max(arity))
+    hist = Hg.histogram_pass(df, names, list(arity), splits, num_classes, fo, {0: 0}, [(0, 1)],
+                             len(names), 1, 1.0, 0)
+    b = best_splits(hist, list(arity), splits, num_classes, "gini", 1.0, 0.0).select("b.*")
+    return b.select("feature", F.array_join(F.array_sort("left_categories"), ",").alias("left"),
+                    rnd("gain").alias("gain"))
+
+
+def _ordered_cat_sql():
+    base = FX.categorical_sql()
+    long = " UNION ALL ".join(
+        f"SELECT label, {i} AS feature, CAST({c} AS INTEGER) AS bin FROM ({base})"
+        for i, c in enumerate(["priority_idx", "segment_idx"]))
+    g = I.gini_sql(["t0", "t1"])
+    gl = I.gini_sql(["l0", "l1"])
+    gr = I.gini_sql(["(t0 - l0)", "(t1 - l1)"])
+    return f"""
+    WITH h AS (SELECT feature, bin, sum(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS s0,
+                      sum(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS s1 FROM ({long}) GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY s1 / (s0 + s1), bin) AS pos,
+                 count(*) OVER (PARTITION BY feature) AS n,
+                 sum(s0) OVER (PARTITION BY feature ORDER BY s1 / (s0 + s1), bin ROWS UNBOUNDED PRECEDING) AS l0,
+                 sum(s1) OVER (PARTITION BY feature ORDER BY s1 / (s0 + s1), bin ROWS UNBOUNDED PRECEDING) AS l1,
+                 sum(s0) OVER (PARTITION BY feature) AS t0, sum(s1) OVER (PARTITION BY feature) AS t1 FROM h),
+    c AS (SELECT feature, pos, {g} - ((l0 + l1) / (t0 + t1)) * {gl}
+                 - ((t0 + t1 - l0 - l1) / (t0 + t1)) * {gr} AS gain FROM o WHERE pos < n),
+    b AS (SELECT * FROM c ORDER BY gain DESC, feature, pos LIMIT 1)
+    SELECT b.feature, (SELECT string_agg(CAST(bin AS VARCHAR), ',' ORDER BY bin) FROM o
+                       WHERE o.feature = b.feature AND o.pos <= b.pos) AS "left",
+           {O.r6('b.gain')} AS gain FROM b"""
+
+
+@query("best_split_ordered_cat", _ordered_cat_sql)
+def best_split_ordered_cat(spark, sf):
+    """T4: categories sorted by mean label, best prefix (root, two
+    frequency-indexed string features)."""
+    df, arity = FX.categorical(spark, sf)
+    return _cat_root_best(spark, df, ["priority_idx", "segment_idx"], arity[:2], 2)
+
+
+def _mc_cat(spark, sf):
+    o = read_table(spark, sf, "orders")
+    c = read_table(spark, sf, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    j, pi = P.string_index(j, "o_orderpriority", "label")
+    j, si = P.string_index(j, "c_mktsegment", "segment_idx")
+    j, ti = P.string_index(j, "o_orderstatus", "status_idx")
+    j = H.with_row_key(j, [F.col("o_orderkey")])
+    return j.select("rk", "label", "segment_idx", "status_idx"), [len(si.labels), len(ti.labels)], \
+        len(pi.labels)
+
+
+def _unordered_sql():
+    join = "orders JOIN customer ON o_custkey = c_custkey"
+    idx = lambda col: (f"(SELECT {col} AS v, row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 "
+                       f"AS idx FROM {join} GROUP BY {col})")
+    base = (f"SELECT p.idx AS label, s.idx AS seg, t.idx AS st FROM {join} "
+            f"JOIN {idx('o_orderpriority')} p ON o_orderpriority = p.v "
+            f"JOIN {idx('c_mktsegment')} s ON c_mktsegment = s.v "
+            f"JOIN {idx('o_orderstatus')} t ON o_orderstatus = t.v")
+    K = 5
+    cnt = ", ".join(f"sum(CASE WHEN label = {k} THEN 1.0 ELSE 0.0 END) AS s{k}" for k in range(K))
+    L = [f"l{k}" for k in range(K)]
+    T = [f"t{k}" for k in range(K)]
+    R = [f"(t{k} - l{k})" for k in range(K)]
+    nl, nt = "(" + " + ".join(L) + ")", "(" + " + ".join(T) + ")"
+    gain = (f"{I.gini_sql(T)} - ({nl} / {nt}) * {I.gini_sql(L)} - (({nt} - {nl}) / {nt}) * "
+            f"{I.gini_sql(R)}")
+    return f"""
+    WITH h AS (SELECT 0 AS feature, seg AS bin, {cnt} FROM ({base}) GROUP BY ALL
+               UNION ALL SELECT 1 AS feature, st AS bin, {cnt} FROM ({base}) GROUP BY ALL),
+    ar AS (SELECT feature, max(bin) + 1 AS arity FROM h GROUP BY feature),
+    sub AS (SELECT feature, s AS split_idx, s + 1 AS mask FROM ar, range(CAST(pow(2, arity - 1) AS BIGINT) - 1) r(s)),
+    tot AS (SELECT feature, {', '.join(f'sum(s{k}) AS t{k}' for k in range(K))} FROM h GROUP BY feature),
+    lf AS (SELECT sub.feature, sub.split_idx, {', '.join(f'sum(h.s{k}) AS l{k}' for k in range(K))},
+                  string_agg(CAST(h.bin AS VARCHAR), ',' ORDER BY h.bin) AS "left"
+           FROM sub JOIN h ON h.feature = sub.feature AND (sub.mask >> h.bin) & 1 = 1 GROUP BY ALL),
+    c AS (SELECT lf.*, tot.* EXCLUDE (feature), {gain} AS gain FROM lf JOIN tot USING (feature)
+          WHERE {nl} >= 1 AND {nt} - {nl} >= 1)
+    SELECT CAST(feature AS INTEGER) AS feature, "left", {O.r6('gain')} AS gain
+    FROM c ORDER BY gain DESC, feature, split_idx LIMIT 1"""
+
+
+@query("best_split_unordered_cat", _unordered_sql)
+def best_split_unordered_cat(spark, sf):
+    """T3 + Q5: five classes; low-arity categorical features split by
+    category subsets (all 2^(arity-1) - 1 candidates)."""
+    df, arity, k = _mc_cat(spark, sf)
+    return _cat_root_best(spark, df, ["segment_idx", "status_idx"], arity, k)
+
+
+def _mc_sql():
+    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(FX.EMB_FEATURES))
+    return (f"SELECT rk, CAST(label AS DOUBLE) AS label, {cols} FROM (SELECT *, "
+            f"{FX._key_sql('rk', 0, ['vec_id'])} FROM embeddings)")
+
+
+@query("multiclass_forest_nodes", lambda: _nodes_sql(O.forest_sql(
+    _mc_sql(), FX.EMB_FEATURES, num_trees=3, max_depth=3, subset_k=8, num_classes=10), 10))
+def multiclass_forest_nodes(spark, sf):
+    """T9 with 10 classes and 64 features (8 per node): the wide fixture."""
+    from grove.operators.features import FeatureSpec
+    spec = FeatureSpec(list(FX.EMB_FEATURES), [0] * FX.EMB_DIM, "label", 10)
+    m = _fit(spark, FX.multiclass(spark, sf), spec, num_trees=3, max_depth=3, seed=0)
+    return _nodes_out(m, spark, 10)
+
+
+@query("entropy_tree_nodes", lambda: _nodes_sql(O.forest_sql(
+    FX.hyperplane_sql(), FX.HYPER_FEATURES, num_trees=1, max_depth=3, kind="entropy")))
+def entropy_tree_nodes(spark, sf):
+    """T10 with entropy impurity."""
+    m = _fit(spark, FX.hyperplane(spark, sf), FX.hyperplane_spec(), num_trees=1, max_depth=3,
+             seed=0, impurity="entropy")
+    return _nodes_out(m, spark)
+
+
+# ================================================= binning, regression score
+def _stride_rows(spark, sf):
+    return splits_stride(spark, sf).collect()  # bounded: features x (max_bins - 1)
+
+
+@query("bin_continuous", lambda: (
+    "SELECT rk, feature, bin FROM (" + O.binned_sql(
+        O.long_sql(FX.hyperplane_sql(), FX.HYPER_FEATURES),
+        O.thresholds_sql(O.long_sql(FX.hyperplane_sql(), FX.HYPER_FEATURES), MAX_BINS - 1)) + ")"))
+def bin_continuous(spark, sf):
+    """bin = number of thresholds below the value (Column expression)."""
+    rows = _stride_rows(spark, sf)
+    h = FX.hyperplane(spark, sf)
+    th = {f: [r.threshold for r in rows if r.feature == f] for f in range(4)}
+    arr = F.array(*[F.struct(F.lit(i).alias("feature"),
+                             P.bin_continuous(F.col(c), th[i]).alias("bin"))
+                    for i, c in enumerate(FX.HYPER_FEATURES)])
+    return h.select("rk", F.explode(arr).alias("b")).select("rk", "b.feature", "b.bin")
+
+
+@query("bin_categorical", f"""
+SELECT o_orderkey, CAST(priority_idx AS INTEGER) AS bin FROM ({FX.categorical_sql()})""")
+def bin_categorical(spark, sf):
+    """Category index as bin, checked against the arity."""
+    df, arity = FX.categorical(spark, sf)
+    return df.select("o_orderkey", P.bin_categorical(F.col("priority_idx"), arity[0],
+                                                     "priority_idx").alias("bin"))
+
+
+def _reg_pred_sql():
+    fs = O.forest_sql(_reg_base_sql(), REG_FEATURES, num_trees=1, max_depth=3, kind="variance",
+                      num_classes=0)
+    route = O.route_sql("SELECT * FROM binned", "SELECT * FROM nodes", 3)
+    return (f"{fs['with']}, leafs AS ({route}) SELECT l.rk, "
+            f"{O.r6('CASE WHEN n.c0 > 0 THEN n.c1 / n.c0 ELSE 0.0 END')} AS prediction "
+            f"FROM leafs l JOIN nodes n ON n.tree_id = l.tree_id AND n.node_id = l.node_id")
+
+
+@query("regression_predictions", _reg_pred_sql)
+def regression_predictions(spark, sf):
+    """M6: leaf mean of the variance tree."""
+    from grove.operators.features import FeatureSpec
+    spec = FeatureSpec(list(REG_FEATURES), [0] * 3, "label", 0)
+    m = _fit(spark, _reg_df(spark, sf), spec, **REG)
+    return m.transform(_reg_df(spark, sf), keep=["rk"]).select("rk", rnd("prediction").alias("prediction"))
+
+
+def _tree_acc_sql():
+    fs = _forest_sql_dict()
+    route = O.route_sql("SELECT * FROM binned", "SELECT * FROM nodes", 3)
+    return (f"{fs['with']}, leafs AS ({route}) SELECT CAST(l.tree_id AS INTEGER) AS tree_id, "
+            f"{O.r6('avg(CASE WHEN (CASE WHEN n.c1 > n.c0 THEN 1.0 ELSE 0.0 END) = b.label THEN 1.0 ELSE 0.0 END)')} "
+            f"AS accuracy, count(*) AS n FROM leafs l JOIN nodes n ON n.tree_id = l.tree_id AND "
+            f"n.node_id = l.node_id JOIN base b ON b.rk = l.rk GROUP BY l.tree_id")
+
+
+@query("tree_accuracy_weights", _tree_acc_sql)
+def tree_accuracy_weights(spark, sf):
+    """Per-tree accuracy on the batch, usable as tree weights."""
+    from grove.operators.score import tree_accuracy
+    m = _forest_model(spark, sf)
+    return tree_accuracy(m, FX.hyperplane(spark, sf)).select("tree_id", rnd("accuracy").alias("accuracy"), "n")

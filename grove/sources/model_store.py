@@ -74,11 +74,19 @@ def save_version(spark: SparkSession, root: str, version: int, meta: dict, split
                                 json.dumps(meta["params"]), int(meta["rows_seen"]),
                                 meta["bin_counts"], meta["unordered"])], META_SCHEMA)
     s = spark.createDataFrame(splits_rows, "feature int, split_idx int, threshold double")
-    for name, df in (("splits", s), ("trees", trees_frame(spark, trees)),
-                     ("nodes", nodes_frame(spark, nodes)), ("meta", m)):
+    def write(item):
+        name, df = item
         (df.withColumn("version", v).coalesce(1).write.options(**opts).mode(wmode)
          .partitionBy("version").parquet(f"{root}/{name}"))
 
+    # four small independent jobs: submitted together; meta goes last, so a
+    # version is visible only once its tables are complete
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        list(pool.map(write, (("splits", s), ("trees", trees_frame(spark, trees)),
+                              ("nodes", nodes_frame(spark, nodes)))))
+    write(("meta", m))
+
 
 def load_version(spark: SparkSession, root: str, version: int | None = None) -> dict:
     """Reads one version's small tables to the driver (bounded by trees
