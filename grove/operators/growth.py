@@ -99,12 +99,13 @@ def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_
     parts = []
     if cont:
         w = part.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        hc = hist.where(F.col("feature").isin(cont)).select(
+        src = hist if len(cont) == len(arity) else hist.where(F.col("feature").isin(cont))
+        hc = src.select(
             *key, F.col("bin").alias("cand"), F.col("bin").alias("split_idx"),
             no_cats.alias("left_categories"), nb.alias("_nb"),
             *[F.sum(s).over(w).alias(l) for s, l in zip(S, L)],
-            *[F.sum(s).over(part).alias(t) for s, t in zip(S, T)])
-        hc = hc.withColumn("_ok", F.col("cand") < F.col("_nb") - 1)
+            *[F.sum(s).over(part).alias(t) for s, t in zip(S, T)],
+            (F.col("bin") < nb - 1).alias("_ok"))
         if erf:
             # one random threshold per feature; its left side holds the bins
             # up to the nearest populated bin at or below it
@@ -166,7 +167,8 @@ def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_
 
 def scored_candidates(cands: DataFrame, num_classes: int, kind: str,
                       min_instances: float) -> DataFrame:
-    """Gain of each candidate; validity by child counts."""
+    """Gain of each candidate; validity by child counts (one projection,
+    so the plan is analysed once)."""
     C = Hg.channels(num_classes)
     L, T = _cand_columns(C)
     lc = [F.col(x) for x in L]
@@ -175,11 +177,9 @@ def scored_candidates(cands: DataFrame, num_classes: int, kind: str,
     nl, nt = I.count_of(kind, lc), I.count_of(kind, tc)
     nr = nt - nl
     gain = I.impurity(kind, tc) - (nl / nt) * I.impurity(kind, lc) - (nr / nt) * I.impurity(kind, rc)
-    return (cands.withColumn("left_count", nl).withColumn("right_count", nr)
-            .withColumn("gain", gain)
-            .withColumn("valid", F.col("_ok")
-                        & (F.col("left_count") >= F.lit(float(min_instances)))
-                        & (F.col("right_count") >= F.lit(float(min_instances)))))
+    mi = F.lit(float(min_instances))
+    return cands.select("*", nl.alias("left_count"), nr.alias("right_count"), gain.alias("gain"),
+                        (F.col("_ok") & (nl >= mi) & (nr >= mi)).alias("valid"))
 
 
 def best_splits(hist: DataFrame, arity: Sequence[int], splits: Splits, num_classes: int,
