@@ -26,18 +26,23 @@ def _bucket_bounds(df: DataFrame, part: Sequence[str], order: str, buckets: int)
 
 
 def running_sums(df: DataFrame, part: Sequence[str], order: str, sums: Sequence[str],
-                 buckets: int = 64, descending: bool = False) -> DataFrame:
+                 buckets: int = 64, descending: bool = False, totals: bool = False) -> DataFrame:
     """Adds ``rank`` (1-based position by ``order`` within ``part``; rows
     must be distinct on part + order) and ``cum_<c>`` running sums
-    (inclusive) for each column in ``sums``."""
+    (inclusive) for each column in ``sums``.  With ``totals`` also the
+    group's row count ``tot_rows`` and sums ``tot_<c>`` (from the small
+    range table, no extra pass over the rows)."""
     part = list(part)
     ordc = F.col(order).desc() if descending else F.col(order).asc()
     if buckets <= 1:
-        w = Window.partitionBy(*part).orderBy(ordc).rowsBetween(Window.unboundedPreceding, 0)
-        out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(ordc)))
-        for c in sums:
-            out = out.withColumn(f"cum_{c}", F.sum(c).over(w))
-        return out
+        wp = Window.partitionBy(*part)
+        w = wp.orderBy(ordc).rowsBetween(Window.unboundedPreceding, 0)
+        cols = [F.row_number().over(wp.orderBy(ordc)).alias("rank")]
+        cols += [F.sum(c).over(w).alias(f"cum_{c}") for c in sums]
+        if totals:
+            cols += [F.count(F.lit(1)).over(wp).alias("tot_rows")]
+            cols += [F.sum(c).over(wp).alias(f"tot_{c}") for c in sums]
+        return df.select("*", *cols)
 
     bounds = _bucket_bounds(df, part, order, buckets)
     # bucket = number of bounds strictly below the value (ascending order)
@@ -61,10 +66,14 @@ def running_sums(df: DataFrame, part: Sequence[str], order: str, sums: Sequence[
     tot_aggs = [F.count(F.lit(1)).alias("_tn")] + [F.sum(c).alias(f"_t_{c}") for c in sums]
     tots = d2.groupBy(*part, "_bk").agg(*tot_aggs)  # groups x buckets rows
     wo = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*part)
     offs = tots.select(*part, "_bk",
                        F.coalesce(F.sum("_tn").over(wo), F.lit(0)).alias("_on"),
                        *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
-                         for c in sums])
+                         for c in sums],
+                       *([F.sum("_tn").over(wall).alias("tot_rows")]
+                         + [F.sum(f"_t_{c}").over(wall).alias(f"tot_{c}") for c in sums]
+                         if totals else []))
     wl = Window.partitionBy(*part, "_bk").orderBy(ordc)
     wr = wl.rowsBetween(Window.unboundedPreceding, 0)
     local = d2.withColumn("_rn", F.row_number().over(wl))

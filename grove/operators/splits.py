@@ -63,9 +63,8 @@ def continuous_thresholds(vc: DataFrame, num_splits: int, buckets: int | None =
     (ranges, totals, ranks): persist it when it is expensive."""
     S = int(num_splits)
     buckets = default_buckets(vc) if buckets is None else buckets
-    per_f = vc.groupBy("feature").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("m"))
-    ranked = running_sums(vc, ["feature"], "v", ["n"], buckets=buckets)
-    ranked = ranked.join(F.broadcast(per_f), "feature")  # one row per feature
+    ranked = running_sums(vc, ["feature"], "v", ["n"], buckets=buckets, totals=True)
+    ranked = ranked.withColumnsRenamed({"tot_n": "n_total", "tot_rows": "m"})
 
     # Q2: few distinct values -> all of them
     few = (ranked.where(F.col("m") <= S)
