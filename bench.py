@@ -62,11 +62,15 @@ def main() -> None:
         return C.class_histogram(spark, sf_dir).count()
 
     def q_summary():
-        return C.column_summary(spark, sf_dir).count() if "column_summary" in C.QUERIES else 0
+        return C.column_summary(spark, sf_dir).count()
+
+    def q_logistic():
+        from grove.operators import logistic as LG
+        return LG.fit(h, C.SUMMARY_FEATURES, reg=0.01, max_iter=100).iterations
 
     plan = [("fit", q_fit), ("update", q_update), ("score", q_score), ("roc_auc", q_roc_auc),
             ("splits_stride", q_splits), ("class_histogram", q_histogram),
-            ("column_summary", q_summary)]
+            ("column_summary", q_summary), ("logistic_fit", q_logistic)]
     for _, fn in plan:  # warm-up pass (JVM, Python workers, file cache)
         fn()
     times = {}

@@ -59,13 +59,69 @@ def loss_gradient_frame(df: DataFrame, features: Sequence[str], beta_std, interc
     return d.agg(*aggs)
 
 
-def objective(row, beta_std: np.ndarray, reg: float, n: int):
+def objective(row, beta_std: np.ndarray, reg: float, n: int, pen_scale=None):
+    """Smooth part: mean loss + reg/2 sum (beta_j * s_j)^2, s_j = 1 when the
+    penalty is on standardised coefficients, 1/std_j when it is on the
+    original scale (standardization off)."""
     wsum = row["wsum"]
-    loss = row["lsum"] / wsum + 0.5 * reg * float(np.dot(beta_std, beta_std))
-    g = np.array([row[f"g{i}"] for i in range(n)]) / wsum + reg * beta_std
+    s2 = np.ones(n) if pen_scale is None else np.asarray(pen_scale) ** 2
+    loss = row["lsum"] / wsum + 0.5 * reg * float(np.dot(beta_std * beta_std, s2))
+    g = np.array([row[f"g{i}"] for i in range(n)]) / wsum + reg * beta_std * s2
     return loss, g, row["g_intercept"] / wsum
 
 
+class BlockEvaluator:
+    """Loss and gradient over the batch cached as one NumPy block per
+    partition; each evaluation is one ``treeReduce`` of per-partition
+    partial sums (a few numbers per partition), so an optimiser iteration
+    costs one light job instead of a freshly planned query."""
+
+    def __init__(self, data: DataFrame, feats, label: str, weight: str | None, sd: np.ndarray):
+        import pyarrow as pa
+        cols = list(feats) + [label] + ([weight] if weight else [])
+        nf = len(feats)
+        has_w = weight is not None
+
+        def pack(batches):  # one binary row per Arrow batch (~10k rows)
+            for rb in batches:
+                if rb.num_rows == 0:
+                    continue
+                a = np.column_stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.float64)
+                                     for i in range(len(cols))])
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a.tobytes()], pa.binary()),
+                                                  "rows": pa.array([rb.num_rows], pa.int64())})
+
+        def unpack(r):
+            a = np.frombuffer(r["a"], dtype=np.float64).reshape(r["rows"], len(cols))
+            return (a[:, :nf], a[:, nf], a[:, nf + 1] if has_w else np.ones(len(a)))
+
+        packed = data.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(
+            pack, "a binary, rows bigint")
+        self.blocks = packed.rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+        self.inv = np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
+        self.n = nf
+
+    def __call__(self, beta_std: np.ndarray, intercept: float) -> dict:
+        coef = np.asarray(beta_std, float) * self.inv  # raw-scale margin weights
+        inv = self.inv
+        b0 = float(intercept)
+
+        def partial(block):
+            X, y, w = block
+            m = X @ coef + b0
+            loss = np.where(m > 0, m + np.log1p(np.exp(-m)), np.log1p(np.exp(m))) - y * m
+            mult = w * (1.0 / (1.0 + np.exp(-m)) - y)
+            return np.concatenate([[w.sum(), (w * loss).sum(), mult.sum()], (mult @ X) * inv])
+
+        tot = self.blocks.map(partial).treeReduce(lambda a, b: a + b, depth=2)
+        out = {"wsum": tot[0], "lsum": tot[1], "g_intercept": tot[2]}
+        out.update({f"g{i}": tot[3 + i] for i in range(self.n)})
+        return out
+
+    def close(self):
+        self.blocks.unpersist()
+
+
 @dataclass
 class LogisticModel:
     features: list[str]
@@ -107,10 +163,14 @@ def score(df: DataFrame, features: Sequence[str], coefficients, intercept: float
 def fit(df: DataFrame, features: Sequence[str], label: str = "label", weight: str | None = None,
         reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6,
         init_coefficients=None, init_intercept: float | None = None,
-        memory: int = 10) -> LogisticModel:
-    """L-BFGS on the L2 objective; warm start from given coefficients
-    (original scale) and intercept, kept as given (decision D15).  A cold
-    start begins at zero with intercept log(n1/n0)."""
+        memory: int = 10, elastic_net: float = 0.0,
+        standardization: bool = True, engine: str = "blocks") -> LogisticModel:
+    """Warm start from given coefficients (original scale) and
+    intercept, kept as given (decision D15); a cold start begins at zero
+    with intercept log(n1/n0).  L6: penalty reg * ((1-a)/2 ||b||^2 + a ||b||_1)
+    on the coefficients, not the intercept; on standardised coefficients, or
+    on original-scale ones when ``standardization`` is off.  Pure L2 uses
+    L-BFGS; with an L1 part, OWL-QN."""
     feats = list(features)
     data = df.select(*[F.col(f).cast("double").alias(f) for f in feats],
                      F.col(label).cast("double").alias(label),
@@ -126,11 +186,26 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "label", weight: st
         r = data.agg(F.sum(w * F.col(label)).alias("n1"), F.sum(w * (1 - F.col(label))).alias("n0")).first()
         b0 = float(math.log(r["n1"] / r["n0"])) if r["n1"] and r["n0"] else 0.0
 
+    scale = None if standardization else np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
+    l2 = reg * (1.0 - elastic_net)
+    l1 = reg * elastic_net
+
+    blocks = BlockEvaluator(data, feats, label, weight, sd) if engine == "blocks" else None
+
     def evaluate(x):
-        row = loss_gradient_frame(data, feats, x[:n], x[n], sd, label, weight).first()
-        loss, g, gi = objective(row, x[:n], reg, n)
+        if blocks is not None:
+            row = blocks(x[:n], x[n])
+        else:  # one DataFrame aggregate per evaluation
+            row = loss_gradient_frame(data, feats, x[:n], x[n], sd, label, weight).first()
+        loss, g, gi = objective(row, x[:n], l2, n, scale)
         return loss, np.append(g, gi)
 
+    if l1 > 0:
+        model = _fit_owlqn(data, feats, sd, evaluate, np.append(beta, b0), l1, scale, max_iter,
+                           tol, memory)
+        if blocks is not None:
+            blocks.close()
+        return model
     x = np.append(beta, b0)
     fx, gx = evaluate(x)
     hist = [fx]
@@ -169,10 +244,80 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "label", weight: st
         if rel < tol or np.linalg.norm(gx) < tol:
             break
     data.unpersist()
+    if blocks is not None:
+        blocks.close()
     coef = np.where(sd > 0, x[:n] / np.where(sd > 0, sd, 1.0), 0.0)
     return LogisticModel(feats, coef, float(x[n]), hist, it)
 
 
+def _fit_owlqn(data, feats, sd, evaluate, x, l1, scale, max_iter, tol, memory=10) -> LogisticModel:
+    """OWL-QN: L-BFGS on the smooth part, steered by the pseudo-gradient of
+    the L1 term and kept inside the current orthant (intercept and
+    zero-variance features unpenalised)."""
+    n = len(feats)
+    w = np.zeros(n + 1)
+    w[:n] = l1 * (np.ones(n) if scale is None else scale)
+
+    def pseudo(x, g):
+        pg = g.copy()
+        pos, neg, zero = x > 0, x < 0, x == 0
+        pg[pos] += w[pos]
+        pg[neg] -= w[neg]
+        right, left = g + w, g - w
+        z = np.where(right < 0, right, np.where(left > 0, left, 0.0))
+        pg[zero] = z[zero]
+        return pg
+
+    def total(x, f):
+        return f + float(np.dot(w, np.abs(x)))
+
+    fx, gx = evaluate(x)
+    hist = [total(x, fx)]
+    s_list, y_list = [], []
+    it = 0
+    for it in range(1, max_iter + 1):
+        pg = pseudo(x, gx)
+        q = pg.copy()
+        alphas = []
+        for s_, y_ in reversed(list(zip(s_list, y_list))):
+            a = np.dot(s_, q) / np.dot(y_, s_)
+            alphas.append(a)
+            q -= a * y_
+        if y_list:
+            q *= np.dot(s_list[-1], y_list[-1]) / np.dot(y_list[-1], y_list[-1])
+        for (s_, y_), a in zip(zip(s_list, y_list), reversed(alphas)):
+            q += s_ * (a - np.dot(y_, q) / np.dot(y_, s_))
+        d = -q
+        d[d * pg >= 0] = 0.0  # keep only descent components
+        if not np.any(d):
+            break
+        orth = np.where(x != 0, np.sign(x), np.sign(-pg))
+        step = 1.0 if y_list else 1.0 / max(1.0, np.linalg.norm(pg))
+        while True:
+            xn = x + step * d
+            xn[:n][np.sign(xn[:n]) != orth[:n]] = 0.0  # stay in the orthant
+            fn, gn = evaluate(xn)
+            if total(xn, fn) <= hist[-1] + 1e-4 * np.dot(pg, xn - x) or step < 1e-12:
+                break
+            step *= 0.5
+        s_vec, y_vec = xn - x, gn - gx
+        if np.dot(s_vec, y_vec) > 1e-12:
+            s_list.append(s_vec)
+            y_list.append(y_vec)
+            if len(s_list) > memory:
+                s_list.pop(0)
+                y_list.pop(0)
+        obj = total(xn, fn)
+        rel = abs(hist[-1] - obj) / max(abs(obj), 1e-12)
+        x, fx, gx = xn, fn, gn
+        hist.append(obj)
+        if rel < tol:
+            break
+    data.unpersist()
+    coef = np.where(sd > 0, x[:n] / np.where(sd > 0, sd, 1.0), 0.0)
+    return LogisticModel(list(feats), coef, float(x[n]), hist, it)
+
+
 def summary_frame(spark, model: LogisticModel) -> DataFrame:
     """Objective per iteration."""
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.objective_history)],

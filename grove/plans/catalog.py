@@ -856,9 +856,14 @@ def prequential_errors(spark, sf):
     from grove.operators.evaluate import prequential
     from grove.operators.forest import IncrementalForest
     from grove.operators.growth import ForestParams
+    from grove.operators.evaluate import write_metrics
+    from grove.session import new_work_path
     est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=5, max_depth=3, seed=0))
-    return prequential(est.fit, est.update, lambda m, d: m.transform(d),
-                       _events_batches(spark, sf), holdout=3)
+    m = prequential(est.fit, est.update, lambda m, d: m.transform(d),
+                    _events_batches(spark, sf), holdout=3)
+    path = new_work_path(spark, "metrics")
+    write_metrics(m, path)  # S5: the run's report, appended to a Parquet table
+    return spark.read.parquet(path)
 
 
 @query("policy_grid")
@@ -1134,3 +1139,24 @@ def tree_accuracy_weights(spark, sf):
     from grove.operators.score import tree_accuracy
     m = _forest_model(spark, sf)
     return tree_accuracy(m, FX.hyperplane(spark, sf)).select("tree_id", rnd("accuracy").alias("accuracy"), "n")
+
+
+@query("forest_shape", lambda: f"""{_forest_sql_dict()['with']}
+    SELECT count(DISTINCT tree_id) AS num_trees, count(*) AS total_nodes,
+           CAST(max(floor(log2(node_id))) AS INTEGER) AS max_depth,
+           max(CASE WHEN NOT is_leaf THEN feature END) AS max_split_feature FROM nodes""")
+def forest_shape(spark, sf):
+    """M8 totals: trees, nodes, deepest level, highest split feature."""
+    from grove.operators.inspect import forest_shape as fs
+    return fs(_forest_model(spark, sf).nodes_df(spark))
+
+
+@query("logistic_elastic_net")
+def logistic_elastic_net(spark, sf):
+    """Elastic-net penalty (proximal steps), penalty on original-scale
+    coefficients (standardization off); coefficients and intercept."""
+    from grove.operators import logistic as LG
+    m = LG.fit(FX.hyperplane(spark, sf), SUMMARY_FEATURES, reg=0.01, elastic_net=0.5,
+               standardization=False, max_iter=60)
+    rows = [(f, float(c)) for f, c in zip(SUMMARY_FEATURES, m.coefficients)]
+    return spark.createDataFrame(rows + [("intercept", m.intercept)], "name string, value double")
