@@ -58,12 +58,12 @@ def quantile_sample(df: DataFrame, fraction: float, key: str = "rk", seed: int =
 
 # ----------------------------------------------------------------------- B3
 def bag_weights(df: DataFrame, num_trees: int, key: str = "rk", rate: float = 1.0,
-                seed: int = 0, tree_offset: int = 0) -> DataFrame:
-    """B3 in long form: one row (key, tree_id, weight) per row and tree.
-    The training path computes the same weights inside Arrow batches
+                seed: int = 0, tree_offset: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """B3 in long form: one row (key, keep..., tree_id, weight) per row and
+    tree.  The training path computes the same weights inside Arrow batches
     (``bag_weight_np``) and never materialises this product."""
     trees = F.explode(F.sequence(F.lit(tree_offset), F.lit(tree_offset + num_trees - 1)))
-    out = df.select(F.col(key), trees.alias("tree_id"))
+    out = df.select(F.col(key), *keep, trees.alias("tree_id"))
     u = H.uniform(SEED_BAG + seed, F.col("tree_id"), F.col(key))
     return out.withColumn("weight", H.bag_weight(u, num_trees, rate))
 

@@ -161,8 +161,8 @@ def _bag_sql():
 @query("bag_weights", _bag_sql)
 def bag_weights(spark, sf):
     """Poisson(1) weight per (row, tree)."""
-    e = FX.events(spark, sf).select("rk", "event_id")
-    return B.bag_weights(e, 5).join(e, "rk").select("event_id", "tree_id", "weight")
+    e = FX.events(spark, sf)
+    return B.bag_weights(e, 5, keep=["event_id"]).select("event_id", "tree_id", "weight")
 
 
 @query("union_batches", f"""
