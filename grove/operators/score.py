@@ -20,6 +20,74 @@ from pyspark.sql import types as T
 from grove.operators import histogram as Hg
 
 MAX_BROADCAST_NODES = 50_000_000  # about 1 GB of flat arrays
+# forests up to this size score as nested CASE WHEN Columns (JVM, codegen)
+EXPR_MAX_NODES = 4096
+EXPR_MAX_DEPTH = 8
+
+
+def _tree_expr(nodes_by_id: dict, node_id: int, names, thresholds, leaf_value):
+    """Nested when/otherwise for one tree; ``x <= t`` (t = threshold of the
+    split index) equals ``bin <= split_idx``; NaN and null go right."""
+    r = nodes_by_id[node_id]
+    if r["is_leaf"] or r["feature"] < 0 or (2 * node_id) not in nodes_by_id:
+        return leaf_value(r)
+    x = F.col(names[int(r["feature"])]).cast("double")
+    if r["split_idx"] >= 0:
+        cond = x <= F.lit(float(thresholds[int(r["feature"])][int(r["split_idx"])]))
+    else:
+        cond = x.isin([float(c) for c in r["left_categories"]])
+    return F.when(cond, _tree_expr(nodes_by_id, 2 * node_id, names, thresholds, leaf_value)) \
+        .otherwise(_tree_expr(nodes_by_id, 2 * node_id + 1, names, thresholds, leaf_value))
+
+
+def expression_ok(model) -> bool:
+    n = len(model.nodes)
+    depth = int(max((int(i).bit_length() - 1 for i in model.nodes.node_id), default=0))
+    return n <= EXPR_MAX_NODES and depth <= EXPR_MAX_DEPTH and all(
+        a == 0 or a <= 64 for a in model.spec.arity)
+
+
+def transform_expr(model, df: DataFrame, keep=None, raw_col: str = "raw",
+                   prob_col: str = "probability", pred_col: str = "prediction") -> DataFrame:
+    """M1-M4 as Column expressions: one nested CASE WHEN per tree and class;
+    votes summed, normalised, first maximum.  Same results as the Arrow
+    path for small forests, without leaving the JVM."""
+    keep = list(df.columns) if keep is None else list(keep)
+    names = list(model.spec.names)
+    th = model.splits.thresholds
+    k = model.spec.num_classes
+    wmap = dict(zip(model.trees.tree_id, model.trees.weight))
+    per_tree = {}
+    for r in model.nodes.to_dict("records"):
+        per_tree.setdefault(int(r["tree_id"]), {})[int(r["node_id"])] = r
+    if k == 0:
+        tw = sum(wmap.values())
+        tot = None
+        for t, nodes in per_tree.items():
+            e = _tree_expr(nodes, 1, names, th,
+                           lambda r: F.lit(float(r["stats"][1] / r["stats"][0]) if r["stats"][0] else 0.0))
+            e = e * F.lit(float(wmap[t]))
+            tot = e if tot is None else tot + e
+        pred = tot / F.lit(float(tw)) if tw > 0 else tot
+        return df.select(*keep, pred.alias(pred_col))
+    raws = []
+    for c in range(k):
+        acc = None
+        for t, nodes in per_tree.items():
+            def leaf(r, c=c, t=t):
+                st = r["stats"]
+                s_ = float(sum(st))
+                return F.lit(float(st[c] / s_ * wmap[t]) if s_ > 0 else 0.0)
+            e = _tree_expr(nodes, 1, names, th, leaf)
+            acc = e if acc is None else acc + e
+        raws.append(acc if acc is not None else F.lit(0.0))
+    raw = F.array(*raws)
+    out = df.select(*keep, raw.alias(raw_col))
+    total = F.aggregate(F.col(raw_col), F.lit(0.0), lambda a, b: a + b)
+    prob = F.when(total > 0, F.transform(F.col(raw_col), lambda v: v / total)).otherwise(
+        F.transform(F.col(raw_col), lambda v: v * 0.0))
+    pred = (F.array_position(F.col(raw_col), F.array_max(F.col(raw_col))) - 1).cast("double")
+    return out.select(*keep, raw_col, prob.alias(prob_col), pred.alias(pred_col))
 
 
 def _payload(model, tree_ids=None, single_tree: bool = False):
@@ -50,8 +118,16 @@ def _payload(model, tree_ids=None, single_tree: bool = False):
 
 def transform(model, df: DataFrame, keep=None, tree_ids=None, single_tree: bool = False,
               raw_col: str = "raw", prob_col: str = "probability",
-              pred_col: str = "prediction") -> DataFrame:
-    """M4: adds raw votes, probability and prediction columns."""
+              pred_col: str = "prediction", path: str = "auto") -> DataFrame:
+    """M4: adds raw votes, probability and prediction columns.  ``path``:
+    'arrow' (broadcast arrays in mapInArrow, any size; the default) or
+    'expr' (nested CASE WHEN Columns; small forests only).  Measured at
+    sf0.1 with 10 trees of depth 6: 4.2 s Arrow, 19 s expressions (the
+    generated code outgrows codegen and is interpreted)."""
+    if tree_ids is None and not single_tree and path == "expr":
+        if not expression_ok(model):
+            raise ValueError("forest too large for the expression path")
+        return transform_expr(model, df, keep, raw_col, prob_col, pred_col)
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(_payload(model, tree_ids, single_tree))
     keep = list(df.columns) if keep is None else list(keep)

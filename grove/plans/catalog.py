@@ -1160,3 +1160,37 @@ def logistic_elastic_net(spark, sf):
                standardization=False, max_iter=60)
     rows = [(f, float(c)) for f, c in zip(SUMMARY_FEATURES, m.coefficients)]
     return spark.createDataFrame(rows + [("intercept", m.intercept)], "name string, value double")
+
+
+def _stage_reuse_sql():
+    items, u = O.hash_u("bh", B.SEED_BATCH, ["rk"])
+    return f"""
+    WITH o AS (SELECT *, {FX._key_sql('rk', 0, ['o_orderkey'])} FROM orders),
+    b AS (SELECT *, {items}, CAST(least(floor({u} * CAST(2.0 AS DOUBLE)), 1) AS INTEGER) AS batch FROM o),
+    idx AS (SELECT o_orderpriority AS v, CAST(row_number() OVER (ORDER BY count(*) DESC,
+            o_orderpriority) - 1 AS DOUBLE) AS idx FROM b WHERE batch = 0 GROUP BY o_orderpriority)
+    SELECT o_orderkey, batch, coalesce(idx.idx, CAST((SELECT count(*) FROM idx) AS DOUBLE)) AS priority_idx
+    FROM b LEFT JOIN idx ON b.o_orderpriority = idx.v"""
+
+
+@query("prep_stage_reuse", _stage_reuse_sql)
+def prep_stage_reuse(spark, sf):
+    """P11 (decision D9): the label index is fitted on the first batch and
+    reused for every later batch (unseen labels -> index n)."""
+    o = H.with_row_key(read_table(spark, sf, "orders"), [F.col("o_orderkey")])
+    o = B.split_batches(o, 2, holdout=False)
+    idx = P.fit_string_index(o.where(F.col("batch") == 0), "o_orderpriority")
+    out, _ = P.string_index(o, "o_orderpriority", "priority_idx", index=idx, handle_invalid="keep")
+    return out.select("o_orderkey", "batch", "priority_idx")
+
+
+@query("prequential_next_batch")
+def prequential_next_batch(spark, sf):
+    """Train through batch i, test on batch i + 1, then update."""
+    from grove.operators.evaluate import prequential
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=5, max_depth=3, seed=0,
+                                                           incremental_prop=0.5, regrow_prop=0.3))
+    batches = _events_batches(spark, sf, 3).where(F.col("batch") < 3)
+    return prequential(est.fit, est.update, lambda m, d: m.transform(d), batches)

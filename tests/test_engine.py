@@ -76,3 +76,13 @@ def test_builtin_tree_agrees_on_root(spark):
     dt = DecisionTreeClassifier(maxDepth=1, maxBins=32).fit(v)
     # depth 1: all importance sits on the root's feature
     assert int(np.argmax(dt.featureImportances.toArray())) == root.feature
+
+
+def test_expression_and_arrow_scoring_agree(spark):
+    from grove.operators.score import transform
+    h = FX.hyperplane(spark, SMALL)
+    m = _est(num_trees=3, max_depth=3).fit(h)
+    a = transform(m, h, keep=["rk"], path="arrow").orderBy("rk").toPandas()
+    b = transform(m, h, keep=["rk"], path="expr").orderBy("rk").toPandas()
+    assert (a.prediction.values == b.prediction.values).all()
+    assert np.allclose(np.stack(a.probability.values), np.stack(b.probability.values))
