@@ -40,9 +40,13 @@ def score_bins(df: DataFrame, score: str = "score", label: str = "label",
                num_bins: int = 100) -> DataFrame:
     """(bin, threshold, pos, neg, cum_pos, cum_neg, total_pos, total_neg),
     bins in descending score order."""
+    from pyspark import StorageLevel
+    # one row per distinct score; read several times below (count, ranges,
+    # ranks), so it is computed once - the scores upstream may be a model
     per = (df.groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
-                F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
+                F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg"))
+           .persist(StorageLevel.MEMORY_AND_DISK))
     ranked = running_sums(per, [], "s", [], buckets=16, descending=True)
     n_distinct = per.count()
     grouping = n_distinct // num_bins if num_bins > 0 else 0
