@@ -123,9 +123,9 @@ class ForestModel:
                     bin_counts=[int(b) for b in self.splits.num_bins],
                     unordered=[bool(u) for u in self.splits.unordered])
 
-    def save(self, spark: SparkSession, mode: str = "error") -> "ForestModel":
+    def save(self, spark: SparkSession, mode: str = "error", extra=()) -> "ForestModel":
         MS.save_version(spark, self.root, self.version, self.meta(), self.splits.to_rows(),
-                        self.trees, self.nodes, mode)
+                        self.trees, self.nodes, mode, extra)
         return self
 
     @staticmethod
@@ -228,10 +228,11 @@ class IncrementalForest:
         trees = pd.DataFrame(dict(tree_id=list(range(p.num_trees)), weight=1.0,
                                   max_depth=p.max_depth, born_version=0, stats_version=0,
                                   origin="fit"))
-        data.unpersist()
         model = ForestModel(self.spec, p, splits, trees, state.frame(), 0, root, int(info["n"]),
                             [dict(version=0, rows=int(info["n"]), seconds=time.time() - t0)])
-        return model.save(spark, mode)
+        model.save(spark, mode, [state.finish])
+        data.unpersist()
+        return model
 
     # --- I7
     def update(self, model: ForestModel, df: DataFrame, mode: str = "error") -> ForestModel:
@@ -278,13 +279,14 @@ class IncrementalForest:
         if frontier:
             state = self._grow(data, model.splits, state, max_depth, born, sorted(frontier), v,
                                model.root, stored)
-        data.unpersist()
         trees = trees.astype({"max_depth": int, "born_version": int, "stats_version": int})
         new = ForestModel(s, p, model.splits, trees, state.frame(), v, model.root,
                           model.rows_seen + n_new,
                           model.history + [dict(version=v, rows=n_new,
                                                 seconds=time.time() - t0)])
-        return new.save(spark, mode)
+        new.save(spark, mode, [state.finish])
+        data.unpersist()
+        return new
 
     # --- I9
     def add_trees(self, model: ForestModel, df: DataFrame, count: int,
@@ -307,10 +309,11 @@ class IncrementalForest:
         born = {t: v for t in ids}
         state = self._grow(data, model.splits, state, max_depth, born, [(t, 1) for t in ids], v,
                            model.root)
-        data.unpersist()
         added = pd.DataFrame(dict(tree_id=ids, weight=1.0, max_depth=self.params.max_depth,
                                   born_version=v, stats_version=v, origin="added"))
         trees = pd.concat([model.trees, added], ignore_index=True)
         new = ForestModel(self.spec, self.params, model.splits, trees, state.frame(), v,
                           model.root, model.rows_seen + int(info["n"]), model.history)
-        return new.save(spark, mode)
+        new.save(spark, mode, [state.finish])
+        data.unpersist()
+        return new

@@ -266,6 +266,7 @@ def root_row(tree_id: int, C: int) -> dict:
 class GrowState:
     nodes: dict = field(default_factory=dict)  # (tree, node) -> row dict
     created: set = field(default_factory=set)  # nodes whose stats came from a parent split
+    finish: object = None  # deferred leaf-statistics write
 
     def frame(self) -> pd.DataFrame:
         if not self.nodes:
@@ -304,6 +305,17 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
                 keys = spark.createDataFrame(chunk, "tree_id int, node_id bigint")
                 old = stored_hist.join(F.broadcast(keys), Hg.NODE_KEY, "left_semi")
                 hist = Hg.merge_histograms([hist, old.select(*hist.columns)], num_classes)
+            terminal = all(level_of(i) >= max_depth[t] and (t, i) in state.created
+                           for t, i in chunk)
+            if terminal:
+                # nodes at the depth limit whose statistics came from their
+                # parent's split: nothing to decide, the pass only feeds the
+                # stored leaf histograms (written with the model, below)
+                for key in chunk:
+                    state.nodes[key]["is_leaf"] = True
+                if leaf_sink and params.store_leaf_stats:
+                    pending.append((None, hist))
+                continue
             hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
             if all(level_of(i) >= max_depth[t] for t, i in chunk):
                 # every node here ends as a leaf: totals only, no split search
@@ -383,11 +395,14 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
         frontier = next_frontier
         first = False
     if pending:
-        out = pending[0][1]
-        for _, part in pending[1:]:
-            out = out.unionByName(part)
-        (out.withColumn("version", F.lit(int(version))).write.mode("append")
-         .partitionBy("version").parquet(leaf_sink))
-        for h, _ in pending:
-            h.unpersist()
+        def finish():
+            out = pending[0][1]
+            for _, part in pending[1:]:
+                out = out.unionByName(part)
+            (out.withColumn("version", F.lit(int(version))).write.mode("append")
+             .partitionBy("version").parquet(leaf_sink))
+            for h, _ in pending:
+                if h is not None:
+                    h.unpersist()
+        state.finish = finish  # run with the model's own writes
     return state

@@ -63,7 +63,8 @@ def trees_frame(spark: SparkSession, trees: pd.DataFrame) -> DataFrame:
 
 
 def save_version(spark: SparkSession, root: str, version: int, meta: dict, splits_rows,
-                 trees: pd.DataFrame, nodes: pd.DataFrame, mode: str = "error") -> None:
+                 trees: pd.DataFrame, nodes: pd.DataFrame, mode: str = "error",
+                 extra=()) -> None:
     """S3: writes one version.  Fails if it exists unless mode='overwrite'."""
     if mode != "overwrite" and version_exists(spark, root, version):
         raise FileExistsError(f"{root} already holds version {version}")
@@ -82,9 +83,13 @@ def save_version(spark: SparkSession, root: str, version: int, meta: dict, split
     # four small independent jobs: submitted together; meta goes last, so a
     # version is visible only once its tables are complete
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        list(pool.map(write, (("splits", s), ("trees", trees_frame(spark, trees)),
-                              ("nodes", nodes_frame(spark, nodes)))))
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        futs = [pool.submit(write, item) for item in
+                (("splits", s), ("trees", trees_frame(spark, trees)),
+                 ("nodes", nodes_frame(spark, nodes)))]
+        futs += [pool.submit(fn) for fn in extra if fn is not None]  # e.g. leaf statistics
+        for f in futs:
+            f.result()
     write(("meta", m))
 
 

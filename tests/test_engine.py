@@ -86,3 +86,17 @@ def test_expression_and_arrow_scoring_agree(spark):
     b = transform(m, h, keep=["rk"], path="expr").orderBy("rk").toPandas()
     assert (a.prediction.values == b.prediction.values).all()
     assert np.allclose(np.stack(a.probability.values), np.stack(b.probability.values))
+
+
+def test_leaf_statistics_cover_every_leaf(spark):
+    """I8: each leaf with data has stored histograms whose per-feature
+    totals equal the leaf's weighted count (depth-limit leaves included)."""
+    h = FX.hyperplane(spark, SMALL)
+    m = _est(num_trees=3, max_depth=3).fit(h)
+    ls = m.leaf_stats(spark).groupBy("tree_id", "node_id", "feature") \
+        .agg(F.sum(F.col("s0") + F.col("s1")).alias("w")).toPandas()
+    tot = ls.groupby(["tree_id", "node_id"]).w.max()
+    leaves = m.nodes[m.nodes.is_leaf & (m.nodes["count"] > 0)]
+    assert len(leaves) > 0
+    for r in leaves.itertuples():
+        assert np.isclose(tot.loc[(r.tree_id, r.node_id)], r.count)
