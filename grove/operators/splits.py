@@ -34,6 +34,8 @@ from pyspark.sql.window import Window
 
 from grove.operators.prefix import running_sums
 
+DRIVER_VALUE_LIMIT = 1_000_000  # (feature, value) rows of the quantile sample
+
 
 # ----------------------------------------------------------------------- Q1
 def long_values(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -94,6 +96,26 @@ def continuous_thresholds(vc: DataFrame, num_splits: int, buckets: int | None =
     return few.unionByName(stride)
 
 
+def thresholds_np(values: np.ndarray, counts: np.ndarray, num_splits: int) -> np.ndarray:
+    """The same closed form over one feature's sorted distinct values and
+    their counts (used on the bounded quantile sample)."""
+    S = int(num_splits)
+    m = len(values)
+    if m <= S:
+        return values.astype(np.float64)
+    N = int(counts.sum())
+    c = np.cumsum(counts.astype(np.int64))
+    x = (2 * c - counts) * (S + 1)          # 2 * mid_j * (S+1), j = 1..m
+    g = (x[1:] - 1) // (2 * N)              # steps j = 2..m (index 0 -> j = 2)
+    ks = np.arange(1, S + 1)
+    pos = np.searchsorted(g, ks, side="left")  # first step with g >= k
+    ok = pos < len(g)
+    ks, f = ks[ok], pos[ok] + 2             # f(k) as a 1-based step number
+    jk = ks + np.maximum.accumulate(f - ks)
+    jk = jk[jk <= m]
+    return values[jk - 2].astype(np.float64)
+
+
 # ----------------------------------------------------------------------- Q5
 def max_unordered_arity(max_bins: int) -> int:
     return int(math.floor(math.log2(max(max_bins - 1, 1)))) + 1
@@ -141,11 +163,29 @@ def find_splits(sample: DataFrame, names: Sequence[str], arity: Sequence[int],
     if cont:
         from pyspark import StorageLevel
         vc = value_counts(sample, [names[i] for i in cont]).persist(StorageLevel.MEMORY_AND_DISK)
-        tab = continuous_thresholds(vc, S, buckets)
-        remap = F.create_map(*[x for j, i in enumerate(cont) for x in (F.lit(j), F.lit(i))])
-        tab = tab.select(F.element_at(remap, F.col("feature")).alias("feature"), "split_idx",
-                         "threshold")
-        rows = tab.collect()  # bounded: features x (max_bins - 1)
+        # The quantile sample holds max(max_bins^2, 10000) rows in expectation
+        # whatever the table size: when its value counts are within a fixed
+        # bound they are brought to the driver once and walked in NumPy (one
+        # job); above the bound the distributed closed form runs instead.
+        small = vc.limit(DRIVER_VALUE_LIMIT + 1).collect()
+        if len(small) <= DRIVER_VALUE_LIMIT:
+            rows = []
+            by_f: dict = {}
+            for r in small:
+                by_f.setdefault(int(r["feature"]), []).append((float(r["v"]), int(r["n"])))
+            for j, pairs in by_f.items():
+                pairs.sort()
+                v = np.array([a for a, _ in pairs])
+                n = np.array([b for _, b in pairs])
+                for k, t in enumerate(thresholds_np(v, n, S)):
+                    rows.append({"feature": cont[j], "split_idx": k, "threshold": float(t)})
+            tab = None
+        else:
+            tab = continuous_thresholds(vc, S, buckets)
+            remap = F.create_map(*[x for j, i in enumerate(cont) for x in (F.lit(j), F.lit(i))])
+            tab = tab.select(F.element_at(remap, F.col("feature")).alias("feature"), "split_idx",
+                             "threshold")
+            rows = tab.collect()  # bounded: features x (max_bins - 1)
         vc.unpersist()
     else:
         tab = None

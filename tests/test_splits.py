@@ -43,3 +43,12 @@ def test_unordered_subsets(spark):
 def test_bins_np_left_closed():
     th = np.array([1.0, 2.0, 3.0])
     assert list(Q.bins_np(np.array([0.5, 1.0, 1.5, 3.0, 9.0, np.nan]), th)) == [0, 0, 1, 2, 3, 3]
+
+
+@pytest.mark.parametrize("seed,n,distinct,splits", [
+    (0, 3000, 50, 7), (1, 5000, 4000, 31), (3, 2000, 12, 31), (5, 100, 100, 99)])
+def test_numpy_closed_form_equals_walk(seed, n, distinct, splits):
+    rng = np.random.default_rng(seed)
+    vals = rng.integers(0, distinct, n).astype(float) ** 1.5
+    v, c = np.unique(vals, return_counts=True)
+    assert np.allclose(Q.thresholds_np(v, c, splits), walk(vals, splits))
