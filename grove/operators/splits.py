@@ -65,8 +65,12 @@ def continuous_thresholds(vc: DataFrame, num_splits: int, buckets: int | None =
     (ranges, totals, ranks): persist it when it is expensive."""
     S = int(num_splits)
     buckets = default_buckets(vc) if buckets is None else buckets
+    from pyspark import StorageLevel
     ranked = running_sums(vc, ["feature"], "v", ["n"], buckets=buckets, totals=True)
-    ranked = ranked.withColumnsRenamed({"tot_n": "n_total", "tot_rows": "m"})
+    # read three times below (all-values branch, stride steps, threshold
+    # lookup): ranked once, kept (spillable) instead of re-sorted each time
+    ranked = ranked.withColumnsRenamed({"tot_n": "n_total", "tot_rows": "m"}) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
     # Q2: few distinct values -> all of them
     few = (ranked.where(F.col("m") <= S)
