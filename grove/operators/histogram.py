@@ -30,6 +30,7 @@ from grove.operators.sampling import SEED_BAG, SEED_SUBSET
 from grove.operators.splits import Splits, bins_np
 
 NODE_KEY = ["tree_id", "node_id"]
+FLUSH_ENTRIES = 4_000_000  # pending histogram updates per task (~64 MB)
 
 
 def tree_key(tree_id, born_version):
@@ -140,7 +141,7 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
                    born: dict[int, int], frontier: Sequence[tuple[int, int]],
                    subset_k: int, num_trees_bag: int, subsampling_rate: float,
                    seed: int, label: str = "label", weight: str | None = None,
-                   on_missing: str = "error") -> DataFrame:
+                   on_missing: str = "error", flush_entries: int = None) -> DataFrame:
     """A3-A5: merged histogram of the frontier nodes over ``data``.
 
     Returns wide rows (tree_id, node_id, feature, bin, s0..s{C-1})."""
@@ -178,11 +179,27 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
     arity = list(arity)
     size = len(frontier) * F_ * B * C
     regression = num_classes == 0
+    flush_at = int(flush_entries or FLUSH_ENTRIES)
 
     def fn(batches):
         p = bc.value
         fo: FlatForest = p["forest"]
         acc = np.zeros(size, dtype=np.float64)
+        idx_parts, w_parts = [], []
+        pending = 0
+
+        def flush():
+            # pending (cell, weight) pairs go into the buffer in one bincount;
+            # flushing at a fixed count bounds task memory whatever the
+            # number of trees and features
+            nonlocal pending
+            if idx_parts:
+                acc[:] += np.bincount(np.concatenate(idx_parts), weights=np.concatenate(w_parts),
+                                      minlength=size)
+                idx_parts.clear()
+                w_parts.clear()
+            pending = 0
+
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -191,7 +208,6 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
             y = rb.column(label).to_numpy(zero_copy_only=False).astype(np.float64)
             w0 = (rb.column(weight).to_numpy(zero_copy_only=False).astype(np.float64)
                   if weight else np.ones(rb.num_rows))
-            idx_parts, w_parts = [], []
             for tid, tp, tk in p["trees"]:
                 u = H.uniform_np(SEED_BAG + seed, np.int64(tk), keys)
                 w = H.bag_weight_np(u, num_trees_bag, subsampling_rate) * w0
@@ -211,12 +227,14 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
                         yy = ys[m]
                         idx_parts += [base, base + 1, base + 2]
                         w_parts += [ws[m], ws[m] * yy, ws[m] * yy * yy]
+                        pending += 3 * len(base)
                     else:
                         idx_parts.append(base + ys[m].astype(np.int64))
                         w_parts.append(ws[m])
-            if idx_parts:
-                acc += np.bincount(np.concatenate(idx_parts), weights=np.concatenate(w_parts),
-                                   minlength=size)
+                        pending += len(base)
+                    if pending >= flush_at:
+                        flush()
+        flush()
         cells = acc.reshape(-1, C)
         nz = np.nonzero(np.any(cells != 0, axis=1))[0]
         if len(nz) == 0:

@@ -116,3 +116,23 @@ def test_memory_chunks_and_plain_mode_give_the_same_forest(spark):
     for other in (chunked, plain):
         assert np.array_equal(base[cols].to_numpy(np.int64), other[cols].to_numpy(np.int64))
         assert np.allclose(np.stack(base.stats.values), np.stack(other.stats.values))
+
+
+def test_histogram_flushing_does_not_change_cells(spark):
+    from grove.operators import histogram as Hg
+    from grove.operators.growth import GrowState, root_row
+    from grove.operators.splits import Splits
+    h = FX.hyperplane(spark, SMALL)
+    th = [np.array([10.0, 25.0, 40.0]), np.array([0.03, 0.07]), np.array([0.02, 0.05]),
+          np.array([20000.0, 50000.0])]
+    sp = Splits(th, [len(t) + 1 for t in th], [False] * 4)
+    st = GrowState()
+    for t in range(3):
+        st.nodes[(t, 1)] = root_row(t, 2)
+    fo = Hg.FlatForest.build(st.frame(), [0, 1, 2], 1)
+    args = (h, FX.HYPER_FEATURES, [0] * 4, sp, 2, fo, {0: 0, 1: 0, 2: 0},
+            [(0, 1), (1, 1), (2, 1)], 4, 3, 1.0, 0)
+    a = Hg.histogram_pass(*args).orderBy("tree_id", "node_id", "feature", "bin").toPandas()
+    b = Hg.histogram_pass(*args, flush_entries=50).orderBy("tree_id", "node_id", "feature",
+                                                          "bin").toPandas()
+    assert len(a) == len(b) and np.allclose(a[["s0", "s1"]].values, b[["s0", "s1"]].values)
