@@ -281,6 +281,34 @@ class GrowState:
         return df.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
 
 
+MAX_BROADCAST_NODES = 5_000_000  # nodes of the trees shipped with one pass
+
+
+def _chunks(frontier: list, max_nodes: int, state: "GrowState"):
+    """Cuts a level's frontier (sorted by tree) into passes that hold at most
+    ``max_nodes`` frontier nodes (the task buffer) and whose trees have at
+    most MAX_BROADCAST_NODES nodes in all (the broadcast)."""
+    sizes: dict = {}
+    for t, _ in state.nodes:
+        sizes[t] = sizes.get(t, 0) + 1
+    chunk, trees, total = [], set(), 0
+    for key in frontier:
+        t = key[0]
+        if sizes.get(t, 0) > MAX_BROADCAST_NODES:
+            raise ValueError(f"tree {t} has {sizes[t]} nodes, above the broadcast bound")
+        extra = 0 if t in trees else sizes.get(t, 0)
+        if chunk and (len(chunk) >= max_nodes or total + extra > MAX_BROADCAST_NODES):
+            yield chunk
+            chunk, trees, total = [], set(), 0
+            extra = sizes.get(t, 0)
+        chunk.append(key)
+        if t not in trees:
+            trees.add(t)
+            total += extra
+    if chunk:
+        yield chunk
+
+
 def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Splits,
          num_classes: int, params: ForestParams, state: GrowState, max_depth: dict,
          born: dict, frontier: list, version: int, subset_k: int, num_trees_bag: int,
@@ -299,8 +327,7 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
     pending = []  # (persisted level histogram, its leaves) -> one write at the end
     while frontier:
         next_frontier = []
-        for lo in range(0, len(frontier), max_nodes):
-            chunk = frontier[lo:lo + max_nodes]
+        for chunk in _chunks(sorted(frontier), max_nodes, state):
             trees_in = sorted({t for t, _ in chunk})
             nodes_pd = state.frame()
             forest = Hg.FlatForest.build(nodes_pd, trees_in, max_arity)
