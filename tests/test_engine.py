@@ -136,3 +136,35 @@ def test_histogram_flushing_does_not_change_cells(spark):
     b = Hg.histogram_pass(*args, flush_entries=50).orderBy("tree_id", "node_id", "feature",
                                                           "bin").toPandas()
     assert len(a) == len(b) and np.allclose(a[["s0", "s1"]].values, b[["s0", "s1"]].values)
+
+
+def _leaf_counts_match(spark, df, spec, **kw):
+    from grove.operators.score import leaf_ids
+    m = IncrementalForest(spec, ForestParams(num_trees=1, max_depth=3, seed=1, **kw)).fit(df)
+    assert (~m.nodes.is_leaf).any()
+    routed = leaf_ids(m, df, keep=["rk"]).select(F.col("node_ids")[0].alias("node_id")) \
+        .groupBy("node_id").count().toPandas().set_index("node_id")["count"]
+    leaves = m.nodes[m.nodes.is_leaf & (m.nodes["count"] > 0)]
+    for r in leaves.itertuples():
+        assert routed.get(r.node_id, 0) == r.count, (r.node_id, routed.get(r.node_id), r.count)
+    assert routed.sum() == df.count()
+    return m
+
+
+def test_routing_through_ordered_categories(spark):
+    """Growth and scoring route rows identically through category-set
+    splits (ordered categories, binary label)."""
+    from grove.operators.features import FeatureSpec
+    df, arity = FX.categorical(spark, SMALL)
+    spec = FeatureSpec(list(FX.CAT_FEATURES), arity, "label", 2)
+    m = _leaf_counts_match(spark, df, spec)
+    assert any(len(c) > 0 for c in m.nodes.left_categories)
+
+
+def test_routing_through_unordered_categories(spark):
+    """Same with five classes: low-arity features split by subsets."""
+    from grove.operators.features import FeatureSpec
+    from grove.plans.catalog import _mc_cat
+    df, arity, k = _mc_cat(spark, SMALL)
+    spec = FeatureSpec(["segment_idx", "status_idx"], arity, "label", k)
+    _leaf_counts_match(spark, df, spec)
