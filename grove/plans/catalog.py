@@ -171,7 +171,8 @@ def union_batches(spark, sf):
     """Cumulative training set = union of the daily batches."""
     e = FX.events(spark, sf)
     days = [r[0] for r in e.select("day").distinct().collect()]  # one per batch file
-    u = B.union_batches([e.where(F.col("day") == d) for d in sorted(days)])
+    # each batch is read with its own timestamp range (pushed into the scan)
+    u = B.union_batches([FX.events(spark, sf, day=d) for d in sorted(days)])
     return u.groupBy("day").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("label")).alias("positives"))
 
 

@@ -76,8 +76,10 @@ def drift_sql() -> str:
 
 
 # ------------------------------------------------------------------ events
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, day: int | None = None) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
+    if day is not None:
+        e = e.where(day_range(day))
     df = H.with_row_key(e, [F.col("event_id")])
     return df.select(
         "rk", "event_id",
@@ -89,6 +91,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", "props")
 
 
+def day_range(day: int):
+    """Rows of one day as a range on the raw timestamp, so the filter reaches
+    the parquet scan (row-group statistics) instead of a derived column."""
+    import datetime as _dt
+    start = _dt.datetime(1970, 1, 1) + _dt.timedelta(days=int(day))
+    end = start + _dt.timedelta(days=1)
+    ts = F.col("ts")
+    return (ts >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz")) & \
+        (ts < F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz"))
+
+
 def events_sql() -> str:
     return ("SELECT rk, event_id, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS label, "
             "CAST(value AS DOUBLE) AS value, CAST(hour(ts) AS DOUBLE) AS hour, "
