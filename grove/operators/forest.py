@@ -274,8 +274,11 @@ class IncrementalForest:
                 frontier.append((tid, 1))
             max_depth[tid] = int(trees.loc[i, "max_depth"])
             born[tid] = int(trees.loc[i, "born_version"])
-        grown = trees[trees.origin == "grown"]
-        stored = MS.leaf_stats(spark, model.root, grown) if len(grown) else None
+        # stored leaf histograms of the grown trees, read from the versions
+        # the OLD model points at (their new stats_version is being written)
+        grown_ids = set(trees.tree_id[trees.origin == "grown"])
+        grown_old = model.trees[model.trees.tree_id.isin(grown_ids)]
+        stored = MS.leaf_stats(spark, model.root, grown_old) if len(grown_old) else None
         if frontier:
             state = self._grow(data, model.splits, state, max_depth, born, sorted(frontier), v,
                                model.root, stored)
