@@ -63,3 +63,65 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
                            AS t(conv_id, turn, role, text)""")
     turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(format_chats(turns.unionByName(forged)))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity scores of all documents, learned outside the held-out fold."""
+    from grove.llm.common import fold
+    from grove.llm.toxicity import fit, score_documents
+    docs, labels = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels")
+    model = fit(docs, labels.select("doc_id", "toxic").where(fold(F.col("doc_id")) != 0))
+    return score_documents(docs, model).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query("op6_line_dedup", f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, k, x[k] AS line, translate(trim(x[k], {_WS}), '{_UPPER}', lower('{_UPPER}')) AS key
+      FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM d)),
+r AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT l.*, r.first IS NOT NULL AND l.doc_id > r.first AS gone FROM l LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Line deduplication of all documents."""
+    from grove.llm.linededup import dedup_lines
+    out = dedup_lines(read(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Rules of the contract: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: Parts of host names that put a host on the block list.
+URL_WORDS = ("spam", "casino", "phishing", "malware", "adult")
+
+
+@query("op9_url_filters", f"""
+WITH u AS (SELECT page_id, url, strpos(url, '://') AS sep FROM pages),
+h AS (SELECT page_id, CASE WHEN sep > 0 THEN substr(url, sep + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', lower('{_UPPER}')) AS host,
+  regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM h),
+rules(rhost, rpath, rverdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+f AS (SELECT p.page_id, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY p.page_id
+        ORDER BY length(rhost || rpath) DESC, length(rhost) DESC, rverdict DESC) AS k
+      FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+listed AS (SELECT DISTINCT host AS bad FROM p WHERE list_has_any(string_split_regex(host, '[.-]'), {list(URL_WORDS)})),
+m AS (SELECT DISTINCT page_id FROM p JOIN listed ON host = bad OR ends_with(host, '.' || bad))
+SELECT p.page_id, host, path, f.rule,
+  coalesce(rverdict, CASE WHEN m.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (page_id) LEFT JOIN m ON p.page_id = m.page_id""")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts for the urls of all pages: fixed rules, then hosts of the pages
+    that a suspicious name puts on the block list."""
+    from grove.llm.urlfilter import judge_urls, suspicious_hosts
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS t(host, path, verdict)")
+    return judge_urls(pages, rules, suspicious_hosts(pages, URL_WORDS)).select(
+        "page_id", "host", "path", "rule", "verdict")
