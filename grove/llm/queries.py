@@ -76,6 +76,16 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts of all documents and the line field's verdict."""
+    from grove.llm.quality import quality, train
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    model = train(docs, read(spark, sf, "labels").select("doc_id", "quality"))
+    return quality(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                       "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -125,3 +135,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS t(host, path, verdict)")
     return judge_urls(pages, rules, suspicious_hosts(pages, URL_WORDS)).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlaps of all documents with all benchmark items."""
+    from grove.llm.decontam import overlaps
+    return overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
