@@ -21,6 +21,7 @@ are ignored by ``overlaps`` and kept by ``decontaminate``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WordHashes, mix64, words_of
+from grove.llm.common import WordHashes, mix64
 
 #: Selected positions are 1; each mask starts and ends with one.
 MASKS = ("11111111", "1101100101011", "1110010110100111", "1011010001110101")
@@ -37,6 +38,7 @@ BLOCK_TOKENS = 2_000_000
 _SLOTS = 22
 _P = np.uint64(0x9E3779B97F4A7C15)
 
+_WORD = re.compile(r"\w+")
 _WORDS = WordHashes()
 
 
@@ -55,7 +57,8 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
 
 
 def tokens(text: str | None) -> np.ndarray:
-    return _WORDS([w.lower() for w in words_of(text)])
+    """Hashes of the words: runs of letters, digits and underscores, lower case."""
+    return _WORDS([w.encode("utf-8") for w in _WORD.findall(text.lower())] if text else [])
 
 
 class BenchmarkBlock:

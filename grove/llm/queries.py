@@ -76,6 +76,28 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def _base32_sql(h: str) -> str:
+    """DuckDB SQL: base32 of a hex digest of 160 bits, 20 bits at a time."""
+    five = ["CAST('0x' || substr({h}, {i}, 5) AS BIGINT)".format(h=h, i=5 * k + 1) for k in range(8)]
+    return " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({v}) >> {s}) & 31) + 1, 1)"
+                       for v in five for s in (15, 10, 5, 0))
+
+
+@query("op4_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_base32_sql("h")} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM s""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives all pages and reads the records back."""
+    from grove.llm.warc import base32, read_records, write_archive
+    records = read_records(spark, write_archive(read(spark, sf, "pages")))
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+                          base32(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to")
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts of all documents and the line field's verdict."""
