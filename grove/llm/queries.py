@@ -164,3 +164,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps of all documents with all benchmark items."""
     from grove.llm.decontam import overlaps
     return overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Deleted-interpolation scores of all documents."""
+    from grove.llm.common import fold
+    from grove.llm.lm import score_texts
+    docs = read(spark, sf, "documents").select("doc_id", "text", (fold(F.col("doc_id")) != 1).alias("learn"))
+    return score_texts(docs)
