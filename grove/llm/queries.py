@@ -173,3 +173,25 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     from grove.llm.lm import score_texts
     docs = read(spark, sf, "documents").select("doc_id", "text", (fold(F.col("doc_id")) != 1).alias("learn"))
     return score_texts(docs)
+
+
+@query("op8_minhash_near_dedup", """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS s FROM w),
+g AS (SELECT min(doc_id) AS rep, s FROM s WHERE len(s) > 0 GROUP BY s),
+e AS MATERIALIZED (SELECT rep, hash(unnest(s)) AS h, len(s) AS n FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.h = b.h AND a.rep < b.rep
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+d AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (WITH RECURSIVE t(a, b) AS (SELECT rep, rep FROM g UNION SELECT t.a, d.b FROM t JOIN d ON t.b = d.a)
+  SELECT a AS rep, min(b) AS c FROM t GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(r.c, s.doc_id) AS component_id,
+  s.doc_id = coalesce(r.c, s.doc_id) AS kept
+FROM s LEFT JOIN g ON s.s = g.s LEFT JOIN r ON g.rep = r.rep""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from grove.llm.neardup import near_duplicates
+    return near_duplicates(read(spark, sf, "documents").select("doc_id", "text"), n=3, per_cent=85)
