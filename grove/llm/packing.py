@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,44 +30,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import stored
+from grove.llm.common import lower_az, stored
 
 CAPACITY = 4096
 END_ID = 1
 
 
+_PUNCT = ".,!?;:%$#*&|"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+
+
 class ChunkEncoder:
     """Token ids of a text as little-endian uint32 bytes.
 
-    The tokenizer's rules never join characters across a space or a line
-    feed, so a text is the concatenation of its chunks between them; each
-    distinct chunk is tokenised once and remembered (up to ``limit``).
+    The tokenizer's rules never join characters across a space or a line feed,
+    nor a letter with punctuation behind it, and they lower-case.  So a text
+    is the concatenation of its chunks between spaces, a chunk that of its stem
+    and its closing punctuation; chunks and stems are tokenised once and
+    remembered, up to ``limit`` of each (then the older half is forgotten).
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # control strings in texts are plain text
+        # a stem of lower-case letters alone needs neither normalising nor cutting
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = limit
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known = {"": b""}
-            new = set().union(*split)
-        order = list(new)
-        for i in range(0, len(order), 20_000):
-            part = order[i:i + 20_000]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return split, self.known
+        self.chunks: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _room(self, known: dict[str, bytes], new: int) -> None:
+        if len(known) + new > self.limit:
+            for k in list(islice(known, len(known) // 2)):
+                del known[k]
+
+    def learn(self, new: list[str]) -> None:
+        """Adds chunks, all of which are available afterwards."""
+        cut = {}
+        for c in new:
+            low = c.lower() if c.isascii() or max(c) <= "\xff" else lower_az(c)
+            stem = low.rstrip(_PUNCT)
+            cut[c] = (stem, low[len(stem):]) if stem and stem[-1] in _LETTERS else (low, "")
+        stems = self.stems
+        self._room(stems, 2 * len(new))
+        missing = {x for pair in cut.values() for x in pair}.difference(stems)
+        plain = [x for x in missing if not x.strip(_LETTERS)]
+        for tok, texts in ((self.bare, plain), (self.tok, list(missing.difference(plain)))):
+            for i in range(0, len(texts), 20_000):
+                part = texts[i:i + 20_000]
+                for c, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+                    stems[c] = array("I", e.ids).tobytes()
+        for c, (stem, tail) in cut.items():
+            self.chunks[c] = stems[stem] + stems[tail] if tail else stems[stem]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
-            split, known = self.learn(texts[i:i + 64])
+            split = [t.replace("\n", " ").split(" ") for t in texts[i:i + 64]]
+            every = set().union(*split)
+            new = every.difference(self.chunks)
+            if len(self.chunks) + len(new) > self.limit:
+                self._room(self.chunks, len(new))
+                new = every.difference(self.chunks)
+            self.learn(list(new))
+            known = self.chunks
             for chunks in split:
                 yield b"".join([known[c] for c in chunks])
 
@@ -129,7 +159,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int = 20_000) -> np.ndarray:
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int = 2_000) -> np.ndarray:
     """Local search among underfull bins.
 
     Net weight d moves from a source of fill a to a bin of fill b only if
