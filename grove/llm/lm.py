@@ -241,8 +241,8 @@ def events(table: DataFrame, totals: dict) -> pd.DataFrame:
                 on = block.role_of_tokens() == 2
                 bucket, f2, f1 = bucket[on], f2[on], f1[on]
                 cell, at = np.unique((bucket * GRID + _cell(f2)) * GRID + _cell(f1), return_inverse=True)
-                sums = [np.bincount(at, weights=w, minlength=len(cell)) for w in (np.ones(len(at)), f2, f1)]
-                yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(s) for s in sums)], names=["cell", "n", "f2", "f1"])
+                sums = [np.bincount(at, weights=w, minlength=len(cell)).astype(np.float64) for w in (np.ones(len(at)), f2, f1)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *(pa.array(s) for s in sums)], names=["cell", "n", "f2", "f1"])
 
     sums = table.mapInArrow(run, "cell long, n double, f2 double, f1 double").groupBy("cell").agg(
         *(F.sum(c).alias(c) for c in ("n", "f2", "f1"))).toPandas()  # at most BUCKETS * GRID ** 2 rows
