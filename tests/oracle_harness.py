@@ -24,11 +24,11 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None  # pandas turns a null number into NaN
         return round(v, 6)
     if hasattr(v, "tolist"):
         v = v.tolist()
