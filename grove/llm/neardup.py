@@ -17,11 +17,14 @@ expand into all pairs:
 1. Each bucket links its members to its least one (first inside a block of
    signatures, then one row per block and key meets in ranges of the key space).
    Confirmed links give components.
-2. Buckets that still hold several components compare members across them:
-   those outside the bucket's main component against all others.  A pair is
-   tested in the first bucket it shares only.  Large buckets are cut in fragments
-   of ``FRAGMENT`` members.  After this step no candidate pair of two components
-   is left untested, so the components are those of all links.
+2. Buckets that still hold several components compare the signatures of
+   members outside their main component with all others (large buckets in
+   fragments).  Texts that candidate pairs join form clusters; only one edge per
+   text leaves a bucket.
+3. Inside a cluster, every candidate pair of two components is confirmed on the full
+   sets (large clusters in fragments that meet two by two), and links that merge
+   components are kept.  No candidate pair of two components stays untested, so
+   the final components are those of all links.
 
 Sets are compared as 48 bits of their shingle hashes (a false match in a pair has a
 probability of about 1e-9).
@@ -38,6 +41,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +52,8 @@ from grove.llm.components import components
 SYMBOLS = 256
 INDEXED = 64
 WIDTH = SYMBOLS + INDEXED  # bytes: low bytes of all symbols, high bytes of the indexed
-FRAGMENT = 4000
+FRAGMENT = 4000  # members of a bucket compared by signature in one place
+MEET = 1000  # members of a cluster in each of two groups compared by their sets
 RANGE_ROWS = 3_000_000
 
 _rng = np.random.default_rng(20240501)
@@ -195,9 +200,8 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
                 names=["range", "block", "keys", "ids", "many"])
             made += 1
 
-    def meet(key, g):
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
         """Stars of the blocks' least members; which keys have several members."""
-        import pandas as pd
         every = [np.frombuffer(x, "<u8") for x in g["keys"]]
         keys, ids = np.concatenate(every), np.concatenate([np.frombuffer(x, "<i8") for x in g["ids"]])
         many = np.concatenate([np.frombuffer(x, bool) for x in g["many"]])
@@ -243,9 +247,10 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
     return stars, rows
 
 
-def cross_pairs(rows: DataFrame, comps: DataFrame, sigs: DataFrame, chunks: int, radius: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components, each once: from the
-    bucket members ``rows`` (key, id), ``comps`` (id, component, size)."""
+def candidate_clusters(rows: DataFrame, comps: DataFrame, sigs: DataFrame, radius: int) -> DataFrame:
+    """(id, component): nodes that are joined by candidate pairs across link
+    components share a cluster.  From the bucket members ``rows`` (key, id) and
+    ``comps`` (id, component, size); pairs themselves are never listed."""
     # ids without a link yet are their own component
     mine = rows.join(comps, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
@@ -259,24 +264,30 @@ def cross_pairs(rows: DataFrame, comps: DataFrame, sigs: DataFrame, chunks: int,
     every = left.unionByName(right).join(sigs, "id")
     every = every.repartition("key", "cut").sortWithinPartitions("key", "cut", "right", "id")
 
-    def test(ids, comp, right, sig, key) -> tuple[np.ndarray, np.ndarray]:
+    def joined(ids, comp, right, sig) -> tuple[np.ndarray, np.ndarray]:
+        """(id, least id reached) over the candidate pairs of one fragment."""
         lt, rt = np.flatnonzero(right == 0), np.flatnonzero(right == 1)
-        out = []
-        index = keys_of(sig, chunks)
-        step = max(1, 2_000_000 // (SYMBOLS * max(1, len(lt))))
+        if not len(rt) or not len(lt):
+            return ids[:0], ids[:0]
+        near = np.zeros((len(rt), len(lt)), dtype=bool)
+        step = max(1, 8_000_000 // (SYMBOLS * len(lt)))
         for i in range(0, len(rt), step):
             r = rt[i:i + step]
-            # a pair of two outsiders is met from both sides; the smaller id asks
-            x, y = np.nonzero(comp[r][:, None] != comp[lt][None, :])
-            x, y = r[x], lt[y]
-            ok = distance(sig[x], sig[y]) <= radius
-            x, y = x[ok], y[ok]
-            # the first key that both share is this bucket's
-            same = index[x] == index[y]
-            ok = index[x, same.argmax(axis=1)].view(np.int64) == key if len(x) else np.zeros(0, bool)
-            out.append(np.stack([ids[x[ok]], ids[y[ok]]]))
-        got = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return _pairs(got[0], got[1])
+            differ = (sig[r, None, :SYMBOLS] != sig[None, lt, :SYMBOLS]).sum(axis=2, dtype=np.uint16)
+            near[i:i + step] = (differ <= radius) & (comp[r][:, None] != comp[lt])
+        x, y = np.nonzero(near)
+        a, b = ids[rt].copy(), ids[lt].copy()
+        while len(x):
+            low = np.minimum(a[x], b[y])
+            c, d = a.copy(), b.copy()
+            np.minimum.at(c, x, low)
+            np.minimum.at(d, y, low)
+            if (c == a).all() and (d == b).all():
+                break
+            a, b = c, d
+        used = np.r_[np.unique(x), len(rt) + np.unique(y)].astype(int)
+        node, low = np.r_[ids[rt], ids[lt]][used], np.r_[a, b][used]
+        return node[node != low], low[node != low]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,8 +297,10 @@ def cross_pairs(rows: DataFrame, comps: DataFrame, sigs: DataFrame, chunks: int,
             ids, comp, right = (t[c].to_numpy() for c in ("id", "component", "right"))
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, WIDTH)
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cut[1:] != cut[:-1])]) if len(key) else np.zeros(0, int)
-            found = [test(ids[s:e], comp[s:e], right[s:e], sig[s:e], key[s]) for s, e in zip(start, np.r_[start[1:], len(key)])]
+            found = [joined(ids[s:e], comp[s:e], right[s:e], sig[s:e]) for s, e in zip(start, np.r_[start[1:], len(key)])]
             a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
@@ -304,21 +317,68 @@ def cross_pairs(rows: DataFrame, comps: DataFrame, sigs: DataFrame, chunks: int,
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return every.select("key", "cut", "id", "component", "right", "sig").mapInArrow(run, "a long, b long").distinct()
-
+    return components(every.select("key", "cut", "id", "component", "right", "sig").mapInArrow(run, "a long, b long"))
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, per_cent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b; stored) whose full sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
+def sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """Stored (id, s): the packed shingle sets of the rows whose id is in ``needed``."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([pack_set(shingle_set(t, n)) for t in b.column(1).to_pylist()], pa.binary())],
                 names=["id", "s"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(texts.join(needed, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary"), "near-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return stored(texts.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary"), "near-sets")
+
+
+def links_across(clusters: DataFrame, comps: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, per_cent: int,
+                 radius: int) -> DataFrame:
+    """Links (a, b) that join the link components inside each cluster.  A cluster is
+    cut into fragments of ``MEET`` members; every two of them meet once, so that
+    a text's set travels once per fragment, not once per pair."""
+    clusters = stored(clusters.withColumnRenamed("component", "cluster"), "near-clusters")
+    cuts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("cuts"))
+    rows = clusters.join(cuts, "cluster").join(comps.select("id", "component"), "id", "left").select(
+        "cluster", "id", F.coalesce("component", "id").alias("component"), F.pmod(F.hash("id"), F.col("cuts")).alias("cut"), "cuts")
+    rows = rows.join(sigs, "id").join(sets_of(docs, clusters.select("id"), n), "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    rows = rows.select("cluster", "id", "component", "cut", "sig", "s", other)
+    rows = rows.withColumn("i", F.least("cut", "other")).withColumn("j", F.greatest("cut", "other"))
+
+    def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        ids, comp, cut = (g[c].to_numpy() for c in ("id", "component", "cut"))
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, WIDTH)[:, :SYMBOLS]
+        sets = [unpack_set(s) for s in g["s"]]
+        size = np.array([len(s) for s in sets])
+        dense = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, int)
+        ends = np.cumsum(size)
+        sets = [dense[e - k:e] for e, k in zip(ends, size)]
+        mark = np.zeros(int(dense.max()) + 1 if len(dense) else 0, dtype=bool)
+        root = comp.copy()  # link components merge as links are found
+        out = []
+        for x in range(len(ids)):
+            y = np.flatnonzero(root != root[x])
+            y = y[y > x] if key[1] == key[2] else y[cut[y] != cut[x]] if cut[x] == key[1] else y[:0]
+            y = y[100 * np.minimum(size[y], size[x]) >= per_cent * np.maximum(size[y], size[x])]
+            y = y[(sig[y] != sig[x]).sum(axis=1) <= radius] if len(y) else y
+            if not len(y):
+                continue
+            mark[sets[x]] = True
+            common = np.add.reduceat(mark[np.concatenate([sets[k] for k in y])], np.cumsum(size[y]) - size[y], dtype=np.int64)
+            mark[sets[x]] = False
+            for k in y[100 * common >= per_cent * (size[y] + size[x] - common)].tolist():
+                if root[k] != root[x]:
+                    out.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                    root[root == root[k]] = root[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, n: int, per_cent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b; stored) whose full sets are similar enough."""
+    found = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n)
     both = pairs.join(found.withColumnRenamed("id", "b").withColumnRenamed("s", "t"), "b").join(
         found.withColumnRenamed("id", "a"), "a").select("a", "b", "s", "t")
 
@@ -353,8 +413,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
     comps = components(links)
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     comps = stored(comps.join(sizes, "component").select("id", "component", "size"), "near-comps")
-    more = stored(cross_pairs(members, comps, sigs, chunks, radius), "near-cross")
-    rest = stored(confirmed(more, docs, n, per_cent), "near-links")
+    clusters = candidate_clusters(members, comps, sigs, radius)
+    rest = stored(links_across(clusters, comps, sigs, docs, n, per_cent, radius), "near-links")
     final = components(links.unionByName(rest)).withColumnRenamed("id", "rep")
 
     out = rows.join(reps.withColumnRenamed("id", "rep"), "set_id", "left")
