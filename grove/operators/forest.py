@@ -123,9 +123,10 @@ class ForestModel:
                     bin_counts=[int(b) for b in self.splits.num_bins],
                     unordered=[bool(u) for u in self.splits.unordered])
 
-    def save(self, spark: SparkSession, mode: str = "error", extra=()) -> "ForestModel":
+    def save(self, spark: SparkSession, mode: str = "error", extra=(), attempt: str | None = None,
+             stream: tuple[str, int] | None = None) -> "ForestModel":
         MS.save_version(spark, self.root, self.version, self.meta(), self.splits.to_rows(),
-                        self.trees, self.nodes, mode, extra)
+                        self.trees, self.nodes, mode, extra, attempt, stream)
         return self
 
     @staticmethod
@@ -188,12 +189,26 @@ class IncrementalForest:
         return subset_size(self.params.feature_subset, len(self.spec.names),
                            self.params.num_trees, self.spec.num_classes > 0)
 
-    def _grow(self, data, splits, state, max_depth, born, frontier, version, root, stored=None):
+    def _check_compatible(self, model: "ForestModel") -> None:
+        """The batch's features and the settings that stored statistics
+        depend on must be those of the model."""
+        a, b = self.spec, model.spec
+        for what, mine, theirs in (
+                ("features", list(a.names), list(b.names)), ("classes", a.num_classes, b.num_classes),
+                ("category counts", [int(x) for x in a.arity], [int(x) for x in b.arity]),
+                ("impurity", self.params.impurity, model.params.impurity),
+                ("largest bin number", self.params.max_bins, model.params.max_bins)):
+            if mine != theirs:
+                raise ValueError(f"{what} {mine} differ from the model's {theirs}")
+        if len(model.splits.thresholds) != len(a.names):
+            raise ValueError("the model's stored splits do not cover the features")
+
+    def _grow(self, data, splits, state, max_depth, born, frontier, version, root, attempt, stored=None):
         p = self.params
         return G.grow(data, self.spec.names, self.spec.arity, splits, self.spec.num_classes, p,
                       state, max_depth, born, frontier, version, self._subset_k(), p.num_trees,
                       "label", "weight" if self.spec.weight else None, stored,
-                      f"{root}/leaf_stats")
+                      f"{MS.attempt_path(root, attempt)}/leaf_stats")
 
     def _find_splits(self, data: DataFrame, n: int) -> Splits:
         p = self.params
@@ -207,12 +222,13 @@ class IncrementalForest:
 
     # --- T9
     def fit(self, df: DataFrame, path: str | None = None, mode: str = "error",
-            splits: Splits | None = None) -> ForestModel:
+            splits: Splits | None = None, stream: tuple[str, int] | None = None) -> ForestModel:
         spark = df.sparkSession
         t0 = time.time()
         root = path or new_work_path(spark, "forest")
         if mode != "overwrite" and MS.version_exists(spark, root, 0):
             raise FileExistsError(f"{root} already holds a model")
+        attempt = MS.new_attempt()
         data = self._prepared(df)
         info = self._validate(data)
         splits = splits or self._find_splits(data, int(info["n"]))
@@ -224,23 +240,24 @@ class IncrementalForest:
         max_depth = {t: p.max_depth for t in range(p.num_trees)}
         born = {t: 0 for t in range(p.num_trees)}
         state = self._grow(data, splits, state, max_depth, born, [(t, 1) for t in range(p.num_trees)],
-                           0, root)
+                           0, root, attempt)
         trees = pd.DataFrame(dict(tree_id=list(range(p.num_trees)), weight=1.0,
                                   max_depth=p.max_depth, born_version=0, stats_version=0,
                                   origin="fit"))
         model = ForestModel(self.spec, p, splits, trees, state.frame(), 0, root, int(info["n"]),
                             [dict(version=0, rows=int(info["n"]), seconds=time.time() - t0)])
-        model.save(spark, mode, [state.finish])
+        model.save(spark, mode, [state.finish], attempt, stream)
         data.unpersist()
         return model
 
     # --- I7
-    def update(self, model: ForestModel, df: DataFrame, mode: str = "error") -> ForestModel:
+    def update(self, model: ForestModel, df: DataFrame, mode: str = "error",
+               stream: tuple[str, int] | None = None) -> ForestModel:
         spark = df.sparkSession
         t0 = time.time()
         s, p = self.spec, self.params
-        if list(s.names) != list(model.spec.names) or s.num_classes != model.spec.num_classes:
-            raise ValueError("batch features or classes differ from the model's")
+        self._check_compatible(model)
+        attempt = MS.new_attempt()
         data = self._prepared(df)
         info = self._validate(data)
         n_new = int(info["n"])
@@ -255,9 +272,14 @@ class IncrementalForest:
                            for f in fates]
         C = Hg.channels(s.num_classes)
         state = G.GrowState()
+        fate_of = dict(zip((int(t) for t in trees.tree_id), fates))
+        leaves_of: dict = {}  # the nodes once, by tree
         for r in model.nodes.to_dict("records"):
-            if fates[int(np.nonzero(trees.tree_id.to_numpy() == r["tree_id"])[0][0])] != "replace":
-                state.nodes[(int(r["tree_id"]), int(r["node_id"]))] = dict(r)
+            key = (int(r["tree_id"]), int(r["node_id"]))
+            if fate_of[key[0]] != "replace":
+                state.nodes[key] = dict(r)
+                if r["is_leaf"]:
+                    leaves_of.setdefault(key[0], []).append(key)
         frontier, max_depth, born = [], {}, {}
         for i, (tid, fate) in enumerate(zip(trees.tree_id, fates)):
             tid = int(tid)
@@ -266,7 +288,7 @@ class IncrementalForest:
                                                 G.MAX_DEPTH_LIMIT)
                 trees.loc[i, "weight"] = 1.0
                 trees.loc[i, "stats_version"] = v
-                frontier += [k for k, r in state.nodes.items() if k[0] == tid and r["is_leaf"]]
+                frontier += leaves_of.get(tid, [])
             elif fate == "replace":  # I5: new root on this batch only
                 trees.loc[i, ["weight", "max_depth", "born_version", "stats_version"]] = \
                     [1.0, p.max_depth, v, v]
@@ -281,13 +303,13 @@ class IncrementalForest:
         stored = MS.leaf_stats(spark, model.root, grown_old) if len(grown_old) else None
         if frontier:
             state = self._grow(data, model.splits, state, max_depth, born, sorted(frontier), v,
-                               model.root, stored)
+                               model.root, attempt, stored)
         trees = trees.astype({"max_depth": int, "born_version": int, "stats_version": int})
         new = ForestModel(s, p, model.splits, trees, state.frame(), v, model.root,
                           model.rows_seen + n_new,
                           model.history + [dict(version=v, rows=n_new,
                                                 seconds=time.time() - t0)])
-        new.save(spark, mode, [state.finish])
+        new.save(spark, mode, [state.finish], attempt, stream)
         data.unpersist()
         return new
 
@@ -297,6 +319,8 @@ class IncrementalForest:
         """Warm start: ``count`` new trees fit on ``df`` with the model's
         frozen splits, appended to the model as a new version."""
         spark = df.sparkSession
+        self._check_compatible(model)
+        attempt = MS.new_attempt()
         data = self._prepared(df)
         info = self._validate(data)
         v = model.version + 1
@@ -311,12 +335,12 @@ class IncrementalForest:
         max_depth = {t: self.params.max_depth for t in ids}
         born = {t: v for t in ids}
         state = self._grow(data, model.splits, state, max_depth, born, [(t, 1) for t in ids], v,
-                           model.root)
+                           model.root, attempt)
         added = pd.DataFrame(dict(tree_id=ids, weight=1.0, max_depth=self.params.max_depth,
                                   born_version=v, stats_version=v, origin="added"))
         trees = pd.concat([model.trees, added], ignore_index=True)
         new = ForestModel(self.spec, self.params, model.splits, trees, state.frame(), v,
                           model.root, model.rows_seen + int(info["n"]), model.history)
-        new.save(spark, mode, [state.finish])
+        new.save(spark, mode, [state.finish], attempt)
         data.unpersist()
         return new

@@ -432,8 +432,7 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
             out = pending[0][1]
             for _, part in pending[1:]:
                 out = out.unionByName(part)
-            (out.withColumn("version", F.lit(int(version))).write.mode("append")
-             .partitionBy("version").parquet(leaf_sink))
+            out.write.parquet(leaf_sink)  # a folder of this attempt alone
             for h, _ in pending:
                 if h is not None:
                     h.unpersist()

@@ -1,23 +1,27 @@
 """Model store, S3 and S4.
 
-A model is a set of tables under one root, every row tagged with the
-model version that wrote it, each table partitioned by ``version``:
-
-    meta        one row: features, arity, classes, settings, rows seen
-    splits      feature, split_idx, threshold (frozen candidate splits)
-    trees       tree_id, weight, max_depth, born_version, stats_version, origin
-    nodes       tree_id, node_id, is_leaf, feature, split_idx, threshold,
-                left_categories, gain, impurity, count, stats, prediction
-    leaf_stats  tree_id, node_id, feature, bin, s0.. (written by executors)
-
-An update reads version v and writes v+1; nothing is rewritten in place.
-A tree kept unchanged points at the version holding its leaf statistics
-(``stats_version``), so they are not copied.
+Every attempt to write a version puts its tables into a folder of its own, and
+``meta``, written last, names the attempt a version consists of:
+
+    meta/version=N            one row: attempt, parent, features, settings, rows
+                              seen, and the stream batch it came from, if any
+    attempts/<id>/splits      feature, split_idx, threshold (frozen candidate splits)
+    attempts/<id>/trees       tree_id, weight, max_depth, born_version, stats_version, origin
+    attempts/<id>/nodes       tree_id, node_id, is_leaf, feature, split_idx, threshold,
+                              left_categories, gain, impurity, count, stats, prediction
+    attempts/<id>/leaf_stats  tree_id, node_id, feature, bin, s0.. (written by executors)
+
+A run that dies before ``meta`` leaves an attempt nobody refers to, so a retry
+can't double anything.  A version counts only if its ``parent`` is the attempt
+its predecessor consists of now: overwriting version N retires all later
+ones.  A tree kept unchanged points at the version holding its leaf
+statistics (``stats_version``), so they are not copied.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,8 @@ NODE_SCHEMA = ("tree_id int, node_id bigint, is_leaf boolean, feature int, split
 TREE_SCHEMA = ("tree_id int, weight double, max_depth int, born_version int, "
                "stats_version int, origin string")
 META_SCHEMA = ("names array<string>, arity array<int>, num_classes int, label string, "
-               "params string, rows_seen bigint, bin_counts array<int>, unordered array<boolean>")
+               "params string, rows_seen bigint, bin_counts array<int>, unordered array<boolean>, "
+               "attempt string, parent string, stream string, batch bigint")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,12 +45,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def new_attempt() -> str:
+    return uuid.uuid4().hex
+
+
+def attempt_path(root: str, attempt: str) -> str:
+    return f"{root}/attempts/{attempt}"
+
+
+def versions(spark: SparkSession, root: str) -> dict:
+    """meta rows of the valid versions by number (a few bytes per version)."""
+    if not _exists(spark, f"{root}/meta"):
+        return {}
+    rows = spark.read.schema(META_SCHEMA + ", version int").parquet(f"{root}/meta").collect()
+    found = {int(r["version"]): r for r in rows}
+    out, parent = {}, None
+    for v in sorted(found):
+        if v != len(out) or found[v]["parent"] != parent:
+            break
+        out[v], parent = found[v], found[v]["attempt"]
+    return out
+
+
 def version_exists(spark: SparkSession, root: str, version: int) -> bool:
-    return _exists(spark, f"{root}/meta/version={int(version)}")
+    return int(version) in versions(spark, root)
 
 
 def latest_version(spark: SparkSession, root: str) -> int:
-    return int(spark.read.parquet(f"{root}/meta").agg(F.max("version")).first()[0])
+    found = versions(spark, root)
+    if not found:
+        raise FileNotFoundError(f"{root} holds no version")
+    return max(found)
 
 
 def nodes_frame(spark: SparkSession, nodes: pd.DataFrame) -> DataFrame:
@@ -64,23 +94,27 @@ def trees_frame(spark: SparkSession, trees: pd.DataFrame) -> DataFrame:
 
 def save_version(spark: SparkSession, root: str, version: int, meta: dict, splits_rows,
                  trees: pd.DataFrame, nodes: pd.DataFrame, mode: str = "error",
-                 extra=()) -> None:
+                 extra=(), attempt: str | None = None, stream: tuple[str, int] | None = None) -> None:
     """S3: writes one version.  Fails if it exists unless mode='overwrite'."""
-    if mode != "overwrite" and version_exists(spark, root, version):
+    have = versions(spark, root)
+    if mode != "overwrite" and version in have:
         raise FileExistsError(f"{root} already holds version {version}")
-    v = F.lit(int(version))
-    wmode = "overwrite" if mode == "overwrite" else "append"
-    opts = {"partitionOverwriteMode": "dynamic"}
+    if version and version - 1 not in have:
+        raise FileNotFoundError(f"{root} has no version {version - 1} to follow")
+    attempt = attempt or new_attempt()
+    base = attempt_path(root, attempt)
+    parent = have[version - 1]["attempt"] if version else None
     m = spark.createDataFrame([(meta["names"], meta["arity"], meta["num_classes"], meta["label"],
                                 json.dumps(meta["params"]), int(meta["rows_seen"]),
-                                meta["bin_counts"], meta["unordered"])], META_SCHEMA)
+                                meta["bin_counts"], meta["unordered"], attempt, parent,
+                                *(stream or (None, None)))], META_SCHEMA)
     s = spark.createDataFrame(splits_rows, "feature int, split_idx int, threshold double")
+
     def write(item):
         name, df = item
-        (df.withColumn("version", v).coalesce(1).write.options(**opts).mode(wmode)
-         .partitionBy("version").parquet(f"{root}/{name}"))
+        df.coalesce(1).write.parquet(f"{base}/{name}")
 
-    # four small independent jobs: submitted together; meta goes last, so a
+    # small independent jobs: submitted together; meta goes last, so a
     # version is visible only once its tables are complete
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -90,37 +124,48 @@ def save_version(spark: SparkSession, root: str, version: int, meta: dict, split
         futs += [pool.submit(fn) for fn in extra if fn is not None]  # e.g. leaf statistics
         for f in futs:
             f.result()
-    write(("meta", m))
+    (m.withColumn("version", F.lit(int(version))).coalesce(1).write
+     .option("partitionOverwriteMode", "dynamic").mode("overwrite")
+     .partitionBy("version").parquet(f"{root}/meta"))
 
 
 def load_version(spark: SparkSession, root: str, version: int | None = None) -> dict:
     """Reads one version's small tables to the driver (bounded by trees
     x nodes); leaf statistics stay a Spark table."""
+    have = versions(spark, root)
     if version is None:
-        version = latest_version(spark, root)
-    where = F.col("version") == int(version)
-    meta = spark.read.parquet(f"{root}/meta").where(where).first()
-    if meta is None:
+        version = max(have, default=0)
+    if version not in have:
         raise FileNotFoundError(f"{root} has no version {version}")
-    splits = spark.read.parquet(f"{root}/splits").where(where).toPandas()
-    trees = spark.read.parquet(f"{root}/trees").where(where).drop("version").toPandas()
-    nodes = spark.read.parquet(f"{root}/nodes").where(where).drop("version").toPandas()
+    meta = have[version]
+    base = attempt_path(root, meta["attempt"])
+    splits = spark.read.parquet(f"{base}/splits").toPandas()
+    trees = spark.read.parquet(f"{base}/trees").toPandas()
+    nodes = spark.read.parquet(f"{base}/nodes").toPandas()
     nodes["left_categories"] = nodes["left_categories"].map(lambda a: [int(x) for x in a])
     nodes["stats"] = nodes["stats"].map(lambda a: [float(x) for x in a])
     return dict(version=int(version), meta=meta.asDict(), splits=splits, trees=trees,
                 nodes=nodes)
 
 
-def leaf_stats(spark: SparkSession, root: str, trees: pd.DataFrame) -> DataFrame:
-    """Leaf histograms of the given trees, each from its stats version."""
-    keys = spark.createDataFrame([(int(t), int(v)) for t, v in
-                                  zip(trees.tree_id, trees.stats_version)],
-                                 "tree_id int, version int")
-    path = f"{root}/leaf_stats"
-    if not _exists(spark, path):
-        return None
-    ls = spark.read.parquet(path)
-    return ls.join(F.broadcast(keys), ["tree_id", "version"], "left_semi").drop("version")
+def leaf_stats(spark: SparkSession, root: str, trees: pd.DataFrame) -> DataFrame | None:
+    """Leaf histograms of the given trees, each read from the attempt of its
+    stats version alone; None if these have no leaves with data.  Raises if a
+    version was written without leaf statistics."""
+    have = versions(spark, root)
+    out = None
+    for v, ids in trees.groupby("stats_version")["tree_id"]:
+        meta = have[int(v)]
+        if not json.loads(meta["params"]).get("store_leaf_stats", True):
+            raise ValueError(f"version {v} of {root} was written without leaf statistics "
+                             "(store_leaf_stats=False): its trees can't be grown further")
+        path = f"{attempt_path(root, meta['attempt'])}/leaf_stats"
+        if not _exists(spark, path):
+            continue
+        keys = spark.createDataFrame([(int(t),) for t in ids], "tree_id int")
+        part = spark.read.parquet(path).join(F.broadcast(keys), "tree_id", "left_semi")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def thresholds_from(splits_pd: pd.DataFrame, num_features: int) -> list[np.ndarray]:

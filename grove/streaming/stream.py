@@ -1,11 +1,12 @@
 """Model updates from a stream, I13.
 
-``readStream`` over a folder of batch files -> ``foreachBatch``: micro-batch
-0 fits the forest, every later micro-batch updates it.  Model version =
-micro-batch id, so a replayed micro-batch (after a driver restart, Structured
-Streaming re-runs the last uncommitted batch) finds its version already in
-the store and is skipped: the sink is idempotent.  The query's own progress
-lives in its checkpoint location under the shared work folder.
+``readStream`` over a folder of batch files -> ``foreachBatch``: the first
+micro-batch of an empty model store fits the forest, every other one updates its
+latest version.  Each version's ``meta`` names the micro-batch it came from
+as (checkpoint location, batch id).  After a driver restart Structured Streaming
+re-runs the last uncommitted micro-batch; it is skipped exactly if a version from
+that very micro-batch exists.  Another source, or the same one with a new
+checkpoint, is new data and updates the model.
 """
 
 from __future__ import annotations
@@ -28,26 +29,28 @@ def stream_updates(spark: SparkSession, source: str, schema, forest, model_root:
     state = {"model": None, "batches": [], "skipped": []}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        v = int(batch_id)
-        if MS.version_exists(spark, model_root, v):  # replay: already applied
-            state["model"] = ForestModel.load(spark, model_root, v)
-            state["skipped"].append(v)
+        mine = (checkpoint, int(batch_id))
+        have = MS.versions(spark, model_root)
+        if any((r["stream"], r["batch"]) == mine for r in have.values()):  # replay: already applied
+            state["skipped"].append(mine[1])
             return
         df = prepare(batch) if prepare else batch
-        if v == 0 or state["model"] is None:
-            if v > 0:
-                state["model"] = ForestModel.load(spark, model_root, v - 1)
-        if state["model"] is None:
-            state["model"] = forest.fit(df, model_root)
+        if have:
+            latest = state["model"]
+            if latest is None or latest.version != max(have):
+                latest = ForestModel.load(spark, model_root)
+            state["model"] = forest.update(latest, df, stream=mine)
         else:
-            state["model"] = forest.update(state["model"], df)
-        state["batches"].append(v)
+            state["model"] = forest.fit(df, model_root, stream=mine)
+        state["batches"].append(mine[1])
 
     sdf = (spark.readStream.format(fmt).schema(schema)
            .option("maxFilesPerTrigger", files_per_batch).load(source))
     q = (sdf.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if state["model"] is None and MS.versions(spark, model_root):
+        state["model"] = ForestModel.load(spark, model_root)
     return state
 
 
