@@ -87,7 +87,8 @@ def poisson_cdf(rate: float, tail: float = 1e-12) -> list[float]:
     while True:
         acc += p
         cdf.append(acc)
-        if 1.0 - acc < tail or k > 200:
+        # past the mean by many deviations the rest is below the tail or rounding
+        if 1.0 - acc < tail or k > rate + 20 * math.sqrt(rate) + 40:
             break
         k += 1
         p *= rate / k

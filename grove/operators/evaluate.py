@@ -12,7 +12,7 @@ from __future__ import annotations
 import time
 from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,12 +62,17 @@ def score_bins(df: DataFrame, score: str = "score", label: str = "label",
             .withColumn("total_neg", F.sum("neg").over(wa)))
 
 
+def _share(a: str, b: Column) -> Column:
+    """a / b, 0 where a class is absent and b is 0."""
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.col(a) / F.when(b != 0, b))
+
+
 def roc_curve(bins: DataFrame) -> DataFrame:
     """(fpr, tpr) with (0,0) first and (1,1) last; ``point`` orders them."""
     spark = bins.sparkSession
     pts = bins.select((F.col("bin") + 1).alias("point"),
-                      (F.col("cum_neg") / F.col("total_neg")).alias("fpr"),
-                      (F.col("cum_pos") / F.col("total_pos")).alias("tpr"))
+                      _share("cum_neg", F.col("total_neg")).alias("fpr"),
+                      _share("cum_pos", F.col("total_pos")).alias("tpr"))
     last = bins.agg((F.max("bin") + 2).alias("point")).select(
         "point", F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))
     first = spark.createDataFrame([(0, 0.0, 0.0)], "point bigint, fpr double, tpr double")
@@ -86,18 +91,19 @@ def pr_curve(bins: DataFrame) -> DataFrame:
     """(recall, precision) with (0, 1) first."""
     spark = bins.sparkSession
     pts = bins.select((F.col("bin") + 1).alias("point"),
-                      (F.col("cum_pos") / F.col("total_pos")).alias("recall"),
-                      (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"))
+                      _share("cum_pos", F.col("total_pos")).alias("recall"),
+                      _share("cum_pos", F.col("cum_pos") + F.col("cum_neg")).alias("precision"))
     first = spark.createDataFrame([(0, 0.0, 1.0)], "point bigint, recall double, precision double")
     return first.unionByName(pts)
 
 
 def metrics_by_threshold(bins: DataFrame, beta: float = 1.0) -> DataFrame:
     """Precision, recall and F-measure at each threshold."""
-    p = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    r = F.col("cum_pos") / F.col("total_pos")
+    p = _share("cum_pos", F.col("cum_pos") + F.col("cum_neg"))
+    r = _share("cum_pos", F.col("total_pos"))
     b2 = beta * beta
-    f = F.when(p + r == 0, F.lit(0.0)).otherwise((1 + b2) * p * r / (b2 * p + r))
+    low = b2 * p + r
+    f = F.when(low == 0, F.lit(0.0)).otherwise((1 + b2) * p * r / F.when(low != 0, low))
     return bins.select("threshold", p.alias("precision"), r.alias("recall"), f.alias("f_measure"))
 
 

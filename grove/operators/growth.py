@@ -78,7 +78,8 @@ def _cand_columns(C: int):
 
 
 def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_classes: int,
-                     erf: bool = False, seed: int = 0, version: int = 0) -> DataFrame:
+                     erf: bool = False, seed: int = 0, version: int = 0,
+                     kind: str = "gini") -> DataFrame:
     """All candidate splits with left and total statistics:
     (tree_id, node_id, feature, cand, split_idx, left_categories, l*, t*, _ok).
     Rows that cannot be a split (the last bin or category, or not the drawn
@@ -129,7 +130,7 @@ def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_
         elif num_classes == 0:
             cen = s[1] / s[0]
         else:
-            cen = I.impurity("gini", s)
+            cen = I.impurity(kind, s)
         ho = hist.where(F.col("feature").isin(ordc)).withColumn("_cen", cen)
         wo = part.orderBy("_cen", "bin")
         wr = wo.rowsBetween(Window.unboundedPreceding, 0)
@@ -196,7 +197,7 @@ def best_splits(hist: DataFrame, arity: Sequence[int], splits: Splits, num_class
     C = Hg.channels(num_classes)
     L, T = _cand_columns(C)
     S = Hg.hist_columns(num_classes)
-    sc = scored_candidates(split_candidates(hist, arity, splits, num_classes, erf, seed, version),
+    sc = scored_candidates(split_candidates(hist, arity, splits, num_classes, erf, seed, version, kind),
                            num_classes, kind, min_instances)
     # one aggregation per node: totals (equal on every candidate row of the
     # node) and the best valid candidate (valid first, then gain, then the
@@ -205,7 +206,7 @@ def best_splits(hist: DataFrame, arity: Sequence[int], splits: Splits, num_class
     agg = sc.selectExpr("tree_id", "node_id", *T, "feature", "cand", "split_idx",
                         "left_categories", "gain", *L, f"{ok} AS ok").groupBy(
         "tree_id", "node_id").agg(
-        F.expr(f"first(struct({', '.join(T)}))").alias("tot"),
+        F.expr(f"min_by(struct({', '.join(T)}), struct(feature, cand))").alias("tot"),
         F.expr(f"max_by(struct(ok, feature, cand, split_idx, left_categories, gain, "
                f"{', '.join(L)}), struct(ok, gain, -feature, -cand))").alias("b"))
     return agg.selectExpr("tree_id", "node_id", "tot", "CASE WHEN b.ok THEN b END AS b")

@@ -253,13 +253,13 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
               + ", ".join(f"s{c} double" for c in range(C)))
     cols = ["rk", label] + ([weight] if weight else []) + names
     partial = data.select(*cols).mapInArrow(fn, schema)
-    # The Arrow step already combined rows per partition, so one exchange
-    # by node suffices: hash partitioning on (tree_id, node_id) satisfies the
-    # merge (tree, node, feature, bin), the split windows (tree, node,
-    # feature) and the per-node choice (tree, node) - no further shuffles.
+    # The Arrow step combined rows per partition.  Its partials meet by cell
+    # first, so that a root's (partitions x features x bins) rows spread over all
+    # cells; the merged cells, features x bins per node, then go to their node.
+    # Hash partitioning on (tree_id, node_id) serves the split windows (tree,
+    # node, feature) and the per-node choice: no further shuffles.
     n = max(1, min(len(frontier), spark.sparkContext.defaultParallelism * 2))
-    partial = partial.repartition(n, "tree_id", "node_id")
-    return merge_histograms([partial], num_classes)
+    return merge_histograms([partial], num_classes).repartition(n, "tree_id", "node_id")
 
 
 def merge_histograms(parts: Sequence[DataFrame], num_classes: int) -> DataFrame:

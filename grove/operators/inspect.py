@@ -39,8 +39,9 @@ def forest_shape(nodes: DataFrame) -> DataFrame:
 
 
 def tree_rules(nodes: DataFrame, names: Sequence[str] | None = None, style: str = "values") -> DataFrame:
-    """M9: for every leaf below the root, the path from the root as text
-    (``If``/``Else`` conditions joined by 'and') and the leaf prediction.
+    """M9: for every leaf the path from the root as text (``If``/``Else``
+    conditions joined by 'and'; empty for a tree that is its root alone) and the
+    leaf prediction.
     ``style='bins'`` writes ``f<feature> <= <split index>``; ``'values'``
     writes names and thresholds or category sets."""
     lvl = F.floor(F.log2(F.col("node_id"))).cast("int")
@@ -69,6 +70,8 @@ def tree_rules(nodes: DataFrame, names: Sequence[str] | None = None, style: str
         cond = F.when(F.col("split_idx") >= 0, cont).otherwise(cat)
     rules = j.groupBy("tree_id", "leaf", "prediction").agg(
         F.sort_array(F.collect_list(F.struct(F.col("k"), cond.alias("c"))), asc=False).alias("p"))
+    alone = nodes.where(F.col("is_leaf") & (lvl == 0)).select(
+        "tree_id", "node_id", F.lit("").alias("rule"), "prediction")
     return rules.select("tree_id", F.col("leaf").alias("node_id"),
                         F.array_join(F.transform("p", lambda s: s["c"]), " and ").alias("rule"),
-                        "prediction")
+                        "prediction").unionByName(alone)

@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOMENT_COLS = ["n", "w", "w2", "s1", "s2", "nnz", "l1", "vmin", "vmax"]
+MOMENT_COLS = ["n", "w", "w2", "c", "s1", "s2", "q", "nnz", "l1", "vmin", "vmax"]
 
 
 def _w(weight: str | None) -> Column:
@@ -25,34 +25,50 @@ def _w(weight: str | None) -> Column:
 def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None,
             group_by: Sequence[str] = ()) -> DataFrame:
     """One wide aggregate over all columns, unpivoted afterwards into
-    (group..., feature, moments...).  Zero-weight rows are skipped."""
+    (group..., feature, moments...).  Zero-weight rows are skipped.
+
+    Sums are taken of x minus a shift (the column's smallest value in the
+    frame, from a first pass), so that a large offset does not cancel; ``c`` is
+    that shift."""
     w = _w(weight)
     base = df.where(w > 0) if weight else df
+    low = base.agg(*[F.min(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"c{i}")
+                     for i, c in enumerate(columns)]).first()
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
+        d = x - F.lit(float(low[i] or 0.0))
         aggs += [F.count(x).alias(f"n_{i}"), F.sum(F.when(x.isNotNull(), w)).alias(f"w_{i}"),
                  F.sum(F.when(x.isNotNull(), w * w)).alias(f"w2_{i}"),
-                 F.sum(w * x).alias(f"s1_{i}"), F.sum(w * x * x).alias(f"s2_{i}"),
+                 F.first(F.lit(float(low[i] or 0.0))).alias(f"c_{i}"),
+                 F.sum(w * d).alias(f"s1_{i}"), F.sum(w * d * d).alias(f"s2_{i}"), F.sum(w * x * x).alias(f"q_{i}"),
                  F.sum(F.when(x != 0, w).otherwise(F.lit(0.0))).alias(f"nnz_{i}"),
                  F.sum(w * F.abs(x)).alias(f"l1_{i}"),
                  F.min(x).alias(f"vmin_{i}"), F.max(x).alias(f"vmax_{i}")]
+    aggs += [F.count(F.lit(1)).alias("_rows"), F.sum(w).alias("_weight")]
     wide = base.groupBy(*group_by).agg(*aggs) if group_by else base.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("feature"),
-                        *[F.col(f"{m}_{i}").alias(m) for m in MOMENT_COLS])
+                        *[F.col(f"{m}_{i}").alias(m) for m in MOMENT_COLS],
+                        F.col("_rows").alias("rows"), F.col("_weight").alias("rows_w"))
                for i, c in enumerate(columns)]
     return (wide.select(*group_by, F.explode(F.array(*structs)).alias("_m"))
             .select(*group_by, "_m.*"))
 
 
 def merge_moments(*parts: DataFrame, group_by: Sequence[str] = ("feature",)) -> DataFrame:
-    """L2: exact merge of stored and new moments."""
+    """L2: exact merge of stored and new moments.  Parts with different shifts
+    are moved to the smallest one first."""
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
+    low = u.groupBy(*group_by).agg(F.min(F.when(F.col("n") > 0, F.col("c"))).alias("_c"))
+    u = u.join(F.broadcast(low), list(group_by))  # one row per feature (and group)
+    d = F.col("c") - F.col("_c")
+    u = (u.withColumn("s2", F.col("s2") + 2 * d * F.col("s1") + d * d * F.col("w"))
+         .withColumn("s1", F.col("s1") + d * F.col("w")).withColumn("c", F.col("_c")))
     return u.groupBy(*group_by).agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("w2").alias("w2"),
-        F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("nnz").alias("nnz"),
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("w2").alias("w2"), F.min("c").alias("c"),
+        F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("q").alias("q"), F.sum("nnz").alias("nnz"),
         F.sum("l1").alias("l1"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
 
 
@@ -60,7 +76,7 @@ def summary_from_moments(m: DataFrame, keep: Sequence[str] = ("feature",)) -> Da
     """L1 statistics: count, mean, unbiased weighted variance
     (sum w (x-mean)^2 / (W - W2/W), 0 when the denominator is not positive),
     min, max, weighted non-zeros, L1 and L2 norms."""
-    mean = F.col("s1") / F.col("w")
+    mean = F.col("c") + F.col("s1") / F.col("w")
     denom = F.col("w") - F.col("w2") / F.col("w")
     var = F.when(denom > 0, (F.col("s2") - F.col("s1") * F.col("s1") / F.col("w")) / denom
                  ).otherwise(F.lit(0.0))
@@ -68,7 +84,7 @@ def summary_from_moments(m: DataFrame, keep: Sequence[str] = ("feature",)) -> Da
                     F.greatest(var, F.lit(0.0)).alias("variance"),
                     F.col("vmin").alias("min"), F.col("vmax").alias("max"),
                     F.col("nnz").alias("num_nonzeros"), F.col("l1").alias("norm_l1"),
-                    F.sqrt(F.col("s2")).alias("norm_l2"))
+                    F.sqrt(F.col("q")).alias("norm_l2"))
 
 
 def column_summary(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -105,7 +121,7 @@ def joint_summary(df: DataFrame, columns: Sequence[str], label: str = "label",
                         group_by=["_y"])
     feats = summary_from_moments(merge_moments(per_label.drop("_y")))
     labels = (per_label.where(F.col("feature") == columns[0])
-              .select(F.col("_y").alias("label"), F.col("w").alias("weight"),
-                      F.col("n").alias("n"))
+              .select(F.col("_y").alias("label"), F.col("rows_w").alias("weight"),
+                      F.col("rows").alias("n"))
               .withColumn("valid", (F.col("label") >= 0) & (F.col("label") == F.floor("label"))))
     return feats, labels

@@ -59,11 +59,14 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for written work tables and checkpoints.
 
     Reads ``spark.checkpoint.dir`` from the session; sets a scratch one only
-    when the session has none (local runs and tests).
+    when a local session has none (tests).  A cluster without the setting is
+    an error: executors can't see each other's folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="grove-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc.getCheckpointDir() is None:
