@@ -789,10 +789,40 @@ def tree_fates(spark, sf):
                                 FATE_P, 0).alias("fate"))
 
 
-@query("update_forest")
+def _half_sql(b: int) -> str:
+    """Batch ``b`` of two equal ones of the hyperplane fixture."""
+    items, u = O.hash_u("hh", B.SEED_BATCH, ["rk"])
+    return (f"SELECT * FROM (SELECT *, {items} FROM ({FX.hyperplane_sql()})) "
+            f"WHERE CAST(least(floor({u} * 2.0), 1) AS INTEGER) = {b}")
+
+
+GROWN = dict(num_trees=5, max_depth=2, seed=0)
+
+
+def _update_sql():
+    q = O.grown_forest_sql(_half_sql(0), _half_sql(1), FX.HYPER_FEATURES, subset_k=2, **GROWN)
+    return _nodes_sql({"with": q}).rpartition("FROM nodes")[0] + "FROM grown"
+
+
+def _updated(spark, sf):
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    h = B.split_batches(FX.hyperplane(spark, sf), 2, holdout=False)
+    est = IncrementalForest(FX.hyperplane_spec(), ForestParams(**GROWN, regrow_prop=0.0, incremental_prop=1.0))
+    return est.update(est.fit(h.where(F.col("batch") == 0)), h.where(F.col("batch") == 1))
+
+
+@query("update_forest", _update_sql)
 def update_forest(spark, sf):
-    """I4-I8: fit on one half, update with the other (grow / keep / replace),
-    leaf statistics merged; returns the new version's trees."""
+    """Fit on one half, grow every tree with the other; leaf statistics
+    merged; returns the new version's nodes."""
+    return _nodes_out(_updated(spark, sf), spark)
+
+
+@query("update_fates")
+def update_fates(spark, sf):
+    """The same update with trees grown, kept and replaced; returns the
+    new version's trees."""
     from grove.operators.forest import IncrementalForest
     from grove.operators.growth import ForestParams
     h = B.split_batches(FX.hyperplane(spark, sf), 2, holdout=False)

@@ -193,3 +193,75 @@ def route_sql(binned: str, nodes: str, max_depth: int, keys: str = "rk") -> str:
              f"JOIN ({nodes}) n ON n.tree_id = p.tree_id AND n.node_id = p.node_id "
              f"LEFT JOIN ({binned}) x ON x.{keys} = p.{keys} AND x.feature = n.feature")
     return q
+
+
+def grown_forest_sql(base0: str, base1: str, features: list[str], *, num_trees: int, max_depth: int,
+                     max_bins: int = 32, subset_k: int | None = None, seed: int = 0, kind: str = "gini",
+                     num_classes: int = 2) -> str:
+    """Version 1 of a forest whose trees all grow: version 0 from ``base0``, then
+    its leaves reopen with the histograms of both batches merged, and one more
+    level is allowed.  Nodes made on the way keep the class weights of their
+    parent's split and are split by the rows of ``base1`` alone.  Returns a WITH
+    query text that ends in a CTE ``grown`` of the node table."""
+    k, C, deep = (len(features) if subset_k is None else subset_k), num_classes, max_depth + 1
+    first = forest_sql(base0, features, num_trees=num_trees, max_depth=max_depth, max_bins=max_bins,
+                       subset_k=subset_k, seed=seed, kind=kind, num_classes=num_classes)
+    lvl = "CAST(floor(log2({0}.node_id) + 1e-9) AS INTEGER)"
+    ctes = [("base1", base1), ("binned1", binned_sql(long_sql("SELECT * FROM base1", features), "SELECT * FROM th"))]
+    items, u = hash_u("bh", SEED_BAG + seed, ["t.tree_id", "b.rk"])
+    ctes.append(("bag1", f"SELECT rk, tree_id, w, label FROM (SELECT b.rk, b.label, t.tree_id, {items}, CAST("
+                         f"{H.bag_weight_sql(u, num_trees, 1.0)} AS DOUBLE) AS w FROM base1 b, range({num_trees}) t(tree_id)) "
+                         f"WHERE w > 0"))
+    # rows of both batches at the leaves of version 0
+    ctes.append(("at0", " UNION ALL ".join(
+        f"SELECT a.rk, a.tree_id, a.node_id, g.w, l.label FROM a{i} a JOIN n{i} n USING (tree_id, node_id) "
+        f"JOIN bag g ON g.rk = a.rk AND g.tree_id = a.tree_id JOIN lab l ON l.rk = a.rk WHERE n.is_leaf"
+        for i in range(max_depth + 1))))
+    ctes.append(("leaf1", route_sql("SELECT * FROM binned1", "SELECT * FROM nodes", max_depth)))
+    ctes.append(("at1_0", "SELECT r.rk, r.tree_id, r.node_id, g.w, g.label FROM leaf1 r JOIN bag1 g USING (rk, tree_id)"))
+    sums = ", ".join(f"sum(CASE WHEN a.label = {c} THEN a.w ELSE 0.0 END) AS s{c}" for c in range(C))
+    stats = ", ".join(f"c{c}" for c in range(C))
+
+    def imp(x: list[str]) -> str:
+        return I.impurity_sql(kind, x)
+
+    ctes.append(("f0", "SELECT tree_id, node_id, false AS created, " + ", ".join(
+        f"CAST(0.0 AS DOUBLE) AS c{c}" for c in range(C)) + " FROM nodes WHERE is_leaf"))
+    for s in range(deep + 1):
+        sitems, su = hash_u("fh", SEED_SUBSET + seed, ["0", "n.tree_id", "n.node_id", "f.feature"])
+        ctes.append((f"us{s}", f"SELECT tree_id, node_id, feature FROM (SELECT n.tree_id, n.node_id, f.feature, {sitems}, "
+                               f"row_number() OVER (PARTITION BY n.tree_id, n.node_id ORDER BY {su}, f.feature) AS r "
+                               f"FROM f{s} n, range({len(features)}) f(feature)) WHERE r <= {k}"))
+        rows = [f"SELECT a.*, b.feature, b.bin FROM at1_{s} a JOIN binned1 b USING (rk)"]
+        if s == 0:
+            rows.append("SELECT a.*, b.feature, b.bin FROM at0 a JOIN binned b USING (rk)")
+        ctes.append((f"uh{s}", f"SELECT a.tree_id, a.node_id, a.feature, a.bin, {sums} FROM ({' UNION ALL '.join(rows)}) a "
+                               f"JOIN us{s} u USING (tree_id, node_id, feature) GROUP BY ALL"))
+        ctes.append((f"uc{s}", candidates_sql(f"SELECT * FROM uh{s}", "SELECT * FROM nb", kind, C)))
+        tsum = ", ".join(f"sum(s{c}) AS t{c}" for c in range(C))
+        ctes.append((f"ut{s}", f"SELECT tree_id, node_id, arg_min(struct_pack({', '.join(f't{c}' for c in range(C))}), feature) "
+                               f"AS tot FROM (SELECT tree_id, node_id, feature, {tsum} FROM uh{s} GROUP BY ALL) GROUP BY ALL"))
+        ctes.append((f"ub{s}", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY gain DESC, "
+                               f"feature, bin) AS rn FROM uc{s} WHERE valid AND gain >= 0.0) WHERE rn = 1"))
+        # a made node is judged by its parent's class weights, a reopened one by the merged totals
+        own = [f"CASE WHEN f.created THEN f.c{c} ELSE coalesce(t.tot.t{c}, 0.0) END" for c in range(C)]
+        left, right = [f"b.l{c}" for c in range(C)], [f"(b.t{c} - b.l{c})" for c in range(C)]
+        gain = (f"CASE WHEN f.created THEN {imp([f'f.c{c}' for c in range(C)])} - b.left_count / (b.left_count + b.right_count) * "
+                f"{imp(left)} - b.right_count / (b.left_count + b.right_count) * {imp(right)} ELSE b.gain END")
+        ctes.append((f"uv{s}", f"SELECT f.tree_id, f.node_id, {', '.join(f'{o} AS c{c}' for c, o in enumerate(own))}, b.feature AS bf, "
+                               f"b.bin AS bb, {gain} AS g, {', '.join(f'b.l{c} AS l{c}, b.t{c} - b.l{c} AS r{c}' for c in range(C))}, "
+                               f"{lvl.format('f')} AS lvl FROM f{s} f LEFT JOIN ut{s} t USING (tree_id, node_id) "
+                               f"LEFT JOIN ub{s} b ON b.tree_id = f.tree_id AND b.node_id = f.node_id"))
+        split = f"(g IS NOT NULL AND g > 0 AND lvl < {deep})"
+        ctes.append((f"un{s}", f"SELECT tree_id, node_id, NOT {split} AS is_leaf, CASE WHEN {split} THEN bf ELSE -1 END AS feature, "
+                               f"CASE WHEN {split} THEN bb ELSE -1 END AS split_idx, CASE WHEN {split} THEN g ELSE 0.0 END AS gain, "
+                               f"{stats} FROM uv{s}"))
+        kids = [f"SELECT tree_id, node_id * 2 + {side} AS node_id, true AS created, " + ", ".join(
+            f"{x}{c} AS c{c}" for c in range(C)) + f" FROM uv{s} WHERE {split}" for side, x in ((0, "l"), (1, "r"))]
+        ctes.append((f"f{s + 1}", " UNION ALL ".join(kids)))
+        ctes.append((f"at1_{s + 1}", f"SELECT a.rk, a.tree_id, a.node_id * 2 + CASE WHEN x.bin > n.split_idx THEN 1 ELSE 0 END "
+                                     f"AS node_id, a.w, a.label FROM at1_{s} a JOIN un{s} n USING (tree_id, node_id) "
+                                     f"JOIN binned1 x ON x.rk = a.rk AND x.feature = n.feature WHERE NOT n.is_leaf"))
+    ctes.append(("grown", f"SELECT tree_id, node_id, is_leaf, feature, split_idx, gain, {stats} FROM nodes WHERE NOT is_leaf UNION ALL "
+                 + " UNION ALL ".join(f"SELECT * FROM un{s}" for s in range(deep + 1))))
+    return first["with"] + ",\n" + ",\n".join(f"{n} AS ({q})" for n, q in ctes)
