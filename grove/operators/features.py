@@ -8,12 +8,15 @@ columns and push filters into the scan; no row-at-a-time Python UDF.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grove.session import new_work_path
+
 
 @dataclass
 class FeatureSpec:
@@ -57,7 +60,7 @@ def cast_int_columns(df: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------- P3
 def parse_string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """Every string column not excluded is parsed as a number; the empty
-    string reads as 0.  Junk raises (ANSI cast), as the reference did."""
+    string reads as 0.  Junk raises (ANSI cast)."""
     skip = set(exclude)
     cols = []
     for f in df.schema.fields:
@@ -72,48 +75,58 @@ def parse_string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> DataFram
 # ------------------------------------------------------------------- P4, P5
 @dataclass
 class StringIndex:
-    """Frequency-ordered label index (most frequent = 0, ties by value)."""
+    """Frequency-ordered label index (most frequent = 0, ties by value) as a
+    stored table (v, idx), so that it may hold any number of labels."""
 
     column: str
-    labels: list[str]
-
-    def index_expr(self, handle_invalid: str = "error") -> Column:
-        c = F.col(self.column)
-        m = F.create_map(*[x for i, lab in enumerate(self.labels)
-                           for x in (F.lit(lab), F.lit(float(i)))]) if self.labels else None
-        looked = F.element_at(m, c) if m is not None else F.lit(None).cast("double")
-        if handle_invalid == "keep":
-            return F.coalesce(looked, F.lit(float(len(self.labels))))
+    table: DataFrame
+
+    @cached_property
+    def labels(self) -> list[str]:
+        """The labels in order, for uses whose width is their number (one-hot)."""
+        return [r["v"] for r in self.table.orderBy("idx").collect()]
+
+    def apply(self, df: DataFrame, out: str, handle_invalid: str = "error") -> DataFrame:
+        """Adds the index by a join with the label table (Spark broadcasts it while
+        it is small).  Unseen labels raise, are skipped or get the next index."""
+        t = self.table.select(F.col("v").alias("_v"), F.col("idx").cast("double").alias(out))
+        res = df.join(t, F.col(self.column).cast("string") == F.col("_v"), "left").drop("_v")
         if handle_invalid == "skip":
-            return looked
-        return F.when(looked.isNull(),
-                      F.raise_error(F.concat(F.lit(f"unseen label in {self.column}: "),
-                                             F.coalesce(c.cast("string"), F.lit("null")))
-                                    ).cast("double")
-                      ).otherwise(looked)
-
-
-def fit_string_index(df: DataFrame, column: str, max_categories: int = 10000) -> StringIndex:
-    """P4 fit: label frequencies are aggregated on executors; only the label
-    list (bounded by ``max_categories``, a categorical arity) reaches the
-    driver, as in the built-in StringIndexer model."""
+            return res.where(F.col(out).isNotNull())
+        if handle_invalid == "keep":
+            return res.withColumn(out, F.coalesce(out, F.lit(float(self.table.count()))))
+        raised = F.raise_error(F.concat(F.lit(f"unseen label in {self.column}: "),
+                                        F.coalesce(F.col(self.column).cast("string"), F.lit("null"))))
+        return res.withColumn(out, F.when(F.col(out).isNull(), raised.cast("double")).otherwise(F.col(out)))
+
+
+def fit_string_index(df: DataFrame, column: str) -> StringIndex:
+    """P4 fit: label frequencies are counted and sorted on executors; a label's
+    index is its place in its sorted partition plus the sizes of those before."""
+    spark = df.sparkSession
     counts = (df.groupBy(F.col(column).cast("string").alias("v")).count()
               .where(F.col("v").isNotNull()))
-    top = counts.orderBy(F.desc("count"), F.asc("v")).limit(max_categories + 1).collect()
-    if len(top) > max_categories:
-        raise ValueError(f"{column} has more than {max_categories} categories")
-    return StringIndex(column, [r["v"] for r in top])
+    path = new_work_path(spark, "labels")
+    (counts.orderBy(F.desc("count"), F.asc("v")).withColumn("at", F.monotonically_increasing_id())
+     .write.parquet(path))
+    rows = spark.read.schema("v string, count bigint, at bigint").parquet(path)
+    part = F.shiftright("at", 33)
+    sizes = sorted(rows.groupBy(part.alias("p")).count().collect())  # one row per partition
+    starts, total = {}, 0
+    for p, n in sizes:
+        starts[p], total = total, total + n
+    start = F.lit(0)
+    if starts:
+        start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), part)
+    idx = start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return StringIndex(column, rows.select("v", idx.cast("bigint").alias("idx")))
 
 
 def string_index(df: DataFrame, column: str, out: str | None = None,
                  index: StringIndex | None = None, handle_invalid: str = "error"):
     """Adds ``out`` (double index).  Returns (DataFrame, StringIndex)."""
     index = index or fit_string_index(df, column)
-    out = out or f"{column}_idx"
-    res = df.withColumn(out, index.index_expr(handle_invalid))
-    if handle_invalid == "skip":
-        res = res.where(F.col(out).isNotNull())
-    return res, index
+    return index.apply(df, out or f"{column}_idx", handle_invalid), index
 
 
 def one_hot_array(index_col: str, size: int, drop_last: bool = True) -> Column:
@@ -157,7 +170,7 @@ def binarize(df: DataFrame, column: str, threshold: float, out: str) -> DataFram
 def numeric_feature_columns(df: DataFrame, label: str, exclude: Iterable[str] = (),
                             min_name_len: int = 4) -> list[str]:
     """Double columns that are not the label, not excluded, and whose
-    name has at least ``min_name_len`` characters (the reference's rule)."""
+    name has at least ``min_name_len`` characters."""
     skip = set(exclude) | {label}
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.DoubleType) and f.name not in skip

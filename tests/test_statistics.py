@@ -100,3 +100,18 @@ def test_work_folder_is_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Session())
+
+
+def test_string_index_holds_many_labels(spark):
+    from grove.operators.features import fit_string_index, string_index
+    df = spark.range(0, 30_000).selectExpr("cast(id % 12000 as string) AS c").unionAll(
+        spark.createDataFrame([("top",)] * 9 + [(None,)], "c string"))
+    index = fit_string_index(df, "c")
+    assert index.labels[0] == "top" and len(index.labels) == 12001
+    out, _ = string_index(df, "c", "i", index=index, handle_invalid="keep")
+    got = {r.c: r.i for r in out.distinct().collect()}
+    counts = {r["c"]: r["count"] for r in df.where("c is not null").groupBy("c").count().collect()}
+    want = {c: float(k) for k, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))}
+    assert got == want | {None: 12001.0}
+    with pytest.raises(Exception, match="unseen label"):
+        string_index(df, "c", "i", index=index)[0].collect()
