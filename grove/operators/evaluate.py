@@ -121,14 +121,14 @@ def prequential(fit: Callable, update: Callable, score: Callable, batches: DataF
     seen = 0
     model = None
     for i, b in enumerate(ids):
+        test_id = holdout if holdout is not None else (ids[i + 1] if i + 1 < len(ids) else None)
+        if test_id is None:
+            break  # nothing follows to test on, so no model is needed
         part = batches.where(F.col(batch_col) == b)
         t = time.time()
         model = fit(part) if model is None else update(model, part)
         secs = time.time() - t
         seen = int(model.rows_seen)
-        test_id = holdout if holdout is not None else (ids[i + 1] if i + 1 < len(ids) else None)
-        if test_id is None:
-            continue
         acc = accuracy(score(model, batches.where(F.col(batch_col) == test_id))).first()["accuracy"]
         rows.append((float(regrow), float(incremental), int(b), seen, float(secs),
                      float(1.0 - (acc or 0.0))))

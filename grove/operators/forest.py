@@ -24,7 +24,7 @@ from grove.operators import growth as G
 from grove.operators import histogram as Hg
 from grove.operators.features import FeatureSpec
 from grove.operators.sampling import (SEED_FATE, quantile_fraction, quantile_sample,
-                                      subset_size)
+                                      subset_size, union_batches)
 from grove.operators.splits import Splits, find_splits
 from grove.session import default_parallelism, new_work_path
 from grove.sources import model_store as MS
@@ -37,6 +37,7 @@ from grove.sources import model_store as MS
 #   replacement  - replace a share of trees, keep the rest
 #   combined     - grow some, replace some, keep the rest
 PRESETS = {
+    "default": (0.0, 0.0),
     "batched": (0.0, 1.0),
     "replacement": (0.3, 0.0),
     "combined": (0.2, 0.5),
@@ -250,6 +251,23 @@ class IncrementalForest:
         data.unpersist()
         return model
 
+    # --- I10
+    @classmethod
+    def for_strategy(cls, spec: FeatureSpec, name: str, **settings) -> "IncrementalForest":
+        """An estimator with the settings of a named update strategy."""
+        est = cls(spec, preset(name, **settings))
+        est.strategy = name
+        return est
+
+    def advance(self, model: ForestModel | None, batch: DataFrame, seen: list[DataFrame] = ()) -> ForestModel:
+        """The next model by the estimator's strategy: 'default' retrains on all
+        batches ``seen`` and this one, the others update ``model``."""
+        if model is None:
+            return self.fit(batch)
+        if getattr(self, "strategy", None) == "default":
+            return self.fit(union_batches([*seen, batch]))
+        return self.update(model, batch)
+
     # --- I7
     def update(self, model: ForestModel, df: DataFrame, mode: str = "error",
                stream: tuple[str, int] | None = None) -> ForestModel:

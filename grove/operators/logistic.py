@@ -164,33 +164,52 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "label", weight: st
         reg: float = 0.0, max_iter: int = 100, tol: float = 1e-6,
         init_coefficients=None, init_intercept: float | None = None,
         memory: int = 10, elastic_net: float = 0.0,
-        standardization: bool = True, engine: str = "blocks") -> LogisticModel:
+        standardization: bool = True, engine: str = "blocks", fit_intercept: bool = True) -> LogisticModel:
     """Warm start from given coefficients (original scale) and
     intercept, kept as given (decision D15); a cold start begins at zero
     with intercept log(n1/n0).  L6: penalty reg * ((1-a)/2 ||b||^2 + a ||b||_1)
     on the coefficients, not the intercept; on standardised coefficients, or
     on original-scale ones when ``standardization`` is off.  Pure L2 uses
-    L-BFGS; with an L1 part, OWL-QN."""
+    L-BFGS; with an L1 part, OWL-QN.  Without ``fit_intercept`` the intercept
+    is 0 throughout.  Labels other than 0 and 1 raise."""
     feats = list(features)
     data = df.select(*[F.col(f).cast("double").alias(f) for f in feats],
                      F.col(label).cast("double").alias(label),
                      *([F.col(weight)] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    opened = []  # evaluators to close, also when a fit fails
+    try:
+        return _fit(data, feats, label, weight, reg, max_iter, tol, init_coefficients, init_intercept, memory,
+                    elastic_net, standardization, engine, fit_intercept, opened)
+    finally:
+        data.unpersist()
+        for e in opened:
+            e.close()
+
+
+def _fit(data, feats, label, weight, reg, max_iter, tol, init_coefficients, init_intercept, memory, elastic_net,
+         standardization, engine, fit_intercept, opened) -> LogisticModel:
     sd = stds(data, feats, weight)
     n = len(feats)
+    w = F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0)
+    y = F.col(label)
+    r = data.agg(F.sum(w * y).alias("n1"), F.sum(w * (1 - y)).alias("n0"),
+                 F.sum(F.when(y.isin(0.0, 1.0), 0).otherwise(1)).alias("bad")).first()
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} labels are neither 0 nor 1")
     if init_coefficients is not None:
         beta = np.asarray(init_coefficients, float) * sd
-        b0 = float(init_intercept or 0.0)
+        b0 = float(init_intercept or 0.0) if fit_intercept else 0.0
     else:
         beta = np.zeros(n)
-        w = F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0)
-        r = data.agg(F.sum(w * F.col(label)).alias("n1"), F.sum(w * (1 - F.col(label))).alias("n0")).first()
-        b0 = float(math.log(r["n1"] / r["n0"])) if r["n1"] and r["n0"] else 0.0
+        b0 = float(math.log(r["n1"] / r["n0"])) if r["n1"] and r["n0"] and fit_intercept else 0.0
 
     scale = None if standardization else np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
     l2 = reg * (1.0 - elastic_net)
     l1 = reg * elastic_net
 
     blocks = BlockEvaluator(data, feats, label, weight, sd) if engine == "blocks" else None
+    if blocks is not None:
+        opened.append(blocks)
 
     def evaluate(x):
         if blocks is not None:
@@ -198,14 +217,10 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "label", weight: st
         else:  # one DataFrame aggregate per evaluation
             row = loss_gradient_frame(data, feats, x[:n], x[n], sd, label, weight).first()
         loss, g, gi = objective(row, x[:n], l2, n, scale)
-        return loss, np.append(g, gi)
+        return loss, np.append(g, gi if fit_intercept else 0.0)
 
     if l1 > 0:
-        model = _fit_owlqn(data, feats, sd, evaluate, np.append(beta, b0), l1, scale, max_iter,
-                           tol, memory)
-        if blocks is not None:
-            blocks.close()
-        return model
+        return _fit_owlqn(feats, sd, evaluate, np.append(beta, b0), l1, scale, max_iter, tol, memory)
     x = np.append(beta, b0)
     fx, gx = evaluate(x)
     hist = [fx]
@@ -243,14 +258,11 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "label", weight: st
         hist.append(fx)
         if rel < tol or np.linalg.norm(gx) < tol:
             break
-    data.unpersist()
-    if blocks is not None:
-        blocks.close()
     coef = np.where(sd > 0, x[:n] / np.where(sd > 0, sd, 1.0), 0.0)
     return LogisticModel(feats, coef, float(x[n]), hist, it)
 
 
-def _fit_owlqn(data, feats, sd, evaluate, x, l1, scale, max_iter, tol, memory=10) -> LogisticModel:
+def _fit_owlqn(feats, sd, evaluate, x, l1, scale, max_iter, tol, memory=10) -> LogisticModel:
     """OWL-QN: L-BFGS on the smooth part, steered by the pseudo-gradient of
     the L1 term and kept inside the current orthant (intercept and
     zero-variance features unpenalised)."""
@@ -313,11 +325,15 @@ def _fit_owlqn(data, feats, sd, evaluate, x, l1, scale, max_iter, tol, memory=10
         hist.append(obj)
         if rel < tol:
             break
-    data.unpersist()
     coef = np.where(sd > 0, x[:n] / np.where(sd > 0, sd, 1.0), 0.0)
     return LogisticModel(list(feats), coef, float(x[n]), hist, it)
 
 
+def predictions(df: DataFrame, model: LogisticModel, threshold: float = 0.5) -> DataFrame:
+    """The training rows (or others) with margin, probability and prediction."""
+    return score(df, model.features, model.coefficients, model.intercept, threshold)
+
+
 def summary_frame(spark, model: LogisticModel) -> DataFrame:
     """Objective per iteration."""
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.objective_history)],

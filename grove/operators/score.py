@@ -206,8 +206,8 @@ def leaf_ids(model, df: DataFrame, keep=None) -> DataFrame:
 
 
 def tree_accuracy(model, df: DataFrame, label: str = "label") -> DataFrame:
-    """Accuracy of each tree on a batch (leaf majority vs label); the
-    leaf prediction table is small (one row per node) and broadcast."""
+    """Accuracy of each tree on a batch (leaf majority vs label).  The leaf
+    prediction table has one row per node; Spark broadcasts it while it is small."""
     spark = df.sparkSession
     ids = [int(t) for t in model.trees.tree_id]
     d = leaf_ids(model, df.select("rk", label, *model.spec.names), keep=[label])
@@ -218,7 +218,7 @@ def tree_accuracy(model, df: DataFrame, label: str = "label") -> DataFrame:
         [(int(t), int(n), float(p)) for t, n, p in
          zip(model.nodes.tree_id, model.nodes.node_id, model.nodes.prediction)],
         "tree_id int, node_id bigint, leaf_prediction double")
-    j = ex.join(F.broadcast(preds), ["tree_id", "node_id"])
+    j = ex.join(preds, ["tree_id", "node_id"])
     return j.groupBy("tree_id").agg(
         F.avg((F.col("leaf_prediction") == F.col("label")).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n"))

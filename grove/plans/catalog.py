@@ -941,7 +941,7 @@ def stream_update(spark, sf):
     from grove.operators.growth import ForestParams
     from grove.session import new_work_path
     from grove.streaming.stream import stream_updates, write_batches
-    ev = _events_batches(spark, sf, 3).where(F.col("batch") < 3)
+    ev = B.split_batches(FX.events(spark, sf), 3, holdout=False)  # every event is streamed
     src = new_work_path(spark, "events-stream")
     write_batches(ev, src, "batch", [0, 1, 2])
     schema = spark.read.parquet(f"{src}/batch=0").schema
@@ -1223,5 +1223,5 @@ def prequential_next_batch(spark, sf):
     from grove.operators.growth import ForestParams
     est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=5, max_depth=3, seed=0,
                                                            incremental_prop=0.5, regrow_prop=0.3))
-    batches = _events_batches(spark, sf, 3).where(F.col("batch") < 3)
+    batches = B.split_batches(FX.events(spark, sf), 3, holdout=False)  # every event counts
     return prequential(est.fit, est.update, lambda m, d: m.transform(d), batches)

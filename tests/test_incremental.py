@@ -151,3 +151,14 @@ def test_missing_values_policy(spark):
     m = IncrementalForest(FX.hyperplane_spec(), ForestParams(
         num_trees=1, max_depth=2, on_missing="keep")).fit(h)
     assert m.transform(h).count() == h.count()
+
+
+def test_strategies(spark, batches):
+    for name in ("default", "batched", "replacement", "combined"):
+        est = IncrementalForest.for_strategy(FX.hyperplane_spec(), name, num_trees=2, max_depth=2, seed=1)
+        m = est.advance(est.advance(None, batches[0]), batches[1], [batches[0]])
+        n = batches[0].count() + batches[1].count()
+        assert m.rows_seen == n and m.version == (0 if name == "default" else 1)
+        if name == "default":
+            whole = est.fit(batches[0].unionByName(batches[1]))
+            assert _nodes(m) == _nodes(whole)
