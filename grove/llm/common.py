@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,30 @@ def fold_of(doc_id: int | None) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5
 
 
+_HELD: dict[str, list[dict]] = {}
+
+
+def hold(owner: str, *caches: dict) -> None:
+    """Registers the caches an operator keeps in a Python worker."""
+    _HELD.setdefault(owner, []).extend(caches)
+
+
+def only(owner: str) -> None:
+    """Empties the caches of all other operators: a worker that Spark uses again
+    for another stage holds those of one operator at a time."""
+    for name, caches in _HELD.items():
+        if name != owner:
+            for c in caches:
+                c.clear()
+
+
+def sliced(batches: Iterator, rows: int = 512) -> Iterator:
+    """Batches in slices, so that few texts are Python objects at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -65,9 +90,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit xxhash of words, remembered per worker up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, owner: str, limit: int = 400_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
+        hold(owner, self.known)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh3_64_intdigest as h

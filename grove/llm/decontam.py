@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WordHashes, mix64
+from grove.llm.common import WordHashes, mix64, only
 
 #: Selected positions are 1; each mask starts and ends with one.
 MASKS = ("11111111", "1101100101011", "1110010110100111", "1011010001110101")
@@ -39,7 +39,7 @@ _SLOTS = 22
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD = re.compile(r"\w+")
-_WORDS = WordHashes()
+_WORDS = WordHashes("decontam")
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
@@ -150,6 +150,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         shared = sc.broadcast(BenchmarkBlock(items, masks, min_tokens))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only("decontam")
             block = shared.value
             for b in batches:
                 rows = [(d, *o) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
@@ -176,6 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
         shared = sc.broadcast(BenchmarkBlock(items, masks, min_tokens))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            only("decontam")
             for b in batches:
                 yield b.filter(pa.array([not shared.value.overlaps(t, penalty) for t in b.column(at).to_pylist()], pa.bool_()))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WS, lower_az
+from grove.llm.common import WS, lower_az, stored
 
 MIN_CHARS = 10
 SEGMENT = 1 << 19  # bits of a filter that travel as one row
@@ -158,9 +158,10 @@ def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, bits_per_line: in
                 [pa.array([ids[j] for j in at], pa.int64()), pa.array([keys[j] for j in at], pa.string())],
                 names=["doc_id", "key"])
 
-    found = docs.mapInArrow(suspects, "doc_id long, key string")
+    # both tables are stored, so that the join of a frequent key can be split
+    found = stored(docs.mapInArrow(suspects, "doc_id long, key string"), "line-suspects")
     first = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where(F.col("first") < F.col("last")).select("key", "first")
+    first = stored(first.where(F.col("first") < F.col("last")).select("key", "first"), "line-repeats")
     return found.join(first, "key").where(F.col("doc_id") > F.col("first")).select("doc_id", "key")
 
 

@@ -38,6 +38,7 @@ stay; an empty table stays empty.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WordHashes, mix64, shingles, stored
+from grove.llm.common import WordHashes, mix64, only, shingles, sliced, stored
 from grove.llm.components import components
 
 SYMBOLS = 256
@@ -55,14 +56,16 @@ WIDTH = SYMBOLS + INDEXED  # bytes: low bytes of all symbols, high bytes of the
 FRAGMENT = 4000  # members of a bucket compared by signature in one place
 MEET = 1000  # members of a cluster in each of two groups compared by their sets
 RANGE_ROWS = 3_000_000
+LIVE_BITS = 27  # bits (as a power of two) of the bitmap of keys with several members: 16 MB
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2)
 _SALT = _rng.integers(0, 1 << 63, INDEXED, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_BIG = np.iinfo(np.int64).max
 
-_WORDS = WordHashes()
+_WORDS = WordHashes("neardup")
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -124,7 +127,8 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        only("neardup")
+        for b in sliced(batches):
             size, ids, sigs = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, n)
@@ -209,9 +213,14 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
         start, several = _runs(keys[order])
         a, b = _pairs(ids[order], ids[order][start])
         far = a != b
-        live = several | many[order]
+        live = np.unique(keys[order][several | many[order]])
+        at = (live >> np.uint64(64 - LIVE_BITS)).astype(np.int64)
+        first = int(at[0]) >> 3 if len(at) else 0
+        bits = np.zeros(((int(at[-1]) >> 3) - first + 1) * 8 if len(at) else 0, dtype=bool)
+        bits[at - 8 * first] = True
         return pd.DataFrame({"a": [a[far].astype("<i8").tobytes()], "b": [b[far].astype("<i8").tobytes()],
-                             "keys": [np.unique(keys[order][live]).astype("<u8").tobytes()]})
+                             "keys": [live.astype("<u8").tobytes()], "first": [first],
+                             "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,10 +236,19 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
         for b in batches:
             ids = b.column(0).to_numpy()
             keys = keys_of(_matrix(b.column(1), WIDTH), chunks).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids, INDEXED))], names=["key", "id"])
+            at = (keys >> np.uint64(64 - LIVE_BITS)).astype(np.int64)
+            may = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[may].view(np.int64)), pa.array(np.repeat(ids, INDEXED)[may])],
+                                             names=["key", "id"])
 
     met = stored(sigs.mapInArrow(ask, "range int, block long, keys binary, ids binary, many binary").groupBy(
-        "range").applyInPandas(meet, "a binary, b binary, keys binary"), "near-stars")
+        "range").applyInPandas(meet, "a binary, b binary, keys binary, first long, bits binary"), "near-stars")
+    # a bitmap of fixed size keeps most rows of single members from the exact join below
+    bitmap = np.zeros(1 << (LIVE_BITS - 3), np.uint8)
+    for r in met.select("first", "bits").toLocalIterator():
+        part = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        bitmap[r["first"]:r["first"] + len(part)] |= part
+    shared = sigs.sparkSession.sparkContext.broadcast(bitmap)
     inside = sigs.mapInArrow(local, "a long, b long")
     across = met.select("a", "b").mapInArrow(unfold, "a long, b long").distinct()
     across = across.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(
@@ -275,18 +293,18 @@ def candidate_clusters(rows: DataFrame, comps: DataFrame, sigs: DataFrame, radiu
             r = rt[i:i + step]
             differ = (sig[r, None, :SYMBOLS] != sig[None, lt, :SYMBOLS]).sum(axis=2, dtype=np.uint16)
             near[i:i + step] = (differ <= radius) & (comp[r][:, None] != comp[lt])
-        x, y = np.nonzero(near)
-        a, b = ids[rt].copy(), ids[lt].copy()
-        while len(x):
-            low = np.minimum(a[x], b[y])
-            c, d = a.copy(), b.copy()
-            np.minimum.at(c, x, low)
-            np.minimum.at(d, y, low)
-            if (c == a).all() and (d == b).all():
-                break
-            a, b = c, d
-        used = np.r_[np.unique(x), len(rt) + np.unique(y)].astype(int)
-        node, low = np.r_[ids[rt], ids[lt]][used], np.r_[a, b][used]
+        a, b = ids[rt].copy(), ids[lt].copy()  # least id reached so far, by row and by column
+        rows, cols = near.any(axis=1), near.any(axis=0)
+        step = max(1, 1_000_000 // len(lt))
+        changed = bool(rows.any())
+        while changed:
+            before = a.copy(), b.copy()
+            for i in range(0, len(rt), step):
+                part = near[i:i + step]
+                a[i:i + step] = np.minimum(a[i:i + step], np.where(part, b, _BIG).min(axis=1))
+                b = np.minimum(b, np.where(part, a[i:i + step, None], _BIG).min(axis=0))
+            changed = not ((before[0] == a).all() and (before[1] == b).all())
+        node, low = np.r_[ids[rt][rows], ids[lt][cols]], np.r_[a[rows], b[cols]]
         return node[node != low], low[node != low]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +341,8 @@ def candidate_clusters(rows: DataFrame, comps: DataFrame, sigs: DataFrame, radiu
 def sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """Stored (id, s): the packed shingle sets of the rows whose id is in ``needed``."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        only("neardup")
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([pack_set(shingle_set(t, n)) for t in b.column(1).to_pylist()], pa.binary())],
                 names=["id", "s"])
@@ -404,7 +423,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
     radius = max_distance(per_cent / 100, SYMBOLS)
     rows = stored(signed(docs, n), "near-signed")
     some = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    reps = some.groupBy("set_id").agg(F.min("doc_id").alias("id"))
+    # stored, so that the join of a set with very many copies can be split
+    reps = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("id")), "near-reps")
     sigs = some.join(reps.withColumnRenamed("id", "rep"), "set_id").where(F.col("doc_id") == F.col("rep"))
     sigs = stored(sigs.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id", "sig"]), "near-sigs")
 

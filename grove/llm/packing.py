@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import lower_az, stored
+from grove.llm.common import hold, lower_az, only, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -60,7 +60,8 @@ class ChunkEncoder:
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = limit
         self.chunks: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+        hold("packing", self.chunks, self.stems)
 
     def _room(self, known: dict[str, bytes], new: int) -> None:
         if len(known) + new > self.limit:
@@ -118,6 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing")
         enc = encoder(tokenizer)
         for b in batches:
             cols: list[list] = [[] for _ in names]
