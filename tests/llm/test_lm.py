@@ -72,7 +72,7 @@ def test_against_brute_force(spark, rows):
 
 def test_probabilities_sum_to_one(spark, documents):
     """Over the vocabulary and one unknown word, after any known context."""
-    table, tot = M.counted(documents.select("doc_id", "text", F.lit(1).alias("role")), block_chars=10 ** 9)
+    _, _, tot = M.counted(documents.select("doc_id", "text", F.lit(1).alias("role")), block_chars=10 ** 9)
     assert tot["n"] == tot["n0"] and tot["d"] == documents.count()
     w = M.learn_weights(pd.DataFrame({"b": [3], "n": [5.0], "f2": [0.1], "f1": [0.01]}), 1 / (tot["v0"] + 1))
     assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all()
