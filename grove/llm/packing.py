@@ -22,6 +22,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -161,60 +162,114 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_steps: int = 2_000) -> np.ndarray:
-    """Local search among underfull bins.
+class _Places:
+    """Underfull bins by what one exchange leaves: for a bin of room r and each
+    length y in it (and y = 0, for a mere move), the weight t = y + r that fits
+    in place of y.  ``low[t]`` is the least such y, or ``none``."""
+
+    def __init__(self, capacity: int):
+        self.none = capacity + 1
+        self.low = np.full(capacity + 1, self.none, dtype=np.int64)
+        self.bits = [0] * (capacity + 1)  # an integer's bits tell which y exist
+        self.bins: dict[tuple[int, int], dict[int, None]] = {}
+
+    def put(self, b: int, room: int, held: dict[int, list[int]]) -> None:
+        if room and held:
+            for y in (0, *held):
+                self.bins.setdefault((y + room, y), {})[b] = None
+                self.bits[y + room] |= 1 << y
+                self.low[y + room] = min(self.low[y + room], y)
+
+    def take(self, b: int, room: int, held: dict[int, list[int]]) -> None:
+        if room and held:
+            for y in (0, *held):
+                t = y + room
+                among = self.bins[t, y]
+                del among[b]
+                if not among:
+                    del self.bins[t, y]
+                    left = self.bits[t] = self.bits[t] ^ (1 << y)
+                    self.low[t] = (left & -left).bit_length() - 1 if left else self.none
+
+    def least(self, width: int) -> np.ndarray:
+        """Least y over t in [s, s + width) for each s."""
+        out, have = self.low.copy(), 1
+        while have < width:
+            step = min(have, width - have)
+            if step >= len(out):
+                break
+            out[:-step] = np.minimum(out[:-step], out[step:])
+            have += step
+        return out
+
 
-    Net weight d moves from a source of fill a to a bin of fill b only if
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Local search among underfull bins, until none can improve.
+
+    Net weight d goes from a source of fill a to a bin of fill b only if
     b + d <= capacity and b + d > a, which increases the sum of squared fills;
-    so the search ends.  Tried from the emptiest bin: a document into the
-    best-fitting gap, a document for a smaller one, two documents for one.
-    ``max_steps`` bounds the effort; any state is a valid packing."""
+    so the search ends.  From the emptiest bin on, one or two documents move,
+    or are exchanged for one, where d is greatest, then where they fit best.
+    A bin without such a step waits until all have been tried; the search ends
+    at the lower bound or when every bin was tried since the last step.  A try
+    costs the distinct lengths of a bin and a pass over ``capacity`` numbers,
+    whatever the number of pieces."""
     bins = bins.copy()
-    fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    least = -(-int(lengths.sum()) // capacity)
-    stuck: set[int] = set()
-    for _ in range(max_steps):
-        live = np.flatnonzero(fill > 0)
-        if len(live) <= least:
-            break
-        sources = [b for b in live[np.argsort(fill[live], kind="stable")].tolist()
-                   if fill[b] < capacity and b not in stuck]
-        if not sources:
-            break
-        a = sources[0]
-        mine = np.flatnonzero(bins == a)
-        others = np.flatnonzero((bins != a) & (fill[bins] < capacity))
-        y, by = lengths[others], bins[others]
-        room, full = capacity - fill[by], fill[by]
-        single = [(int(lengths[i]), (int(i),)) for i in mine]
-        two = [(int(lengths[i] + lengths[j]), (int(i), int(j)))
-               for k, i in enumerate(mine[:64]) for j in mine[k + 1:64]]
-        best = None  # (d, items out, item back or -1, bin)
-        for s, items in single:
-            ok = np.flatnonzero((room >= s) & (full + s > fill[a]))
-            if len(ok):
-                j = ok[np.argmin(room[ok])]
-                if best is None or s > best[0]:
-                    best = (s, items, -1, int(by[j]))
-        if best is None:
-            for s, items in single + two:
-                d = s - y
-                ok = np.flatnonzero((d > 0) & (d <= room) & (full + d > fill[a]))
-                if len(ok):
-                    j = ok[np.argmax(d[ok])]
-                    if best is None or d[j] > best[0]:
-                        best = (int(d[j]), items, int(others[j]), int(by[j]))
-        if best is None:
-            stuck.add(a)
+    held: list[dict[int, list[int]]] = [{} for _ in range(int(bins.max(initial=-1)) + 1)]
+    for i, (b, n) in enumerate(zip(bins.tolist(), lengths.tolist())):
+        held[b].setdefault(n, []).append(i)
+    fill = np.bincount(bins, weights=lengths, minlength=len(held)).astype(np.int64).tolist()
+    least, live = -(-int(lengths.sum()) // capacity), sum(f > 0 for f in fill)
+    places = _Places(capacity)
+    for b, f in enumerate(fill):
+        places.put(b, capacity - f, held[b])
+
+    def queue() -> list[tuple[int, int]]:
+        return [(f, b) for b, f in enumerate(fill) if 0 < f < capacity]
+
+    waiting, stepped = queue(), False
+    heapify(waiting)
+    while live > least:
+        if not waiting:
+            if not stepped:
+                break
+            waiting, stepped = queue(), False
+            heapify(waiting)
+            continue
+        f, a = heappop(waiting)
+        if fill[a] != f:
+            continue  # changed since it was queued; queued anew then
+        places.take(a, capacity - f, held[a])
+        one = np.array(sorted(held[a]), dtype=np.int64)
+        twice = np.array([n for n in one.tolist() if len(held[a][n]) > 1], dtype=np.int64)
+        i, j = np.triu_indices(len(one), 1)
+        sums = np.concatenate([one, one[i] + one[j], 2 * twice])
+        gain = sums - places.least(capacity - f)[sums]
+        k = int(np.argmax(gain))
+        d, s = int(gain[k]), int(sums[k])
+        if d <= 0:
+            places.put(a, capacity - f, held[a])
             continue
-        d, items, back, b = best
-        for i in items:
-            bins[i] = b
-        if back >= 0:
-            bins[back] = a
+        t = s + int(np.argmin(places.low[s:s + capacity - f]))
+        y = s - d
+        b = next(iter(places.bins[t, y]))
+        places.take(b, capacity - fill[b], held[b])
+        m = k - len(one)
+        out = [s] if m < 0 else [int(one[i[m]]), int(one[j[m]])] if m < len(i) else [s // 2, s // 2]
+        for n, x, z in [(n, a, b) for n in out] + [(y, b, a)] * (y > 0):
+            item = held[x][n].pop()
+            if not held[x][n]:
+                del held[x][n]
+            held[z].setdefault(n, []).append(item)
+            bins[item] = z
         fill[a] -= d
         fill[b] += d
-        stuck.clear()
+        live -= fill[a] == 0
+        stepped = True
+        for x in (a, b):
+            places.put(x, capacity - fill[x], held[x])
+            if 0 < fill[x] < capacity:
+                heappush(waiting, (fill[x], x))
     return bins
 
 
