@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -77,6 +79,63 @@ def test_against_all_diagonals(spark, documents):
     assert {(5000 + k, i) for k, (i, t) in enumerate(items) if len(t.split()) >= 16} <= got
 
 
+def unseeded(masks, min_tokens=13, penalty=2):
+    """A run that counts as an overlap, of any length, in which no mask finds a seed; None if there is none.
+    A run never scores below 0 from its start and ends at a new maximum, so its state is the
+    last tokens, the score, the highest score and the equal tokens so far; all states are visited."""
+    wide = max(map(len, masks)) - 1
+    seeds = [int(m, 2) for m in masks]
+    known = {(0, 0, 0, 0)}
+    todo = [(state, "") for state in known]
+    for (last, score, top, equal), run in todo:
+        assert len(run) < 500
+        after = [((last << 1) & ((1 << wide) - 1), score - penalty, top, equal)] if score >= penalty else []
+        now = (last << 1) | 1
+        if all(now & m != m for m in seeds):
+            equal = min(equal + 1, min_tokens)
+            if score + 1 > top and equal == min_tokens:
+                return run + "1"
+            after.append((now & ((1 << wide) - 1), score + 1, max(top, score + 1), equal))
+        for state in after:
+            if state not in known:
+                known.add(state)
+                todo.append((state, run + "01"[state[1] > score]))
+    return None
+
+
+def test_every_overlap_of_any_length_has_a_seed():
+    assert unseeded(("11111111", "1101100101011", "1110010110100111", "1011010001110101")) is not None
+    assert unseeded(D.MASKS) is None
+
+
+@pytest.mark.parametrize("size,changes", [(13, 0), (15, 2), (16, 3), (18, 4)])
+def test_all_changes_of_short_items(size, changes):
+    words = [f"w{i}" for i in range(size)]
+    block = D.BenchmarkBlock([(1, " ".join(words))], D.MASKS, D.MIN_TOKENS)
+    for at in itertools.combinations(range(size), changes):
+        text = " ".join("changed" if i in at else w for i, w in enumerate(words))
+        assert len(block.overlaps(text, 2.0)) == len(brute([(1, text)], [(1, " ".join(words))], D.MIN_TOKENS, 2.0))
+
+
+@pytest.mark.parametrize("period", range(4, 13))
+def test_periodic_changes(period):
+    words = [f"w{i}" for i in range(200)]
+    block = D.BenchmarkBlock([(1, " ".join(words))], D.MASKS, D.MIN_TOKENS)
+    text = " ".join("changed" if i % period == period - 1 else w for i, w in enumerate(words))
+    whole = 200 // period * period  # up to two equal words behind the last change do not count
+    (_, start, _, matched), = block.overlaps(text, 2.0)
+    assert start == 0 and matched >= whole - 200 // period
+
+
+def test_random_changes_against_all_diagonals():
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(30)]
+    block = D.BenchmarkBlock([(1, " ".join(words))], D.MASKS, D.MIN_TOKENS)
+    for _ in range(1500):
+        text = " ".join("changed" if x < 0.2 else w for w, x in zip(words, rng.random(30)))
+        assert len(block.overlaps(text, 2.0)) == len(brute([(1, text)], [(1, " ".join(words))], D.MIN_TOKENS, 2.0))
+
+
 def test_blocks_give_the_same(spark, documents):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     assert pairs(D.overlaps(documents, bench)) == pairs(D.overlaps(documents, bench, block_tokens=300))
