@@ -877,7 +877,11 @@ def feature_subset(spark, sf):
 
 
 # ====================================================== E2-E5, I13, S1-S5
-def _events_batches(spark, sf, n=3):
+#: Numbered batches of the prequential runs, and of each policy of the grid.
+NUM_BATCHES, GRID_BATCHES = 15, 10
+
+
+def _events_batches(spark, sf, n=NUM_BATCHES):
     return B.split_batches(FX.events(spark, sf), n)
 
 
@@ -891,7 +895,7 @@ def prequential_errors(spark, sf):
     from grove.session import new_work_path
     est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=5, max_depth=3, seed=0))
     m = prequential(est.fit, est.update, lambda m, d: m.transform(d),
-                    _events_batches(spark, sf), holdout=3)
+                    _events_batches(spark, sf), holdout=NUM_BATCHES)
     path = new_work_path(spark, "metrics")
     write_metrics(m, path)  # S5: the run's report, appended to a Parquet table
     return spark.read.parquet(path)
@@ -899,17 +903,16 @@ def prequential_errors(spark, sf):
 
 @query("policy_grid")
 def policy_grid(spark, sf):
-    """Hold-out error for (regrow, incremental) pairs on a grid (step
-    0.5 here; the function's default is the 0.1 grid)."""
+    """Hold-out error of all 66 (regrow, incremental) pairs on the 0.1 grid."""
     from grove.operators.evaluate import policy_grid as grid, prequential
     from grove.operators.forest import IncrementalForest
     from grove.operators.growth import ForestParams
-    batches = _events_batches(spark, sf, 2).persist()
+    batches = _events_batches(spark, sf, GRID_BATCHES).persist()
     out = None
-    for r, p in grid(0.5):
+    for r, p in grid(0.1):
         est = IncrementalForest(FX.events_spec(), ForestParams(
             num_trees=3, max_depth=3, seed=0, regrow_prop=r, incremental_prop=p))
-        m = prequential(est.fit, est.update, lambda m, d: m.transform(d), batches, holdout=2,
+        m = prequential(est.fit, est.update, lambda m, d: m.transform(d), batches, holdout=GRID_BATCHES,
                         regrow=r, incremental=p)
         out = m if out is None else out.unionByName(m)
     return out
@@ -922,9 +925,9 @@ def control_errors(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     batches = _events_batches(spark, sf)
     va = VectorAssembler(inputCols=FX.EVENT_FEATURES, outputCol="features")
-    test = va.transform(batches.where(F.col("batch") == 3))
+    test = va.transform(batches.where(F.col("batch") == NUM_BATCHES))
     rows, seen = [], []
-    for b in range(3):
+    for b in range(NUM_BATCHES):
         seen.append(batches.where(F.col("batch") == b))
         train = va.transform(B.union_batches(seen))
         m = RandomForestClassifier(numTrees=5, maxDepth=3, seed=0).fit(train)
@@ -1223,5 +1226,5 @@ def prequential_next_batch(spark, sf):
     from grove.operators.growth import ForestParams
     est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=5, max_depth=3, seed=0,
                                                            incremental_prop=0.5, regrow_prop=0.3))
-    batches = B.split_batches(FX.events(spark, sf), 3, holdout=False)  # every event counts
+    batches = B.split_batches(FX.events(spark, sf), NUM_BATCHES, holdout=False)  # every event counts
     return prequential(est.fit, est.update, lambda m, d: m.transform(d), batches)
