@@ -435,10 +435,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80) -> DataFram
     comps = stored(comps.join(sizes, "component").select("id", "component", "size"), "near-comps")
     clusters = candidate_clusters(members, comps, sigs, radius)
     rest = stored(links_across(clusters, comps, sigs, docs, n, per_cent, radius), "near-links")
-    final = components(links.unionByName(rest)).withColumnRenamed("id", "rep")
+    # rows of one doc_id are one document: all its sets are linked to its least representative
+    many = some.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x < y").select("doc_id")
+    held = some.join(stored(many, "near-many"), "doc_id").select("doc_id", "set_id").distinct().join(
+        reps.withColumnRenamed("id", "rep"), "set_id").select("doc_id", "rep")
+    first = held.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    same = held.join(first, "doc_id").where(F.col("rep") != F.col("b")).select(F.col("rep").alias("a"), "b").distinct()
+    final = components(links.unionByName(rest).unionByName(same)).withColumnRenamed("id", "rep")
 
     out = rows.join(reps.withColumnRenamed("id", "rep"), "set_id", "left")
-    # rows of one doc_id are one document: they share the least component of their sets
     out = out.join(final, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

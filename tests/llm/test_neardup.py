@@ -73,6 +73,15 @@ def test_against_all_pairs(spark, documents, edges, n, per_cent):
     assert got(spark, rows, n, per_cent) == brute(rows, n, per_cent)
 
 
+@pytest.mark.parametrize("n,per_cent", [(3, 85), (5, 80)])
+def test_rows_of_one_id_are_one_document(spark, n, per_cent):
+    t, u, v, w = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuvw")
+    rows = [(3, t), (5, t), (5, u), (9, u), (9, v), (9, v), (2, v + " more"), (12, w), (13, w), (13, w)]
+    want = brute(rows, n, per_cent)
+    assert {r[:1] + r[2:] for r in want} >= {(9, 2, False), (5, 2, False), (3, 2, False), (12, 12, True), (13, 12, False)}
+    assert got(spark, rows, n, per_cent) == want
+
+
 def test_chain_of_links(spark):
     """Each is like the next one only: one component through many steps."""
     words = [f"c{i}" for i in range(400)]
