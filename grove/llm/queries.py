@@ -195,3 +195,108 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     from grove.llm.neardup import near_duplicates
     return near_duplicates(read(spark, sf, "documents").select("doc_id", "text"), n=3, per_cent=85)
+
+
+def _nearest(n: int) -> str:
+    """SQL of assignment ``n``: each vector's (distance, cluster) to centroids c<n>."""
+    d = "CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    return f"a{n} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min([{d}, c.c]) AS best FROM v, c{n} c GROUP BY r)"
+
+
+def _centroids(n: int) -> str:
+    """SQL of the floored means after assignment ``n - 1``; empty clusters stay."""
+    return f"""s{n} AS (SELECT best[2] AS c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS m FROM (SELECT best, v, unnest(range(1, 65)) AS i FROM a{n - 1}) GROUP BY 1, 2),
+m{n} AS (SELECT c, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c),
+c{n} AS (SELECT o.c, coalesce(m{n}.v, o.v) AS v FROM c{n - 1} o LEFT JOIN m{n} USING (c))"""
+
+
+@query("op11_centroid_clustering", f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (
+  SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 16)),
+{_nearest(0)}, {_centroids(1)}, {_nearest(1)}, {_centroids(2)}, {_nearest(2)}, {_centroids(3)}, {_nearest(3)}
+SELECT a3.vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance,
+  CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.c = best[2]""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of all embeddings after three rounds."""
+    from grove.llm.centroids import cluster_digests
+    return cluster_digests(read(spark, sf, "embeddings").select("vec_id", "embedding"), k=16, rounds=3, dim=64, scale=64)
+
+
+@query("op12_entropy_mix")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix of all documents by source."""
+    from grove.llm.mixing import mix
+    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
+    return mix(docs, weights=(5, 2, 1), most=3).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate")
+
+
+def _edit(entry: str, cost: str, letter: str, said: str) -> str:
+    """SQL of an entry (8 digits of cost, audit, chr(1), repaired text) after one more edit."""
+    at = f"strpos({entry}, chr(1))"
+    return (f"lpad(CAST(CAST(substr({entry}, 1, 8) AS INTEGER) + {cost} AS VARCHAR), 8, '0') || substr({entry}, 9, {at} - 9) || "
+            f"'{letter}' || chr(1) || substr({entry}, {at} + 1) || {said}")
+
+
+def _closed(raw: str) -> str:
+    """SQL of the four states' entries after any insertions."""
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    to_u = [_edit(f"w[{p}]", "5", "I", user) for p in (1, 2, 4)]
+    to_a = [_edit("w[3]", "5", "I", assistant)] + [_edit(f"w[{p}]", "10", "II", f"{user} || {assistant}") for p in (1, 2)]
+    return f"list_transform([{raw}], lambda w: [w[1], w[2], least(w[3], {', '.join(to_u)}), least(w[4], {', '.join(to_a)})])[1]"
+
+
+def _row_step() -> str:
+    """SQL of the entries after row r = [initial, fault, role, text]: delete, keep or rerole."""
+    late = "CASE WHEN r[2] = 't' THEN 5 ELSE 0 END"
+    drop = [_edit(f"a[{p}]", "2", "D", "''") for p in (1, 2, 3, 4)]
+    def arrive(initial: str, word: str, sources: tuple) -> list[str]:
+        kept = [f"CASE WHEN r[1] = '{initial}' AND r[2] <> 'd' THEN {_edit(f'a[{p}]', late, 'K', said)} END"
+                for p in sources for said in ["chr(10) || r[3] || ':' || r[4]"]]
+        if word:
+            kept += [f"CASE WHEN r[2] <> 'd' THEN {_edit(f'a[{p}]', f'1 + {late}', 'R', said)} END"
+                     for p in sources for said in [f"chr(10) || '{word}:' || r[4]"]]
+        return kept
+    states = [[drop[0]], [drop[1], *arrive("s", "", (1,))], [drop[2], *arrive("u", "user", (1, 2, 4))], [drop[3], *arrive("a", "assistant", (3,))]]
+    return "[" + ", ".join(f"least({', '.join(s)})" if len(s) > 1 else s[0] for s in states) + "]"
+
+
+_CRC = ("xor(4294967295, list_reduce(list_transform(string_split(key, ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: "
+        "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), "
+        "CAST(4294967295 AS BIGINT)))")
+
+
+@query("op13_conversation_repair", f"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again FROM h WHERE h <> 0),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+  substr(role, 1, 1) AS initial, row_number() OVER w AS pos, lag(substr(role, 1, 1)) OVER w AS before
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+  list([initial, CASE fault WHEN 'blank' THEN 'd' WHEN 'duplicate' THEN 'd' WHEN 'truncated' THEN 't' ELSE '-' END, role, text]
+       ORDER BY pos) AS rows FROM f GROUP BY conv_id),
+p AS (SELECT *, list_reduce(rows, lambda a, r: {_closed(_row_step())}, {_closed("['00000000' || chr(1), NULL, NULL, NULL]")}) AS e FROM g),
+b AS (SELECT *, least(e[1], e[4]) AS best FROM p)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(CAST(substr(best, 1, 8) AS INTEGER), 0) AS BIGINT) AS cost,
+  coalesce(substr(best, 9, strpos(best, chr(1)) - 9), '') AS audit,
+  sha256(coalesce(substr(best, strpos(best, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN b ON i.conv_id IS NOT DISTINCT FROM b.conv_id""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations, after the damage."""
+    from grove.llm.repair import damaged, repair_digests
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_digests(damaged(turns), turns)
