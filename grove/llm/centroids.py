@@ -59,7 +59,7 @@ def first_centroids(vectors: DataFrame, k: int) -> np.ndarray:
     """The k vectors with the smallest sha256 of ``1:<vec_id>``, in that order."""
     h = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256).alias("h")
     rows = vectors.select(h, "v").orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], dtype=np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def narrow(v: np.ndarray) -> np.ndarray:

@@ -15,7 +15,8 @@ partitions does not show in the result.
 
 Rates become whole copies by carrying the error in tokens from the largest size of
 a source down to the smallest: each size takes the number of copies nearest to what
-is due, so a source ends within about half its smallest document of its target.
+is due, so a source ends a few words from its target: half the smallest size whose
+copies had room, between none and ``most`` a document.
 Which documents of a size get the odd copies is drawn by hash: a size with n
 documents is dealt into about sqrt(n) parts, each with its share of odd copies, and
 only inside a part are documents ranked, so a hot size never meets in one task.
