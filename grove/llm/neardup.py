@@ -53,9 +53,11 @@ from grove.llm.components import components
 SYMBOLS = 256
 INDEXED = 64
 WIDTH = SYMBOLS + INDEXED  # bytes: low bytes of all symbols, high bytes of the indexed
-FRAGMENT = 4000  # members of a bucket compared by signature in one place
+FRAGMENT = 4000  # members of a bucket in each of two groups compared by signature
 MEET = 1000  # members of a cluster in each of two groups compared by their sets
-RANGE_ROWS = 3_000_000
+MEET_BYTES = 8 << 20  # packed sets of such a group, about
+RANGE_ROWS = 500_000
+STEP = 16_384  # signature pairs compared at once
 LIVE_BITS = 27  # bits (as a power of two) of the bitmap of keys with several members: 16 MB
 
 _rng = np.random.default_rng(20240501)
@@ -97,6 +99,14 @@ def distance(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return (s[:, :SYMBOLS] != t[:, :SYMBOLS]).sum(axis=1)
 
 
+def close_pairs(sig: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether the signatures of each pair of rows are close, in steps to bound memory."""
+    ok = np.zeros(len(a), dtype=bool)
+    for i in range(0, len(a), STEP):
+        ok[i:i + STEP] = distance(sig[a[i:i + STEP]], sig[b[i:i + STEP]]) <= radius
+    return ok
+
+
 def pack_set(s: np.ndarray) -> bytes:
     return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -138,6 +148,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n_shingles", "set_id", "sig"])
+        _WORDS.known.clear()  # the worker goes on to stages without texts
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_shingles long, set_id binary, sig binary")
@@ -151,10 +162,13 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(a):
-        return a, b
-    u = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return u[0], u[1]
+    """The pairs once each, the smaller first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -184,7 +198,7 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
             a, c = _pairs(who, who[start])
             near = np.flatnonzero(a != c)
             a, c = a[near], c[near]
-            ok = distance(sig[a], sig[c]) <= radius
+            ok = close_pairs(sig, a, c, radius)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[c[ok]])], names=["a", "b"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +289,16 @@ def candidate_clusters(rows: DataFrame, comps: DataFrame, sigs: DataFrame, radiu
     per = mine.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
                                   F.max(F.struct("size", "component")).getField("component").alias("main"))
     open_ = mine.join(per.where(F.col("lo") < F.col("hi")).select("key", "n", "main"), "key")
-    cuts = F.ceil(F.col("n") / FRAGMENT).cast("int")
-    left = open_.select("key", F.pmod(F.hash("id"), cuts).alias("cut"), "id", "component", F.lit(0).alias("right"))
-    right = open_.where(F.col("component") != F.col("main")).select(
-        "key", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"), "id", "component", F.lit(1).alias("right"))
+    # all members and those outside the main component are cut into fragments, and
+    # every fragment of the ones meets every fragment of the others
+    cuts = F.ceil(F.col("n") / FRAGMENT).cast("long")
+    outside = F.count(F.when(F.col("component") != F.col("main"), 1))
+    open_ = open_.join(open_.groupBy("key").agg(F.ceil(outside / FRAGMENT).cast("long").alias("across")), "key")
+    mine = lambda n: F.pmod(F.xxhash64("id"), n)
+    left = open_.select("key", "id", "component", F.lit(0).alias("right"), F.explode(F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda j: mine(cuts) * F.col("across") + j)).alias("cut"))
+    right = open_.where(F.col("component") != F.col("main")).select("key", "id", "component", F.lit(1).alias("right"), F.explode(
+        F.transform(F.sequence(F.lit(0).cast("long"), cuts - 1), lambda i: i * F.col("across") + mine(F.col("across")))).alias("cut"))
     every = left.unionByName(right).join(sigs, "id")
     every = every.repartition("key", "cut").sortWithinPartitions("key", "cut", "right", "id")
 
@@ -346,6 +366,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([pack_set(shingle_set(t, n)) for t in b.column(1).to_pylist()], pa.binary())],
                 names=["id", "s"])
+        _WORDS.known.clear()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return stored(texts.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary"), "near-sets")
@@ -357,10 +378,13 @@ def links_across(clusters: DataFrame, comps: DataFrame, sigs: DataFrame, docs: D
     cut into fragments of ``MEET`` members; every two of them meet once, so that
     a text's set travels once per fragment, not once per pair."""
     clusters = stored(clusters.withColumnRenamed("component", "cluster"), "near-clusters")
-    cuts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("cuts"))
+    sets = sets_of(docs, clusters.select("id"), n)
+    sized = clusters.join(sets.select("id", F.length("s").alias("bytes")), "id")
+    cuts = sized.groupBy("cluster").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / MEET, F.sum("bytes") / MEET_BYTES)).cast("int").alias("cuts"))
     rows = clusters.join(cuts, "cluster").join(comps.select("id", "component"), "id", "left").select(
         "cluster", "id", F.coalesce("component", "id").alias("component"), F.pmod(F.hash("id"), F.col("cuts")).alias("cut"), "cuts")
-    rows = rows.join(sigs, "id").join(sets_of(docs, clusters.select("id"), n), "id")
+    rows = rows.join(sigs, "id").join(sets, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
     rows = rows.select("cluster", "id", "component", "cut", "sig", "s", other)
     rows = rows.withColumn("i", F.least("cut", "other")).withColumn("j", F.greatest("cut", "other"))
@@ -402,7 +426,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, per_cent: int) -> DataF
         found.withColumnRenamed("id", "a"), "a").select("a", "b", "s", "t")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ok = []
             for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = len(s) // 6, len(t) // 6

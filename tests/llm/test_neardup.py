@@ -100,6 +100,28 @@ def test_fragments_give_the_same(spark, monkeypatch):
     assert got(spark, rows, 3, 85) == want
 
 
+def test_large_bucket_without_links(spark, monkeypatch):
+    """A bucket of texts that are candidates of each other but mostly not linked:
+    both sides are cut into fragments, also by the bytes of the sets."""
+    rng = np.random.default_rng(8)
+    rows = family(rng, " ".join(f"b{i}" for i in range(100)), 400, 6, 12, 0)
+    want = brute(rows, 3, 85)
+    monkeypatch.setattr(N, "FRAGMENT", 37)
+    monkeypatch.setattr(N, "MEET_BYTES", 20_000)
+    monkeypatch.setattr(N, "RANGE_ROWS", 2000)
+    monkeypatch.setattr(N, "STEP", 50)
+    assert len({r[2] for r in want}) > 100
+    assert got(spark, rows, 3, 85) == want
+
+
+def test_pairs():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 30, 500), rng.integers(0, 30, 500)
+    x, y = N._pairs(a, b)
+    assert list(zip(x.tolist(), y.tolist())) == sorted({(min(p), max(p)) for p in zip(a.tolist(), b.tolist())})
+    assert len(N._pairs(a[:0], b[:0])[0]) == 0
+
+
 def test_index_guarantee():
     """Signatures within the guaranteed distance share a key, by construction."""
     rng = np.random.default_rng(0)
