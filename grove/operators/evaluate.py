@@ -108,15 +108,17 @@ def metrics_by_threshold(bins: DataFrame, beta: float = 1.0) -> DataFrame:
 
 
 # ------------------------------------------------------------------- E2-E5
-def prequential(fit: Callable, update: Callable, score: Callable, batches: DataFrame,
+def prequential(fit: Callable, update: Callable, score: Callable, batches: "DataFrame | BatchStore",
                 batch_col: str = "batch", holdout: int | None = None,
                 regrow: float = 0.0, incremental: float = 1.0) -> DataFrame:
     """Train on batch 0, then for each later batch i: evaluate the
     current model on batch i (prequential) or on the hold-out batch, then
-    update with batch i.  Returns one metrics row per step (S5 shape)."""
-    spark = batches.sparkSession
-    ids = sorted(r[0] for r in batches.select(batch_col).distinct().collect()
-                 if holdout is None or r[0] != holdout)  # one id per batch
+    update with batch i.  Returns one metrics row per step (S5 shape).  The
+    batches are stored apart once, so that a step reads its own files alone."""
+    from grove.sources.batches import BatchStore
+    store = batches if isinstance(batches, BatchStore) else BatchStore.write(batches, batch_col=batch_col)
+    spark = store.spark
+    ids = [b for b in store.ids() if b != holdout]
     rows = []
     seen = 0
     model = None
@@ -124,12 +126,12 @@ def prequential(fit: Callable, update: Callable, score: Callable, batches: DataF
         test_id = holdout if holdout is not None else (ids[i + 1] if i + 1 < len(ids) else None)
         if test_id is None:
             break  # nothing follows to test on, so no model is needed
-        part = batches.where(F.col(batch_col) == b)
+        part = store.read(b)
         t = time.time()
         model = fit(part) if model is None else update(model, part)
         secs = time.time() - t
         seen = int(model.rows_seen)
-        acc = accuracy(score(model, batches.where(F.col(batch_col) == test_id))).first()["accuracy"]
+        acc = accuracy(score(model, store.read(test_id))).first()["accuracy"]
         rows.append((float(regrow), float(incremental), int(b), seen, float(secs),
                      float(1.0 - (acc or 0.0))))
     return spark.createDataFrame(rows, METRICS_SCHEMA)

@@ -79,7 +79,7 @@ def _cand_columns(C: int):
 
 def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_classes: int,
                      erf: bool = False, seed: int = 0, version: int = 0,
-                     kind: str = "gini") -> DataFrame:
+                     kind: str = "gini", draw_mod: int | None = None) -> DataFrame:
     """All candidate splits with left and total statistics:
     (tree_id, node_id, feature, cand, split_idx, left_categories, l*, t*, _ok).
     Rows that cannot be a split (the last bin or category, or not the drawn
@@ -94,7 +94,8 @@ def split_candidates(hist: DataFrame, arity: Sequence[int], splits: Splits, num_
     cont = [f for f, a in enumerate(arity) if a == 0]
     ordc = [f for f, a in enumerate(arity) if a > 0 and not splits.unordered[f]]
     unord = [f for f, a in enumerate(arity) if a > 0 and splits.unordered[f]]
-    u_erf = (H.uniform(SEED_ERF + seed, F.lit(version), F.col("tree_id"), F.col("node_id"),
+    draw = F.pmod("tree_id", F.lit(draw_mod)) if draw_mod else F.col("tree_id")
+    u_erf = (H.uniform(SEED_ERF + seed, F.lit(version), draw, F.col("node_id"),
                        F.col("feature")) if erf else None)
     parts = []
     if cont:
@@ -191,13 +192,13 @@ def scored_candidates(cands: DataFrame, num_classes: int, kind: str,
 
 def best_splits(hist: DataFrame, arity: Sequence[int], splits: Splits, num_classes: int,
                 kind: str, min_instances: float, min_info_gain: float, erf: bool = False,
-                seed: int = 0, version: int = 0) -> DataFrame:
+                seed: int = 0, version: int = 0, draw_mod: int | None = None) -> DataFrame:
     """T5: per (tree, node): totals of the node and its best valid split
     (null fields when none)."""
     C = Hg.channels(num_classes)
     L, T = _cand_columns(C)
     S = Hg.hist_columns(num_classes)
-    sc = scored_candidates(split_candidates(hist, arity, splits, num_classes, erf, seed, version, kind),
+    sc = scored_candidates(split_candidates(hist, arity, splits, num_classes, erf, seed, version, kind, draw_mod),
                            num_classes, kind, min_instances)
     # one aggregation per node: totals (equal on every candidate row of the
     # node) and the best valid candidate (valid first, then gain, then the
@@ -314,8 +315,10 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
          num_classes: int, params: ForestParams, state: GrowState, max_depth: dict,
          born: dict, frontier: list, version: int, subset_k: int, num_trees_bag: int,
          label: str = "label", weight: str | None = None,
-         stored_hist: DataFrame | None = None, leaf_sink: str | None = None) -> GrowState:
-    """Grow the frontier nodes level by level until every branch ends."""
+         stored_hist: DataFrame | None = None, leaf_sink: str | None = None,
+         draw_mod: int | None = None) -> GrowState:
+    """Grow the frontier nodes level by level until every branch ends.
+    ``draw_mod``: see ``histogram_pass``."""
     spark = data.sparkSession
     C = Hg.channels(num_classes)
     kind = params.impurity
@@ -334,7 +337,7 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
             forest = Hg.FlatForest.build(nodes_pd, trees_in, max_arity)
             hist = Hg.histogram_pass(data, names, arity, splits, num_classes, forest, born, chunk,
                                      subset_k, num_trees_bag, params.subsampling_rate,
-                                     params.seed, label, weight, params.on_missing)
+                                     params.seed, label, weight, params.on_missing, draw_mod=draw_mod)
             if first and stored_hist is not None:
                 keys = spark.createDataFrame(chunk, "tree_id int, node_id bigint")
                 old = stored_hist.join(F.broadcast(keys), Hg.NODE_KEY, "left_semi")
@@ -357,7 +360,7 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
             else:
                 res = best_splits(hist, arity, splits, num_classes, kind,
                                   params.min_instances_per_node, params.min_info_gain, params.erf,
-                                  params.seed, version).collect()  # one row per node in chunk
+                                  params.seed, version, draw_mod).collect()  # one row per node in chunk
                 got = {(int(r["tree_id"]), int(r["node_id"])) for r in res}
                 if any(k not in got for k in chunk):  # nodes without any candidate row
                     res += [r for r in node_totals(hist, num_classes).collect()
@@ -395,8 +398,10 @@ def grow(data: DataFrame, names: Sequence[str], arity: Sequence[int], splits: Sp
                 is_leaf = gain is None or gain <= 0 or lvl >= max_depth[key[0]]
                 node["is_leaf"] = bool(is_leaf)
                 if is_leaf:
+                    # at the depth limit no split is searched when the whole chunk is there
+                    seen_gain = 0.0 if gain is None or lvl >= max_depth[key[0]] else float(gain)
                     node.update(feature=-1, split_idx=-1, threshold=float("nan"),
-                                left_categories=[], gain=0.0 if gain is None else float(gain))
+                                left_categories=[], gain=seen_gain)
                     leaves.append(key)
                     continue
                 f = int(b["feature"])

@@ -141,8 +141,10 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
                    born: dict[int, int], frontier: Sequence[tuple[int, int]],
                    subset_k: int, num_trees_bag: int, subsampling_rate: float,
                    seed: int, label: str = "label", weight: str | None = None,
-                   on_missing: str = "error", flush_entries: int = None) -> DataFrame:
-    """A3-A5: merged histogram of the frontier nodes over ``data``.
+                   on_missing: str = "error", flush_entries: int = None,
+                   draw_mod: int | None = None) -> DataFrame:
+    """A3-A5: merged histogram of the frontier nodes over ``data``.  With
+    ``draw_mod`` a tree's draws are those of its number modulo that.
 
     Returns wide rows (tree_id, node_id, feature, bin, s0..s{C-1})."""
     spark = data.sparkSession
@@ -152,6 +154,7 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
     fr_tree = np.array([t for t, _ in frontier], dtype=np.int64)
     fr_node = np.array([i for _, i in frontier], dtype=np.int64)
     fr_born = np.array([born[int(t)] for t in fr_tree], dtype=np.int64)
+    fr_draw = fr_tree % draw_mod if draw_mod else fr_tree
     # frontier position of every node index of the flat forest
     fpos = np.full(len(forest.node_id), -1, dtype=np.int64)
     lookup = {(int(t), int(i)): k for k, (t, i) in enumerate(zip(forest.node_tree, forest.node_id))}
@@ -165,14 +168,16 @@ def histogram_pass(data: DataFrame, names: Sequence[str], arity: Sequence[int],
         for bv in np.unique(fr_born):
             sel = fr_born == bv
             from grove.operators.sampling import feature_subset_mask_np
-            mask[sel] = feature_subset_mask_np(fr_tree[sel], fr_node[sel], F_, subset_k, seed,
+            mask[sel] = feature_subset_mask_np(fr_draw[sel], fr_node[sel], F_, subset_k, seed,
                                                int(bv))
-    trees_in = [t for t in forest.tree_ids if np.any(fr_tree == t)]
+    in_frontier = set(fr_tree.tolist())
+    trees_in = [t for t in forest.tree_ids if int(t) in in_frontier]
     t_pos = {int(t): k for k, t in enumerate(forest.tree_ids)}
     payload = {
         "forest": forest, "fpos": fpos, "mask": mask, "fr_tree": fr_tree, "fr_node": fr_node,
-        "splits": splits, "trees": [(int(t), t_pos[int(t)], int(tree_key(t, born[int(t)])))
-                                    for t in trees_in],
+        "splits": splits, "trees": [
+            (int(t), t_pos[int(t)], int(tree_key(t % draw_mod if draw_mod else t, born[int(t)])))
+            for t in trees_in],
     }
     bc = spark.sparkContext.broadcast(payload)
     names = list(names)

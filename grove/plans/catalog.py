@@ -904,18 +904,12 @@ def prequential_errors(spark, sf):
 @query("policy_grid")
 def policy_grid(spark, sf):
     """Hold-out error of all 66 (regrow, incremental) pairs on the 0.1 grid."""
-    from grove.operators.evaluate import policy_grid as grid, prequential
+    from grove.operators.evaluate import policy_grid as grid
     from grove.operators.forest import IncrementalForest
+    from grove.operators.grid import grid_errors
     from grove.operators.growth import ForestParams
-    batches = _events_batches(spark, sf, GRID_BATCHES).persist()
-    out = None
-    for r, p in grid(0.1):
-        est = IncrementalForest(FX.events_spec(), ForestParams(
-            num_trees=3, max_depth=3, seed=0, regrow_prop=r, incremental_prop=p))
-        m = prequential(est.fit, est.update, lambda m, d: m.transform(d), batches, holdout=GRID_BATCHES,
-                        regrow=r, incremental=p)
-        out = m if out is None else out.unionByName(m)
-    return out
+    est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=3, max_depth=3, seed=0))
+    return grid_errors(est, grid(0.1), _events_batches(spark, sf, GRID_BATCHES), holdout=GRID_BATCHES)
 
 
 @query("control_errors")
@@ -923,13 +917,13 @@ def control_errors(spark, sf):
     """E5 + B5: built-in forest retrained on all batches seen so far."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
-    batches = _events_batches(spark, sf)
+    from grove.sources.batches import BatchStore
+    batches = BatchStore.write(_events_batches(spark, sf))
     va = VectorAssembler(inputCols=FX.EVENT_FEATURES, outputCol="features")
-    test = va.transform(batches.where(F.col("batch") == NUM_BATCHES))
-    rows, seen = [], []
+    test = va.transform(batches.read(NUM_BATCHES))
+    rows = []
     for b in range(NUM_BATCHES):
-        seen.append(batches.where(F.col("batch") == b))
-        train = va.transform(B.union_batches(seen))
+        train = va.transform(batches.upto(b))
         m = RandomForestClassifier(numTrees=5, maxDepth=3, seed=0).fit(train)
         acc = m.transform(test).select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
         rows.append((b, float(1 - acc)))
