@@ -131,31 +131,32 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 #: Rules of the contract: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Parts of host names that put a host on the block list.
-URL_WORDS = ("spam", "casino", "phishing", "malware", "adult")
+#: An address is listed if none of its pages has so many words outside tags.
+LEAST_WORDS = 150
 
 
 @query("op9_url_filters", f"""
-WITH u AS (SELECT page_id, url, strpos(url, '://') AS sep FROM pages),
-h AS (SELECT page_id, CASE WHEN sep > 0 THEN substr(url, sep + 3) ELSE '' END AS rest FROM u),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', lower('{_UPPER}')) AS host,
+WITH u AS (SELECT page_id, url, strpos(url, '://') AS sep,
+  len(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[^\\x20\\x09-\\x0D]+')) AS words FROM pages),
+h AS (SELECT page_id, words, CASE WHEN sep > 0 THEN substr(url, sep + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, words, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', lower('{_UPPER}')) AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM h),
 rules(rhost, rpath, rverdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 f AS (SELECT p.page_id, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY p.page_id
         ORDER BY length(rhost || rpath) DESC, length(rhost) DESC, rverdict DESC) AS k
       FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-listed AS (SELECT DISTINCT host AS bad FROM p WHERE list_has_any(string_split_regex(host, '[.-]'), {list(URL_WORDS)})),
-m AS (SELECT DISTINCT page_id FROM p JOIN listed ON host = bad OR ends_with(host, '.' || bad))
-SELECT p.page_id, host, path, f.rule,
-  coalesce(rverdict, CASE WHEN m.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (page_id) LEFT JOIN m ON p.page_id = m.page_id""")
+m AS (SELECT host, path FROM p WHERE host <> '' GROUP BY host, path HAVING max(words) < {LEAST_WORDS}),
+l AS (SELECT DISTINCT host FROM m WHERE path = '')
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(rverdict, CASE WHEN m.host IS NOT NULL
+  OR EXISTS (SELECT 1 FROM l WHERE p.host = l.host OR ends_with(p.host, '.' || l.host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (page_id) LEFT JOIN m ON p.host = m.host AND p.path = m.path""")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts for the urls of all pages: fixed rules, then hosts of the pages
-    that a suspicious name puts on the block list."""
-    from grove.llm.urlfilter import judge_urls, suspicious_hosts
-    pages = read(spark, sf, "pages").select("page_id", "url")
+    """Verdicts for the urls of all pages: fixed rules, then the list of addresses
+    whose pages are all thin."""
+    from grove.llm.urlfilter import judge_urls, thin_pages
+    pages = read(spark, sf, "pages").select("page_id", "url", "html")
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS t(host, path, verdict)")
-    return judge_urls(pages, rules, suspicious_hosts(pages, URL_WORDS)).select(
+    return judge_urls(pages.select("page_id", "url"), rules, thin_pages(pages, LEAST_WORDS)).select(
         "page_id", "host", "path", "rule", "verdict")
 
 

@@ -1,9 +1,9 @@
 """URL verdicts from memory-mapped sorted digest arrays.
 
 A filter is a set of entries (host, path prefix, verdict).  ``build`` sorts
-their 64-bit xxhash keys and stores the full strings beside them; the file
-is distributed by Spark and memory-mapped by the workers, so every worker of a
-machine shares one copy.  A url is probed for each suffix of its host and
+their 64-bit xxhash keys and stores the full strings beside them; tasks write the
+files, Spark hands them to every executor and the workers memory-map them, so all
+workers of a machine share one copy.  A url is probed for each suffix of its host and
 each path length that entries have, by vectorised binary search, and every hit is
 confirmed against the stored string.
 
@@ -21,16 +21,17 @@ empty set of entries gives no rows or the default; other columns stay.
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import lower_az
+from grove.llm.common import lower_az, stored
 from grove.session import new_work_path
 
 BLOCK_BYTES = 64 << 20
@@ -111,16 +112,21 @@ class DigestArray:
                 j += 1
         return out
 
-    def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str, int] | None]:
-        """The winning (host, path, is block) of each url, or None."""
+    def judge(self, hosts: list[str], paths: list[str], whole: bool = False) -> list[tuple[str, str, int] | None]:
+        """The winning (host, path, is block) of each url, or None.  ``whole``: an
+        entry names one address, its host and whole path, or with an empty path a
+        host and its subdomains."""
         probes, owner = [], []
         for i, (host, path) in enumerate(zip(hosts, paths)):
             if not host:
                 continue
             labels = host.split(".")
+            if whole and path:
+                probes.append(_key(host, path))
+                owner.append(i)
             for k in range(len(labels)):
                 suffix = ".".join(labels[k:])
-                for n in self.lens:
+                for n in (0,) if whole else self.lens:
                     if n <= len(path):
                         probes.append(_key(suffix, path[:n]))
                         owner.append(i)
@@ -146,56 +152,59 @@ def opened(name: str) -> DigestArray:
     return _OPEN[name]
 
 
-def distribute(spark: SparkSession, blob: bytes) -> str:
-    """Puts a block into the shared work folder and has Spark hand it to every
-    executor; returns the name for ``SparkFiles``."""
-    path = new_work_path(spark, "digests")
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    try:
-        for i in range(0, len(blob), 1 << 20):
-            out.write(bytearray(blob[i:i + (1 << 20)]))
-    finally:
-        out.close()
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
-
-
-def blocks_of(entries: DataFrame, block_bytes: int) -> Iterator[bytes]:
-    """Digest arrays of all ``entries`` (host, path, verdict), each built from
-    about ``block_bytes`` of rows; only one is on the driver at a time."""
+def arrays_of(entries: DataFrame, block_bytes: int) -> list[str]:
+    """Names (for ``SparkFiles``) of digest arrays of all ``entries`` (host, path,
+    verdict): each is built by a task from about ``block_bytes`` of rows, dealt by
+    hash, and written under the shared folder; no entry passes through the driver."""
+    spark = entries.sparkSession
     e = entries.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("host", "path", "verdict"))).distinct()
+    e = stored(e, "url-entries")
     size = e.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 48)).first()[0] or 0
     parts = max(1, -(-size // block_bytes))
-    for k in range(parts):
-        part = e if parts == 1 else e.where(F.pmod(F.xxhash64("host", "path"), F.lit(parts)) == k)
-        yield build((r.host, r.path, r.verdict) for r in part.toLocalIterator())
+    folder = new_work_path(spark, "digests")
+
+    def write(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+        where, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        where.create_dir(path, recursive=True)
+        name = f"{folder.rsplit('/', 1)[-1]}-{key[0]}"
+        mine = f"{path}/.{name}-{uuid.uuid4().hex}"
+        with where.open_output_stream(mine) as out:  # under its name once it is whole: tasks may run twice
+            out.write(build(zip(g["host"], g["path"], g["verdict"])))
+        where.move(mine, f"{path}/{name}")
+        return pd.DataFrame({"name": [name]})
+
+    part = F.pmod(F.xxhash64("host", "path"), F.lit(parts)).alias("part")
+    names = sorted(r["name"] for r in e.select("*", part).groupBy("part").applyInPandas(write, "name string").collect())
+    for n in names:
+        spark.sparkContext.addFile(f"{folder}/{n}")
+    return names
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, default: str = "allow",
                url: str = "url", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds host, path, rule (host and path of the winning rule, else null) and
     verdict to ``pages``: the rule's, else that of the winning entry of
-    ``listed``, else ``default``."""
-    spark = pages.sparkSession
+    ``listed`` (addresses and hosts, see ``DigestArray.judge``), else ``default``."""
     clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in clash]
     out = pages.select(*keep)
-    sets = [[distribute(spark, b) for b in blocks_of(e, block_bytes)] for e in (rules, listed) if e is not None]
+    sets = [arrays_of(e, block_bytes) for e in (rules, listed) if e is not None]
 
-    def winners(names: list[str], hosts: list[str], paths: list[str]) -> list[tuple[str, str, int] | None]:
-        found = [opened(n).judge(hosts, paths) for n in names]
+    def winners(names: list[str], hosts: list[str], paths: list[str], whole: bool) -> list[tuple[str, str, int] | None]:
+        if not names:
+            return [None] * len(hosts)
+        found = [opened(n).judge(hosts, paths, whole) for n in names]
         return [max((x for x in row if x), key=rank, default=None) for row in zip(*found)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             split = [split_url(u) for u in b.column(b.schema.get_field_index(url)).to_pylist()]
             hosts, paths = [h for h, _ in split], [p for _, p in split]
-            best = winners(sets[0], hosts, paths)
+            best = winners(sets[0], hosts, paths, False)
             rule, final = [x and x[0] + x[1] for x in best], best
             if len(sets) > 1:
-                final = [x or y for x, y in zip(best, winners(sets[1], hosts, paths))]
+                final = [x or y for x, y in zip(best, winners(sets[1], hosts, paths, True))]
             new = [hosts, paths, rule, [default if x is None else ("allow", "block")[x[2]] for x in final]]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, *(pa.array(c, pa.string()) for c in new)],
@@ -205,18 +214,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     return out.mapInArrow(run, f"{schema}, host string, path string, rule string, verdict string")
 
 
-def host_of(url: Column) -> Column:
-    """Host by Spark expressions (the same rule as ``split_url``)."""
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host and path by Spark expressions (the same rules as ``split_url``)."""
     at = F.instr(url, F.lit("://"))
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url)))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), upper, upper.lower()), F.lit(""))
-
-
-def suspicious_hosts(pages: DataFrame, words: tuple[str, ...], url: str = "url") -> DataFrame:
-    """Block entries for every host of ``pages`` with one of ``words`` among the
-    parts of its name (cut at dots and hyphens)."""
-    hosts = pages.select(host_of(F.col(url)).alias("host")).distinct()
-    parts = F.split("host", "[.-]")
-    return hosts.where(F.arrays_overlap(parts, F.array(*(F.lit(w) for w in words)))).select(
-        "host", F.lit("").alias("path"), F.lit("block").alias("verdict"))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0)
+    return F.coalesce(F.translate(host, upper, upper.lower()), F.lit("")), F.coalesce(path, F.lit(""))
+
+
+def thin_pages(pages: DataFrame, least_words: int = 150, url: str = "url", html: str = "html") -> DataFrame:
+    """Block entries for every host and path under which no page of ``pages`` has
+    ``least_words`` words outside its tags (a null page has none)."""
+    host, path = host_and_path(F.col(url))
+    text = F.regexp_replace(F.coalesce(F.col(html).cast("string"), F.lit("")), "<[^>]*>", " ")
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    seen = pages.select(host.alias("host"), path.alias("path"), words.alias("words")).where(F.col("host") != "")
+    return seen.groupBy("host", "path").agg(F.max("words").alias("words")).where(F.col("words") < least_words).select(
+        "host", "path", F.lit("block").alias("verdict"))

@@ -1,3 +1,4 @@
+import re
 import tempfile
 
 import pytest
@@ -40,10 +41,43 @@ def test_against_brute_force(spark, entries, block_bytes):
     assert judged(U.judge_urls(pages, e, block_bytes=block_bytes)) == [brute(u, want_entries) for u in URLS + URLS[3:8]]
 
 
+def thin(rows, least):
+    """Addresses whose pages all have few words outside tags."""
+    most = {}
+    for url, html, *_ in rows:
+        host, path = U.split_url(url)
+        if host:
+            n = len(re.sub("<[^>]*>", " ", html or "").encode().split())
+            most[host, path] = max(most.get((host, path), 0), n)
+    return {k for k, n in most.items() if n < least}
+
+
+def test_thin_pages_are_listed(spark):
+    """Null, empty, upper-case and very long urls and texts, addresses with several pages."""
+    rows = [(u, "<p>one <b>two</b>" if i % 2 else "<p>" + "word " * 9) for i, u in enumerate(URLS)]
+    rows += [("http://A.com/x?1", "few"), ("http://a.com/x?2", "a b c d e f"), ("http://a.com/y", None), ("http://a.com/y", "<br>"),
+             ("http://b.com/z", "<" * 20 + "w " * 50_000), ("http://c.com", "<a href='many words in a tag only'>"),
+             ("http://d.com/\u0085é", "no\u0085break no\u2003break")] * 2
+    want = thin(rows, 5)
+    pages = spark.createDataFrame([(i, u, h, "e", "e", "e", "e") for i, (u, h) in enumerate(rows)],
+                                  "page_id long, url string, html string, host string, path string, words string, verdict string")
+    got = [tuple(r) for r in U.thin_pages(pages, 5).collect()]
+    assert sorted(got) == sorted((h, p, "block") for h, p in want) and ("a.com", "/y") in want and ("a.com", "/x") not in want
+    judged_ = {r.page_id: r for r in U.judge_urls(pages, frames(spark, [], [])[1], U.thin_pages(pages, 5), block_bytes=200).collect()}
+    assert judged_[0].words == "e" and len(judged_) == len(rows)
+    whole_hosts = {h for h, p in want if not p}
+    for i, (u, _) in enumerate(rows):
+        h, p = U.split_url(u)
+        block = (h, p) in want or any(h == x or h.endswith("." + x) for x in whole_hosts)
+        assert (judged_[i].host, judged_[i].path, judged_[i].rule, judged_[i].verdict) == (h, p, None, "block" if block else "allow")
+
+
+def test_no_pages_list_nothing(spark):
+    assert U.thin_pages(spark.createDataFrame([], "url string, html string")).count() == 0
+
+
 def test_list_is_asked_where_no_rule_fits(spark):
     pages, rules = frames(spark, URLS, URL_RULES)
-    listed = U.suspicious_hosts(pages, ("spam",))
-    assert [tuple(r) for r in listed.collect()] == [("user@spam.example.net:80", "", "block")] or listed.count() == 0
     listed = spark.createDataFrame([("example.net:80", "", "block"), ("org", "", "block")], "host string, path string, verdict string")
     got = judged(U.judge_urls(pages, rules, listed))
     assert got[17] == ("user@spam.example.net:80", "/p", None, "block")
