@@ -223,7 +223,9 @@ class IncrementalForest:
 
     # --- T9
     def fit(self, df: DataFrame, path: str | None = None, mode: str = "error",
-            splits: Splits | None = None, stream: tuple[str, int] | None = None) -> ForestModel:
+            splits: Splits | None = None, stream: tuple[str, int] | None = None,
+            report: dict | None = None) -> ForestModel:
+        """``report``: see ``update``."""
         spark = df.sparkSession
         t0 = time.time()
         root = path or new_work_path(spark, "forest")
@@ -247,10 +249,19 @@ class IncrementalForest:
                                   origin="fit"))
         model = ForestModel(self.spec, p, splits, trees, state.frame(), 0, root, int(info["n"]),
                             [dict(version=0, rows=int(info["n"]), seconds=time.time() - t0)])
-        model.save(spark, mode, [state.finish], attempt, stream)
+        model.save(spark, mode, [state.finish, self._report(spark, model, attempt, report)], attempt, stream)
         data.unpersist()
         return model
 
+    def _report(self, spark: SparkSession, model: ForestModel, attempt: str, report: dict | None):
+        """Writes the version's metrics row into its own attempt."""
+        if report is None:
+            return None
+        p = self.params
+        row = (None if p.regrow_prop == "ratio" else float(p.regrow_prop), float(p.incremental_prop), int(report["batch"]),
+               int(model.rows_seen), float(model.history[-1]["seconds"]), report.get("error"))
+        return lambda: MS.write_metrics_row(spark, model.root, attempt, row)
+
     # --- I10
     @classmethod
     def for_strategy(cls, spec: FeatureSpec, name: str, **settings) -> "IncrementalForest":
@@ -270,7 +281,10 @@ class IncrementalForest:
 
     # --- I7
     def update(self, model: ForestModel, df: DataFrame, mode: str = "error",
-               stream: tuple[str, int] | None = None) -> ForestModel:
+               stream: tuple[str, int] | None = None, report: dict | None = None) -> ForestModel:
+        """The next version.  With ``report`` (batch, error) the version keeps a
+        metrics row: it belongs to the same attempt, so it counts if and only if
+        the version does."""
         spark = df.sparkSession
         t0 = time.time()
         s, p = self.spec, self.params
@@ -327,7 +341,7 @@ class IncrementalForest:
                           model.rows_seen + n_new,
                           model.history + [dict(version=v, rows=n_new,
                                                 seconds=time.time() - t0)])
-        new.save(spark, mode, [state.finish], attempt, stream)
+        new.save(spark, mode, [state.finish, self._report(spark, new, attempt, report)], attempt, stream)
         data.unpersist()
         return new
 

@@ -819,7 +819,29 @@ def update_forest(spark, sf):
     return _nodes_out(_updated(spark, sf), spark)
 
 
-@query("update_fates")
+def _aged_sql(trees: str, version: int, num_trees: int, max_depth: int) -> str:
+    """Trees after the update to ``version`` by FATE_R and FATE_P: decayed, then
+    grown, kept or replaced."""
+    from grove.operators.sampling import SEED_FATE
+    i1, u1 = O.hash_u("f1", SEED_FATE, [str(version), "tree_id", "1"])
+    i2, u2 = O.hash_u("f2", SEED_FATE, [str(version), "tree_id", "2"])
+    keep = 1 - FATE_R / (1 - FATE_P)
+    fate = (f"CASE WHEN weight - CAST(1 AS DOUBLE) / {num_trees} < 0.1 OR max_depth = 30 THEN 'replaced' "
+            f"WHEN {u1} < {FATE_P} THEN 'grown' WHEN {u2} < {keep!r} THEN 'kept' ELSE 'replaced' END")
+    return f"""SELECT tree_id, CASE fate WHEN 'kept' THEN weight - CAST(1 AS DOUBLE) / {num_trees} ELSE CAST(1 AS DOUBLE) END AS weight,
+  CAST(CASE fate WHEN 'grown' THEN least(max_depth + 1, 30) WHEN 'replaced' THEN {max_depth} ELSE max_depth END AS INTEGER) AS max_depth,
+  CAST(CASE fate WHEN 'replaced' THEN {version} ELSE born_version END AS INTEGER) AS born_version,
+  CAST(CASE fate WHEN 'kept' THEN stats_version ELSE {version} END AS INTEGER) AS stats_version, fate AS origin
+FROM (SELECT *, {fate} AS fate FROM (SELECT *, {i1}, {i2} FROM ({trees})))"""
+
+
+def _new_trees_sql(first: int, count: int, max_depth: int, version: int, origin: str) -> str:
+    return (f"SELECT CAST(tree_id AS INTEGER) AS tree_id, CAST(1 AS DOUBLE) AS weight, {max_depth} AS max_depth, "
+            f"{version} AS born_version, {version} AS stats_version, '{origin}' AS origin "
+            f"FROM range({first}, {first + count}) t(tree_id)")
+
+
+@query("update_fates", lambda: _aged_sql(_new_trees_sql(0, 5, 3, 0, "fit"), 1, 5, 3))
 def update_fates(spark, sf):
     """The same update with trees grown, kept and replaced; returns the
     new version's trees."""
@@ -833,7 +855,7 @@ def update_fates(spark, sf):
     return m1.trees_df(spark)
 
 
-@query("add_trees")
+@query("add_trees", lambda: f"{_new_trees_sql(0, 3, 3, 0, 'fit')} UNION ALL {_new_trees_sql(3, 2, 3, 1, 'added')}")
 def add_trees(spark, sf):
     """Warm start - two more trees on the model's frozen splits."""
     from grove.operators.forest import IncrementalForest
@@ -912,6 +934,77 @@ def policy_grid(spark, sf):
     return grid_errors(est, grid(0.1), _events_batches(spark, sf, GRID_BATCHES), holdout=GRID_BATCHES)
 
 
+def _event_batch_sql(batches: int, which: str, holdout: bool) -> str:
+    """Rows of the events fixture whose batch of ``batches`` is ``which`` (a condition on ``b``)."""
+    items, u = O.hash_u("eb", B.SEED_BATCH, ["rk"])
+    total = batches + (batches / 4.0 if holdout else 0.0)
+    return (f"SELECT rk, label, {', '.join(FX.EVENT_FEATURES)} FROM (SELECT *, CAST(least(floor({u} * CAST({total!r} AS DOUBLE)), "
+            f"{batches if holdout else batches - 1}) AS INTEGER) AS b FROM (SELECT *, {items} FROM ({FX.events_sql()}))) WHERE {which}")
+
+
+def _kept_and_grown_sql():
+    """Errors of two policies over two batches, the forests grown node by node in SQL."""
+    n = len(FX.EVENT_FEATURES)
+    parts = [_event_batch_sql(2, f"b = {b}", True) for b in range(3)]
+    grown = O.grown_forest_sql(parts[0], parts[1], FX.EVENT_FEATURES, num_trees=3, max_depth=2, subset_k=2)
+    binned = O.binned_sql(O.long_sql("SELECT * FROM base2", FX.EVENT_FEATURES), "SELECT * FROM th")
+
+    def error(nodes: str, depth: int) -> str:
+        share = [f"sum(CASE WHEN n.c0 + n.c1 > 0 THEN n.c{c} / (n.c0 + n.c1) ELSE 0 END)" for c in (0, 1)]
+        return (f"SELECT 1.0 - avg(CASE WHEN b.label = v.p THEN 1.0 ELSE 0.0 END) AS error FROM (SELECT l.rk, "
+                f"CASE WHEN {share[1]} > {share[0]} THEN 1.0 ELSE 0.0 END AS p FROM "
+                f"({O.route_sql('SELECT * FROM binned2', f'SELECT * FROM {nodes}', depth)}) l "
+                f"JOIN {nodes} n ON n.tree_id = l.tree_id AND n.node_id = l.node_id GROUP BY l.rk) v JOIN base2 b ON b.rk = v.rk")
+
+    row = "SELECT CAST(0 AS DOUBLE) AS regrow, CAST({p} AS DOUBLE) AS incremental, {b} AS batch, {seen} AS rows_seen, {e} AS error FROM {f}"
+    seen = ["(SELECT count(*) FROM base)", "(SELECT count(*) FROM base) + (SELECT count(*) FROM base1)"]
+    rows = [row.format(p=p, b=b, seen=seen[b], e=O.r6("error"), f="grown_error" if (p, b) == (1, 1) else "first_error")
+            for p in (0, 1) for b in (0, 1)]
+    return (f"{grown},\nbase2 AS ({parts[2]}),\nbinned2 AS ({binned}),\nfirst_error AS ({error('nodes', 2)}),\n"
+            f"grown_error AS ({error('grown', 3)})\n" + " UNION ALL ".join(rows))
+
+
+@query("grid_kept_and_grown", _kept_and_grown_sql)
+def grid_kept_and_grown(spark, sf):
+    """Hold-out errors of the policies that keep and that grow every tree, over
+    two batches of all events."""
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.grid import grid_errors
+    from grove.operators.growth import ForestParams
+    est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=3, max_depth=2, seed=0))
+    out = grid_errors(est, [(0.0, 0.0), (0.0, 1.0)], B.split_batches(FX.events(spark, sf), 2), holdout=2)
+    return out.drop("seconds").withColumn("error", rnd("error"))
+
+
+def _stream_versions_sql():
+    trees = [_new_trees_sql(0, 4, 2, 0, "fit")]
+    for v in (1, 2):
+        trees.append(_aged_sql(trees[-1], v, 4, 2))
+    return " UNION ALL ".join(
+        f"SELECT {v} AS version, CAST({v} AS INTEGER) AS batch, (SELECT count(*) FROM ({_event_batch_sql(3, f'b <= {v}', False)})) AS rows_seen, "
+        f"tree_id, {O.r6('weight')} AS weight, max_depth, born_version, stats_version, origin FROM ({t})" for v, t in enumerate(trees))
+
+
+@query("stream_versions", _stream_versions_sql)
+def stream_versions(spark, sf):
+    """I13 + S5: events as a stream of three micro-batches of several files, each tested
+    before it trains; the trees of every version beside its metrics row."""
+    from grove.operators.forest import IncrementalForest
+    from grove.operators.growth import ForestParams
+    from grove.session import new_work_path
+    from grove.sources import model_store as MS
+    from grove.streaming.stream import stream_updates, write_batches
+    src, root = new_work_path(spark, "events-stream"), new_work_path(spark, "stream-model")
+    write_batches(B.split_batches(FX.events(spark, sf), 3, holdout=False), src, "batch", [0, 1, 2], files=4)
+    est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=4, max_depth=2, seed=0, regrow_prop=FATE_R, incremental_prop=FATE_P))
+    schema = spark.read.parquet(f"{src}/batch=0").schema
+    stream_updates(spark, f"{src}/*", schema, est, root, files_per_batch=4, test_first=True)
+    trees = reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{MS.attempt_path(root, r['attempt'])}/trees").withColumn("version", F.lit(v))
+        for v, r in MS.versions(spark, root).items()])
+    return MS.metrics(spark, root).select("version", "batch", "rows_seen").join(trees, "version").withColumn("weight", rnd("weight"))
+
+
 @query("control_errors")
 def control_errors(spark, sf):
     """E5 + B5: built-in forest retrained on all batches seen so far."""
@@ -930,7 +1023,8 @@ def control_errors(spark, sf):
     return spark.createDataFrame(rows, "batch int, error double")
 
 
-@query("stream_update")
+@query("stream_update", lambda: "SELECT tree_id, weight, 5 AS max_depth, 0 AS born_version, 2 AS stats_version, 'grown' AS origin, "
+       f"2 AS version FROM ({_new_trees_sql(0, 3, 3, 0, 'fit')})")
 def stream_update(spark, sf):
     """Events as a file stream of three batches; micro-batch 0 fits,
     the others update; returns the latest trees."""

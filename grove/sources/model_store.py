@@ -10,6 +10,7 @@ Every attempt to write a version puts its tables into a folder of its own, and
     attempts/<id>/nodes       tree_id, node_id, is_leaf, feature, split_idx, threshold,
                               left_categories, gain, impurity, count, stats, prediction
     attempts/<id>/leaf_stats  tree_id, node_id, feature, bin, s0.. (written by executors)
+    attempts/<id>/metrics     one row, if the version was tested on its batch first
 
 A run that dies before ``meta`` leaves an attempt nobody refers to, so a retry
 can't double anything.  A version counts only if its ``parent`` is the attempt
@@ -148,6 +149,24 @@ def load_version(spark: SparkSession, root: str, version: int | None = None) ->
                 nodes=nodes)
 
 
+def write_metrics_row(spark: SparkSession, root: str, attempt: str, row: tuple) -> None:
+    from grove.operators.evaluate import METRICS_SCHEMA
+    spark.createDataFrame([row], METRICS_SCHEMA).coalesce(1).write.parquet(f"{attempt_path(root, attempt)}/metrics")
+
+
+def metrics(spark: SparkSession, root: str) -> DataFrame:
+    """The metrics rows of all valid versions that have one, with ``version``."""
+    from grove.operators.evaluate import METRICS_SCHEMA
+    paths = {f"{attempt_path(root, r['attempt'])}/metrics": v for v, r in versions(spark, root).items()}
+    paths = {p: v for p, v in paths.items() if _exists(spark, p)}
+    if not paths:
+        return spark.createDataFrame([], METRICS_SCHEMA + ", version int")
+    attempt = F.regexp_extract(F.col("_metadata.file_path"), r"attempts/([0-9a-f]+)/metrics/", 1)
+    number = spark.createDataFrame([(p.rsplit("/", 2)[1], v) for p, v in paths.items()], "attempt string, version int")
+    rows = spark.read.schema(METRICS_SCHEMA).parquet(*paths).withColumn("attempt", attempt)
+    return rows.join(F.broadcast(number), "attempt").drop("attempt")  # a row a version
+
+
 def leaf_stats(spark: SparkSession, root: str, trees: pd.DataFrame) -> DataFrame | None:
     """Leaf histograms of the given trees, each read from the attempt of its
     stats version alone; None if these have no leaves with data.  Raises if a

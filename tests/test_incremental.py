@@ -90,7 +90,8 @@ def test_crash_before_meta_leaves_nothing(spark, batches, monkeypatch):
 
     def dies(spark, root, version, meta, splits_rows, trees, nodes, mode="error", extra=(), *rest):
         for fn in extra:
-            fn()
+            if fn is not None:
+                fn()
         raise RuntimeError("executor lost")
 
     monkeypatch.setattr(MS, "save_version", dies)
@@ -162,3 +163,50 @@ def test_strategies(spark, batches):
         if name == "default":
             whole = est.fit(batches[0].unionByName(batches[1]))
             assert _nodes(m) == _nodes(whole)
+
+
+def test_stream_metrics_belong_to_versions(spark, monkeypatch):
+    """Test-then-train over batches of several files; a crash after the tables and a
+    replay leave one metrics row for each version."""
+    from grove.operators.sampling import split_batches
+    from grove.session import new_work_path
+    from grove.sources import model_store as MS
+    from grove.streaming.stream import stream_updates, write_batches
+    ev = split_batches(FX.events(spark, SMALL), 3, holdout=False)
+    src = new_work_path(spark, "t-metrics")
+    write_batches(ev, src, "batch", [0, 1, 2], files=3)
+    schema = spark.read.parquet(f"{src}/batch=0").schema
+    est = IncrementalForest(FX.events_spec(), ForestParams(num_trees=2, max_depth=2, seed=1))
+    root, ckpt = new_work_path(spark, "t-metrics-model"), new_work_path(spark, "t-metrics-ckpt")
+    real, calls = MS.save_version, []
+
+    def dies(spark, root, version, meta, splits_rows, trees, nodes, mode="error", extra=(), *rest):
+        calls.append(version)
+        if calls.count(1) == 1 and version == 1:
+            for fn in extra:
+                if fn is not None:
+                    fn()
+            raise RuntimeError("executor lost")
+        return real(spark, root, version, meta, splits_rows, trees, nodes, mode, extra, *rest)
+
+    monkeypatch.setattr(MS, "save_version", dies)
+    with pytest.raises(Exception):
+        stream_updates(spark, f"{src}/*", schema, est, root, checkpoint=ckpt, files_per_batch=3, test_first=True)
+    st = stream_updates(spark, f"{src}/*", schema, est, root, checkpoint=ckpt, files_per_batch=3, test_first=True)
+    assert st["model"].version == 2 and st["model"].rows_seen == ev.count()
+    got = [r.asDict() for r in MS.metrics(spark, root).orderBy("version").collect()]
+    assert [(r["version"], r["batch"]) for r in got] == [(0, 0), (1, 1), (2, 2)] and got[0]["error"] is None
+    m = est.fit(ev.where("batch = 0"))
+    for b in (1, 2):
+        part = ev.where(F.col("batch") == b)
+        assert got[b]["error"] == pytest.approx(1 - accuracy(m.transform(part)).first()["accuracy"])
+        m = est.update(m, part)
+        assert got[b]["rows_seen"] == m.rows_seen
+    assert MS.metrics(spark, m.root).count() == 0  # versions made without a test have none
+
+
+def test_too_few_rows_for_the_files(spark):
+    from grove.session import new_work_path
+    from grove.streaming.stream import write_batches
+    with pytest.raises(ValueError, match="too few rows"):
+        write_batches(spark.createDataFrame([(1, 0)], "x int, batch int"), new_work_path(spark, "t-few"), "batch", [0], files=3)
