@@ -47,8 +47,7 @@ def score_bins(df: DataFrame, score: str = "score", label: str = "label",
            .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
                 F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg"))
            .persist(StorageLevel.MEMORY_AND_DISK))
-    from grove.operators.splits import default_buckets
-    ranked = running_sums(per, [], "s", [], buckets=default_buckets(per), descending=True)
+    ranked = running_sums(per, [], "s", [], descending=True)
     n_distinct = per.count()
     grouping = n_distinct // num_bins if num_bins > 0 else 0
     b = (F.floor((F.col("rank") - 1) / grouping) if grouping >= 2 else F.col("rank") - 1)

@@ -215,10 +215,9 @@ class IncrementalForest:
         p = self.params
         frac = quantile_fraction(p.max_bins, n)
         sample = quantile_sample(data, frac, "rk", p.seed)
-        # the sample is bounded by max(max_bins^2, 10000) rows in expectation,
-        # so plain per-feature windows suffice here (no range bucketing)
+        # the sample is bounded by max(max_bins^2, 10000) rows in expectation
         splits, _ = find_splits(sample, self.spec.names, self.spec.arity,
-                                self.spec.num_classes, p.max_bins, buckets=1)
+                                self.spec.num_classes, p.max_bins)
         return splits
 
     # --- T9

@@ -1,91 +1,88 @@
 """Distributed ranks and running sums within large groups.
 
-``Window.partitionBy(g).orderBy(v)`` sends a whole group to one task.  For
-groups that grow with the data (all distinct values of a feature, all
-distinct scores) the group is first cut into ~``buckets`` value ranges by
-approximate quantiles; each range is ranked by its own window task, and
-range offsets come from a tiny table of range totals.  Results are exact;
-the quantiles only decide how the work is split.
+``Window.partitionBy(g).orderBy(v)`` sends a whole group to one task.  Here the rows
+are sorted by range over (group, value), with a fixed number of rows to a range, so
+that there are as many ranges as the rows ask for and a group may span many of them.
+Sums inside a range are one pass over its sorted rows; what lies before a range comes
+from a table of range totals, a row for each range and group.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+RANGE_ROWS = 200_000
 
-def _bucket_bounds(df: DataFrame, part: Sequence[str], order: str, buckets: int):
-    probs = [i / buckets for i in range(1, buckets)]
-    rows = (df.groupBy(*part)
-            .agg(F.percentile_approx(F.col(order), probs, 10000).alias("_b"))
-            .collect())  # bounded: groups x buckets values
-    return rows
+
+def _within_ranges(df: DataFrame, part: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Rows of sorted ranges with ``_p`` (the range), ``_rn`` and ``_l_<c>``: position
+    and inclusive sums since the group began in this range."""
+    part, sums = list(part), list(sums)
+    new = [T.StructField("_p", T.IntegerType()), T.StructField("_rn", T.LongType())]
+    new += [T.StructField(f"_l_{c}", df.schema[c].dataType) for c in sums]
+    schema = T.StructType(df.schema.fields + new)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        p = TaskContext.get().partitionId()
+        last, before = None, {}
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys = [b.column(c).to_numpy(zero_copy_only=False) for c in part]
+            starts = np.zeros(n, dtype=bool)
+            for k in keys:
+                starts[1:] |= k[1:] != k[:-1]
+            first = tuple(k[0] for k in keys)
+            starts[0] = last is None or first != last
+            at = np.flatnonzero(starts)
+            run = np.cumsum(starts) - 1  # -1: goes on from the batch before
+            out = list(b.columns) + [pa.array(np.full(n, p, np.int32))]
+            for name, x in [("", np.ones(n, np.int64)), *((c, b.column(c).to_numpy(zero_copy_only=False)) for c in sums)]:
+                total = np.cumsum(x)
+                base = np.concatenate([total[at] - x[at], [-before.get(name, 0)]])  # last: for run -1
+                mine = total - base[run]
+                before[name] = mine[-1]
+                out.append(pa.array(mine))
+            last = tuple(k[-1] for k in keys)
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(out, types)], names=[f.name for f in schema.fields])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    types = [f.type for f in to_arrow_schema(schema)]
+    return df.mapInArrow(fn, schema)
 
 
 def running_sums(df: DataFrame, part: Sequence[str], order: str, sums: Sequence[str],
-                 buckets: int = 64, descending: bool = False, totals: bool = False) -> DataFrame:
+                 descending: bool = False, totals: bool = False, range_rows: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based position by ``order`` within ``part``; rows
     must be distinct on part + order) and ``cum_<c>`` running sums
     (inclusive) for each column in ``sums``.  With ``totals`` also the
     group's row count ``tot_rows`` and sums ``tot_<c>`` (from the small
-    range table, no extra pass over the rows)."""
-    part = list(part)
-    ordc = F.col(order).desc() if descending else F.col(order).asc()
-    if buckets <= 1:
-        wp = Window.partitionBy(*part)
-        w = wp.orderBy(ordc).rowsBetween(Window.unboundedPreceding, 0)
-        cols = [F.row_number().over(wp.orderBy(ordc)).alias("rank")]
-        cols += [F.sum(c).over(w).alias(f"cum_{c}") for c in sums]
-        if totals:
-            cols += [F.count(F.lit(1)).over(wp).alias("tot_rows")]
-            cols += [F.sum(c).over(wp).alias(f"tot_{c}") for c in sums]
-        return df.select("*", *cols)
-
-    bounds = _bucket_bounds(df, part, order, buckets)
-    # bucket = number of bounds strictly below the value (ascending order)
-    if part:
-        key = F.struct(*[F.col(p) for p in part]) if len(part) > 1 else F.col(part[0])
-        entries = []
-        for r in bounds:
-            k = F.struct(*[F.lit(r[p]) for p in part]) if len(part) > 1 else F.lit(r[part[0]])
-            b = r["_b"] or []
-            entries += [k, F.array(*[F.lit(x) for x in b]).cast(f"array<{_elem_type(df, order)}>")]
-        arr = F.element_at(F.create_map(*entries), key) if entries else F.array()
-    else:
-        b = bounds[0]["_b"] if bounds else []
-        arr = F.array(*[F.lit(x) for x in (b or [])]).cast(f"array<{_elem_type(df, order)}>")
-    v = F.col(order)
-    bk = F.coalesce(F.size(F.filter(arr, lambda t: t < v)), F.lit(0))
-    if descending:
-        bk = F.lit(buckets) - bk
-    d2 = df.withColumn("_bk", bk)
-
-    tot_aggs = [F.count(F.lit(1)).alias("_tn")] + [F.sum(c).alias(f"_t_{c}") for c in sums]
-    tots = d2.groupBy(*part, "_bk").agg(*tot_aggs)  # groups x buckets rows
-    wo = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    range table, no extra pass over the rows).  ``df`` is counted and sampled
+    before it is sorted: persist it when it is expensive."""
+    part, sums = list(part), list(sums)
+    keys = [F.col(c).asc() for c in part] + [F.col(order).desc() if descending else F.col(order).asc()]
+    ranges = max(1, -(-df.count() // int(range_rows or RANGE_ROWS)))
+    placed = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    local = _within_ranges(placed, part, sums).persist(StorageLevel.MEMORY_AND_DISK)
+    tots = local.groupBy(*part, "_p").agg(F.count(F.lit(1)).alias("_tn"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
+    wo = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*part)
-    offs = tots.select(*part, "_bk",
-                       F.coalesce(F.sum("_tn").over(wo), F.lit(0)).alias("_on"),
-                       *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
-                         for c in sums],
+    offs = tots.select(*part, "_p", F.coalesce(F.sum("_tn").over(wo), F.lit(0)).alias("_on"),
+                       *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sums],
                        *([F.sum("_tn").over(wall).alias("tot_rows")]
-                         + [F.sum(f"_t_{c}").over(wall).alias(f"tot_{c}") for c in sums]
-                         if totals else []))
-    wl = Window.partitionBy(*part, "_bk").orderBy(ordc)
-    wr = wl.rowsBetween(Window.unboundedPreceding, 0)
-    local = d2.withColumn("_rn", F.row_number().over(wl))
-    for c in sums:
-        local = local.withColumn(f"_l_{c}", F.sum(c).over(wr))
-    j = local.join(F.broadcast(offs), on=[*part, "_bk"], how="inner")
-    out = j.withColumn("rank", (F.col("_rn") + F.col("_on")).cast("bigint"))
+                         + [F.sum(f"_t_{c}").over(wall).alias(f"tot_{c}") for c in sums] if totals else []))
+    # at most a row for each range and for each group: Spark broadcasts it while it is small
+    out = local.join(offs, [*part, "_p"]).withColumn("rank", F.col("_rn") + F.col("_on"))
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.col(f"_l_{c}") + F.col(f"_o_{c}"))
-    drop = ["_bk", "_rn", "_on"] + [f"_l_{c}" for c in sums] + [f"_o_{c}" for c in sums]
-    return out.drop(*drop)
-
-
-def _elem_type(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
+    return out.drop("_p", "_rn", "_on", *[f"_l_{c}" for c in sums], *[f"_o_{c}" for c in sums])

@@ -28,14 +28,13 @@ from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grove.operators.prefix import running_sums
 
-DRIVER_VALUE_LIMIT = 1_000_000  # (feature, value) rows of the quantile sample
-
 
 # ----------------------------------------------------------------------- Q1
 def long_values(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -53,20 +52,13 @@ def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------- Q2, Q3
-def default_buckets(df: DataFrame) -> int:
-    """Value ranges per feature for the distributed ranking: a few per core
-    of the cluster, so every core gets work and no range grows with it."""
-    return int(min(1024, max(4, 2 * df.sparkSession.sparkContext.defaultParallelism)))
-
-
-def continuous_thresholds(vc: DataFrame, num_splits: int, buckets: int | None = None) -> DataFrame:
+def continuous_thresholds(vc: DataFrame, num_splits: int, range_rows: int | None = None) -> DataFrame:
     """Q2 + Q3 over value counts ``(feature, v, n)`` ->
     ``(feature, split_idx, threshold)``.  ``vc`` is read three times
-    (ranges, totals, ranks): persist it when it is expensive."""
+    (count, range bounds, ranks): persist it when it is expensive."""
     S = int(num_splits)
-    buckets = default_buckets(vc) if buckets is None else buckets
     from pyspark import StorageLevel
-    ranked = running_sums(vc, ["feature"], "v", ["n"], buckets=buckets, totals=True)
+    ranked = running_sums(vc, ["feature"], "v", ["n"], totals=True, range_rows=range_rows)
     # read three times below (all-values branch, stride steps, threshold
     # lookup): ranked once, kept (spillable) instead of re-sorted each time
     ranked = ranked.withColumnsRenamed({"tot_n": "n_total", "tot_rows": "m"}) \
@@ -158,39 +150,23 @@ class Splits:
 
 
 def find_splits(sample: DataFrame, names: Sequence[str], arity: Sequence[int],
-                num_classes: int, max_bins: int, on_constant: str = "ignore",
-                buckets: int | None = None) -> tuple[Splits, DataFrame]:
-    """Q6: all features in one grouped job.  ``sample`` is the (B2) sample.
+                num_classes: int, max_bins: int, on_constant: str = "ignore") -> tuple[Splits, DataFrame]:
+    """Q6: all features in one grouped job.  ``sample`` is the (B2) sample: its
+    rows are bounded by the bins, so a feature's value counts are a bounded group,
+    and the closed form runs on each by itself, however many features there are.
     Returns the frozen ``Splits`` and the splits table."""
     cont = [i for i, a in enumerate(arity) if a == 0]
     S = max_bins - 1
     if cont:
-        from pyspark import StorageLevel
-        vc = value_counts(sample, [names[i] for i in cont]).persist(StorageLevel.MEMORY_AND_DISK)
-        # The quantile sample holds max(max_bins^2, 10000) rows in expectation
-        # whatever the table size: when its value counts are within a fixed
-        # bound they are brought to the driver once and walked in NumPy (one
-        # job); above the bound the distributed closed form runs instead.
-        small = vc.limit(DRIVER_VALUE_LIMIT + 1).collect()
-        if len(small) <= DRIVER_VALUE_LIMIT:
-            rows = []
-            by_f: dict = {}
-            for r in small:
-                by_f.setdefault(int(r["feature"]), []).append((float(r["v"]), int(r["n"])))
-            for j, pairs in by_f.items():
-                pairs.sort()
-                v = np.array([a for a, _ in pairs])
-                n = np.array([b for _, b in pairs])
-                for k, t in enumerate(thresholds_np(v, n, S)):
-                    rows.append({"feature": cont[j], "split_idx": k, "threshold": float(t)})
-            tab = None
-        else:
-            tab = continuous_thresholds(vc, S, buckets)
-            remap = F.create_map(*[x for j, i in enumerate(cont) for x in (F.lit(j), F.lit(i))])
-            tab = tab.select(F.element_at(remap, F.col("feature")).alias("feature"), "split_idx",
-                             "threshold")
-            rows = tab.collect()  # bounded: features x (max_bins - 1)
-        vc.unpersist()
+        def walk(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("v")
+            t = thresholds_np(g["v"].to_numpy(), g["n"].to_numpy(), S)
+            return pd.DataFrame({"feature": np.full(len(t), cont[int(g["feature"].iloc[0])], np.int32),
+                                 "split_idx": np.arange(len(t), dtype=np.int32), "threshold": t})
+
+        tab = value_counts(sample, [names[i] for i in cont]).groupBy("feature").applyInPandas(
+            walk, "feature int, split_idx int, threshold double")
+        rows = tab.collect()  # bounded: features x (max_bins - 1)
     else:
         tab = None
         rows = []

@@ -27,10 +27,10 @@ def test_closed_form_equals_walk(spark, seed, n, distinct, splits):
     rng = np.random.default_rng(seed)
     vals = rng.integers(0, distinct, n).astype(float) ** 1.5  # skewed, many ties
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    for buckets in (1, 5):
-        tab = Q.continuous_thresholds(Q.value_counts(df, ["x"]), splits, buckets).collect()
+    for range_rows in (None, 70):  # one range, and a feature over many
+        tab = Q.continuous_thresholds(Q.value_counts(df, ["x"]), splits, range_rows).collect()
         got = [r.threshold for r in sorted(tab, key=lambda r: r.split_idx)]
-        assert np.allclose(got, walk(vals, splits)), (seed, buckets)
+        assert np.allclose(got, walk(vals, splits)), (seed, range_rows)
         assert [r.split_idx for r in sorted(tab, key=lambda r: r.split_idx)] == list(range(len(got)))
 
 
@@ -52,3 +52,26 @@ def test_numpy_closed_form_equals_walk(seed, n, distinct, splits):
     vals = rng.integers(0, distinct, n).astype(float) ** 1.5
     v, c = np.unique(vals, return_counts=True)
     assert np.allclose(Q.thresholds_np(v, c, splits), walk(vals, splits))
+
+
+@pytest.mark.parametrize("range_rows", [None, 13, 100])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_equal_windows(spark, range_rows, descending):
+    """Groups over many ranges, many groups in one, one group without a key, none at all."""
+    from grove.operators.prefix import running_sums
+    rng = np.random.default_rng(7)
+    rows = {(int(g), float(v)): int(rng.integers(-5, 9)) for g, v in zip(rng.integers(0, 4, 900), rng.integers(-400, 400, 900) / 2)}
+    rows |= {(9, 1.0): 3, (10, float("-inf")): 2, (10, float("inf")): 1}
+    df = spark.createDataFrame([(g, v, n, "x") for (g, v), n in rows.items()], "g int, v double, n bigint, other string").repartition(5)
+    want, count, cum = {}, {}, {}
+    for g, v in sorted(rows, key=lambda k: (k[0], -k[1] if descending else k[1])):
+        count[g], cum[g] = count.get(g, 0) + 1, cum.get(g, 0) + rows[g, v]
+        want[g, v] = (count[g], cum[g])
+    got = running_sums(df, ["g"], "v", ["n"], descending, totals=True, range_rows=range_rows).collect()
+    assert {(r.g, r.v): (r.rank, r.cum_n) for r in got} == want and len(got) == len(rows)
+    assert all((r.tot_rows, r.tot_n, r.other) == (count[r.g], cum[r.g], "x") for r in got)
+    one = df.where("g = 1").drop("g")
+    got = running_sums(one, [], "v", [], descending, range_rows=range_rows).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r["rank"])] == sorted((r.v for r in got), reverse=descending)
+    assert sorted(r["rank"] for r in got) == list(range(1, len(got) + 1))
+    assert running_sums(df.limit(0), ["g"], "v", ["n"], descending, range_rows=range_rows).count() == 0
