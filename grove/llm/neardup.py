@@ -67,7 +67,7 @@ _SALT = _rng.integers(0, 1 << 63, INDEXED, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BIG = np.iinfo(np.int64).max
 
-_WORDS = WordHashes("neardup")
+_WORDS = WordHashes("neardup", 200_000)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -274,8 +274,11 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     stars = inside.unionByName(across.mapInArrow(close, "a long, b long")).distinct()
-    live = met.select("keys").mapInArrow(unfold_keys, "key long")
-    rows = sigs.mapInArrow(members, "key long, id long").join(live, "key", "left_semi")
+    # a number of partitions of their own: these rows compress so well that few would be
+    # made by their bytes, and sorting them would fill an executor
+    parts = max(ranges, int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    live = met.select("keys").mapInArrow(unfold_keys, "key long").repartition(parts, "key")
+    rows = sigs.mapInArrow(members, "key long, id long").repartition(parts, "key").join(live, "key", "left_semi")
     return stars, rows
 
 
