@@ -13,11 +13,13 @@ shards' rounding above the global bound.
 Defined results: a null or empty text is the end token alone; repeated rows
 are packed as often as they occur; ties are broken by (doc_id, piece, crc);
 an empty table gives an empty result; further columns of the input are
-ignored.  A piece longer than the capacity raises.
+ignored.  A piece longer than the capacity raises.  Any tokenizer file works:
+one whose rules allow it is fed distinct words, others whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -40,15 +42,45 @@ END_ID = 1
 _PUNCT = ".,!?;:%$#*&|"
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
+# fixed values: the rules under which a text may be cut at spaces (see ChunkEncoder)
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether the tokenizer file has just the rules that ``ChunkEncoder`` relies on."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    cut = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    return ((rules["normalizer"] or {}).get("normalizers") == _NORMALIZERS and rules["post_processor"] is None
+            and rules["model"]["type"] == "BPE" and rules["model"]["dropout"] is None and len(cut) == 2
+            and cut[0].get("pattern") == {"Regex": _WORDS} and (cut[0]["behavior"], cut[0]["invert"]) == ("Removed", True)
+            and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"])
+
+
+class TextEncoder:
+    """Token ids of whole texts as little-endian uint32 bytes, for any tokenizer."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # control strings in texts are plain text
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for t in texts:
+            yield array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes()
 
-class ChunkEncoder:
-    """Token ids of a text as little-endian uint32 bytes.
 
-    The tokenizer's rules never join characters across a space or a line feed,
-    nor a letter with punctuation behind it, and they lower-case.  So a text
-    is the concatenation of its chunks between spaces, a chunk that of its stem
-    and its closing punctuation; chunks and stems are tokenised once and
-    remembered, up to ``limit`` of each (then the older half is forgotten).
+class ChunkEncoder:
+    """Token ids of a text as little-endian uint32 bytes, by distinct words.
+
+    Under the rules that ``cuts_at_spaces`` checks, a tokenizer never joins
+    characters across a space or a line feed, nor a letter with punctuation
+    behind it, and it lower-cases.  So a text is the concatenation of its
+    chunks between spaces, a chunk that of its stem and its closing
+    punctuation; chunks and stems are tokenised once and remembered, up to
+    ``limit`` of each (then the older half is forgotten).
     """
 
     def __init__(self, path: str, limit: int = 600_000):
@@ -102,12 +134,12 @@ class ChunkEncoder:
                 yield b"".join([known[c] for c in chunks])
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, ChunkEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> ChunkEncoder | TextEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path) if cuts_at_spaces(path) else TextEncoder(path)
     return _ENCODERS[path]
 
 
@@ -305,7 +337,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = 50_000)
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = pieces.withColumn("_shard", F.monotonically_increasing_id() % F.lit(shards))
+    # every partition starts at a shard of its own, so that small ones don't all fill the first
+    start = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(shards))
+    dealt = pieces.withColumn("_shard", (F.monotonically_increasing_id() + start) % F.lit(shards))
     return dealt.groupBy("_shard").applyInPandas(place, f"{schema}, sequence_id long, offset long")
 
 

@@ -12,8 +12,9 @@ into training sequences, so that changes of label are learned too.
 
 Defined results: null and empty texts have no words and fail the base rules; null
 labels are ignored, the largest label of a document counts; without labels of
-both classes every line is content; repeated rows get equal results; other
-columns stay; an empty table stays empty.
+both classes every line is content; of several rows of one labelled doc_id the
+one whose features' bytes are least teaches; repeated rows get equal results;
+other columns stay; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from grove.llm.common import WS, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-_PUNCT = str.maketrans("", "", ".,!?;:()[]{}\"'`-_/\\=+~^@" + SYMBOLS)
 N_FEATURES = 16
 
 
@@ -72,7 +72,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, list[int]]:
             continue
         chars = sum(map(len, words))
         symbols = sum(line.count(c) for c in SYMBOLS)
-        letters = sum(map(str.isalpha, line)) if chars < 64 else len("".join(words).translate(_PUNCT))
+        letters = sum(map(str.isalpha, line))
         distinct = len(set(words)) / len(words)
         same = sum(a == b for a, b in zip(words, words[1:])) / len(words)
         up = line.upper() == line and line.lower() != line
@@ -187,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> Line
             x = [line_features(t)[0].astype("<f4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = stored(sample.mapInArrow(features, "doc_id long, y int, x binary"), "line-features").toPandas()
-    rows = rows.sort_values(["doc_id", "y"]).drop_duplicates("doc_id")
+    made = sample.mapInArrow(features, "doc_id long, y int, x binary").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    rows = stored(made, "line-features").toPandas().sort_values("doc_id")
     if rows["y"].nunique() < 2:
         return LineField(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     order = rows["doc_id"].map(lambda d: (d * 0x9E3779B97F4A7C15) % (1 << 64) / 2.0 ** 64)

@@ -13,9 +13,9 @@ not grow with the input.  Scoring covers every whole text.
 
 Defined results: null and empty texts have no features, so their score is
 that of the bias; null labels are ignored and the largest label of a document
-counts; labels without a document are ignored; without labels of both classes
-the score is the share of toxic labels (0 without any); repeated rows get equal
-scores; other columns stay; an empty table stays empty.
+counts; labels without a document are ignored; of several rows of one labelled
+doc_id the least text teaches; without labels of both classes the score is the
+share of toxic labels (0 without any); repeated rows get equal scores; other columns stay; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int) -> Dat
               for c in (F.col("y") == 1, F.col("y") != 1)]
     both = picked[0].unionByName(picked[1])  # at most 2 * max_per_class rows of two numbers
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    return texts.join(F.broadcast(both), "doc_id").select("doc_id", "text", (F.col("y") == 1).cast("int").alias("y"))
+    found = texts.join(F.broadcast(both), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return found.select("doc_id", "text", (F.col("y") == 1).cast("int").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, n_features: int = 30_000,

@@ -109,3 +109,28 @@ def test_pieces_equal_direct_tokenizer(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack_documents(docs, PATH).count() == 0
+
+
+def test_rules_of_the_tokenizer_are_checked(spark):
+    """A tokenizer that keeps spaces and letter case is fed whole texts."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert P.cuts_at_spaces(PATH) and not P.cuts_at_spaces(other)
+    texts = ["a b c", "Hello World, it is fine.", "", None, "  two  spaces\n\n", "İstanbul \U0001F600 <|endoftext|>", "x" * 9000]
+    tok = Tokenizer.from_file(other)
+    tok.encode_special_tokens = True
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in P.token_pieces(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), other, capacity=1 << 20, with_ids=True).collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
+def test_small_partitions_fill_all_shards(spark, tmp_path):
+    """Partitions of one or two pieces are dealt to all shards, not to the first."""
+    spark.range(600).selectExpr("id as doc_id", "0 as piece", "1L + id % 7 as length", "id as ids_crc32").repartition(
+        300).write.parquet(str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a partition a file
+    try:
+        packed = P.pack(spark.read.parquet(str(tmp_path / "p")), 20, shard_items=150).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    per_shard = (packed["sequence_id"] // (1 << 32)).value_counts()
+    assert len(packed) == 600 and len(per_shard) == 4 and per_shard.max() < 250

@@ -93,3 +93,77 @@ def test_edges(spark, edges, no_docs, documents):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == Q.base_counts(r.text)
         assert r.kept == (not r.base_failed) and r.verdict == "e"
     assert Q.quality(no_docs, model).count() == 0
+
+
+def test_letters_by_one_rule_at_any_length():
+    for text in ("7" * 50, "7" * 70, "abc 123 " * 6, "abc 123 " * 60, "\u4e2d\u6587 1, " * 40):
+        share = sum(map(str.isalpha, text)) / len("".join(text.split()))
+        assert Q.line_features(text)[0][0][6] == pytest.approx(share)
+
+
+def test_one_row_of_a_labelled_doc_id_teaches(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    more = documents.selectExpr("doc_id", "concat('zz ', text) as text")
+    a = Q.train(documents.unionByName(more).repartition(7), labels)
+    b = Q.train(more.unionByName(documents).unionByName(documents).repartition(3), labels)
+    assert np.array_equal(a.emit, b.emit) and np.array_equal(a.move, b.move)
+
+
+def plain_field(sequences, l2=1e-3, steps=200, width=32):
+    """Maximum likelihood of the field, run by run and line by line."""
+    runs = [(x[i:i + width], y[i:i + width]) for x, y in sequences for i in range(0, len(x), width)]
+    lines = sum(len(x) for x, _ in runs)
+    emit, move = np.zeros((Q.N_FEATURES, 2)), np.zeros((2, 2))
+    m = [np.zeros_like(emit), np.zeros_like(move)]
+    v = [np.zeros_like(emit), np.zeros_like(move)]
+    for t in range(1, steps + 1):
+        grad = [np.zeros_like(emit), np.zeros_like(move)]
+        for x, y in runs:
+            s, go = np.exp(x @ emit), np.exp(move)
+            a, b = [s[0]], [np.ones(2)]
+            for k in range(1, len(x)):
+                nxt = (a[-1] @ go) * s[k]
+                a.append(nxt / nxt.sum())
+            for k in range(len(x) - 1, 0, -1):
+                nxt = go @ (s[k] * b[0])
+                b.insert(0, nxt / nxt.sum())
+            for k in range(len(x)):
+                p = a[k] * b[k] / (a[k] * b[k]).sum()
+                grad[0] += np.outer(x[k], np.eye(2)[y[k]] - p)
+                if k:
+                    e = a[k - 1][:, None] * go * (s[k] * b[k])[None, :]
+                    grad[1] -= e / e.sum()
+                    grad[1][y[k - 1], y[k]] += 1
+        for i, part in enumerate((emit, move)):
+            g = grad[i] / lines - l2 * part
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.99 * v[i] + 0.01 * g * g
+            part += 0.1 * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.99 ** t)) + 1e-9)
+    return emit, move
+
+
+def test_verdicts_against_a_plain_version(spark, documents):
+    """The query's kept column on whole documents: plain training, and labellings by a plain search."""
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    good = {r.doc_id: int(r.quality == 1) for r in labels.collect() if r.doc_id in texts and r.quality is not None}
+    order = sorted(good, key=lambda d: (d * 0x9E3779B97F4A7C15) % (1 << 64) / 2.0 ** 64)
+    x = {d: Q.line_features(t)[0].astype("<f4").astype(float) for d, t in texts.items()}
+    spliced = [(np.concatenate([x[d] for d in part]), np.concatenate([np.full(len(x[d]), good[d]) for d in part]))
+               for part in (order[i:i + 4] for i in range(0, len(order), 4))]
+    emit, move = plain_field(spliced, steps=200)
+    model = Q.train(documents, labels)
+    assert np.allclose(model.emit, emit, atol=1e-4) and np.allclose(model.move, move, atol=1e-4)
+    got = {r.doc_id: (r.base_failed, r.content_share, r.kept) for r in Q.quality(documents, model).collect()}
+    for d, t in texts.items():
+        rows, sizes = Q.line_features(t)
+        paths = {0: (0.0, []), 1: (0.0, [])}
+        for k, row in enumerate(rows):
+            e = row @ model.emit
+            paths = {y: max(((paths[z][0] + (model.move[z, y] if k else 0.0) + e[y], paths[z][1] + [y]) for z in (0, 1)))
+                     for y in (0, 1)}
+        best = max(paths.values())[1]
+        share = sum(n for n, y in zip(sizes, best) if y) / sum(sizes) if sizes else 0.0
+        c = brute_base(t)
+        failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        assert got[d] == (failed, pytest.approx(share), not failed and share >= 0.5)
