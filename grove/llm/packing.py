@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import hold, lower_az, only, stored
+from grove.llm.common import hold, lower_az, only, sliced, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -83,7 +83,7 @@ class ChunkEncoder:
     ``limit`` of each (then the older half is forgotten).
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
@@ -154,7 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("packing")
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in sliced(batches):
             cols: list[list] = [[] for _ in names]
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(texts)):
