@@ -25,7 +25,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -72,6 +71,31 @@ class TextEncoder:
             yield array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes()
 
 
+class Recent:
+    """The words used last, in two generations of at most ``half`` words (or one
+    batch): a word used again moves to the younger one; when that is full, the
+    older is forgotten."""
+
+    def __init__(self, half: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = half
+        hold("packing", self.young, self.old)
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Words to be learned; the others are in ``young`` afterwards."""
+        if len(self.young) + len(words) > self.half:
+            self.young, self.old = self.old, self.young
+            self.young.clear()
+        young, old, out = self.young, self.old, []
+        for w in words.difference(young):
+            if w in old:
+                young[w] = old[w]
+            else:
+                out.append(w)
+        return out
+
+
 class ChunkEncoder:
     """Token ids of a text as little-endian uint32 bytes, by distinct words.
 
@@ -79,11 +103,11 @@ class ChunkEncoder:
     characters across a space or a line feed, nor a letter with punctuation
     behind it, and it lower-cases.  So a text is the concatenation of its
     chunks between spaces, a chunk that of its stem and its closing
-    punctuation; chunks and stems are tokenised once and remembered, up to
-    ``limit`` of each (then the older half is forgotten).
+    punctuation; both are tokenised once and remembered, the ``limit`` last
+    used of each.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
@@ -91,15 +115,7 @@ class ChunkEncoder:
         # a stem of lower-case letters alone needs neither normalising nor cutting
         self.bare = Tokenizer(self.tok.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.limit = limit
-        self.chunks: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        hold("packing", self.chunks, self.stems)
-
-    def _room(self, known: dict[str, bytes], new: int) -> None:
-        if len(known) + new > self.limit:
-            for k in list(islice(known, len(known) // 2)):
-                del known[k]
+        self.chunks, self.stems = Recent(limit // 2), Recent(limit // 2)
 
     def learn(self, new: list[str]) -> None:
         """Adds chunks, all of which are available afterwards."""
@@ -108,28 +124,22 @@ class ChunkEncoder:
             low = c.lower() if c.isascii() or max(c) <= "\xff" else lower_az(c)
             stem = low.rstrip(_PUNCT)
             cut[c] = (stem, low[len(stem):]) if stem and stem[-1] in _LETTERS else (low, "")
-        stems = self.stems
-        self._room(stems, 2 * len(new))
-        missing = {x for pair in cut.values() for x in pair}.difference(stems)
+        missing = self.stems.missing({x for pair in cut.values() for x in pair})
+        stems = self.stems.young
         plain = [x for x in missing if not x.strip(_LETTERS)]
-        for tok, texts in ((self.bare, plain), (self.tok, list(missing.difference(plain)))):
+        for tok, texts in ((self.bare, plain), (self.tok, list(set(missing).difference(plain)))):
             for i in range(0, len(texts), 20_000):
                 part = texts[i:i + 20_000]
                 for c, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
                     stems[c] = array("I", e.ids).tobytes()
         for c, (stem, tail) in cut.items():
-            self.chunks[c] = stems[stem] + stems[tail] if tail else stems[stem]
+            self.chunks.young[c] = stems[stem] + stems[tail] if tail else stems[stem]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
             split = [t.replace("\n", " ").split(" ") for t in texts[i:i + 64]]
-            every = set().union(*split)
-            new = every.difference(self.chunks)
-            if len(self.chunks) + len(new) > self.limit:
-                self._room(self.chunks, len(new))
-                new = every.difference(self.chunks)
-            self.learn(list(new))
-            known = self.chunks
+            self.learn(self.chunks.missing(set().union(*split)))
+            known = self.chunks.young
             for chunks in split:
                 yield b"".join([known[c] for c in chunks])
 
