@@ -36,6 +36,7 @@ from grove.llm.common import hold, lower_az, only, sliced, stored
 
 CAPACITY = 4096
 END_ID = 1
+WORDS = 1_200_000  # words and stems a Python worker remembers, at most; a caller short of memory may ask for fewer
 
 
 _PUNCT = ".,!?;:%$#*&|"
@@ -107,7 +108,7 @@ class ChunkEncoder:
     used of each.
     """
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
@@ -144,17 +145,17 @@ class ChunkEncoder:
                 yield b"".join([known[c] for c in chunks])
 
 
-_ENCODERS: dict[str, ChunkEncoder | TextEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ChunkEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder | TextEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path) if cuts_at_spaces(path) else TextEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, words: int = WORDS) -> ChunkEncoder | TextEncoder:
+    if (path, words) not in _ENCODERS:
+        _ENCODERS[path, words] = ChunkEncoder(path, words) if cuts_at_spaces(path) else TextEncoder(path)
+    return _ENCODERS[path, words]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, words: int = WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if
     asked for, the ids themselves (little-endian uint32 bytes)."""
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -163,7 +164,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("packing")
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, words)
         for b in sliced(batches):
             cols: list[list] = [[] for _ in names]
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -354,9 +355,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = 50_000)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
-                   with_ids: bool = False) -> DataFrame:
+                   with_ids: bool = False, words: int = WORDS) -> DataFrame:
     """Tokenise, cut and pack all ``docs`` (doc_id, text)."""
-    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, with_ids, words), "pieces")
     return pack(pieces, capacity)
 
 
