@@ -57,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from grove.llm.packing import pack_documents
     ship_package(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), words=450_000).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
