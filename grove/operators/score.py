@@ -1,7 +1,7 @@
 """Scoring, M1-M6.
 
-The forest is broadcast as flat arrays (size checked: trees x nodes is a
-model property, not a data property) and applied by ``mapInArrow``: per
+The forest is broadcast as flat arrays (size checked; a forest above the
+bound goes in chunks of trees) and applied by ``mapInArrow``: per
 Arrow batch, bin the raw values with the frozen thresholds, descend every
 tree vectorised over the rows (M1), add each reached leaf's class shares
 times the tree weight (M2), normalise (M3), take the first maximum (M4).
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grove.operators import histogram as Hg
+from grove.session import new_work_path
 
 MAX_BROADCAST_NODES = 50_000_000  # about 1 GB of flat arrays
 # forests up to this size score as nested CASE WHEN Columns (JVM, codegen)
@@ -94,8 +95,7 @@ def _payload(model, tree_ids=None, single_tree: bool = False):
     trees = model.trees if tree_ids is None else model.trees[model.trees.tree_id.isin(tree_ids)]
     nodes = model.nodes[model.nodes.tree_id.isin(trees.tree_id)]
     if len(nodes) > MAX_BROADCAST_NODES:
-        raise ValueError(f"forest of {len(nodes)} nodes is above the broadcast bound; "
-                         "score it in tree chunks")
+        raise ValueError(f"tree of {len(nodes)} nodes is above the broadcast bound")
     max_arity = max([int(a) for a in model.spec.arity] + [1])
     fo = Hg.FlatForest.build(nodes, list(trees.tree_id), max_arity)
     sub = nodes.set_index(["tree_id", "node_id"]).loc[list(zip(fo.node_tree, fo.node_id))]
@@ -116,6 +116,74 @@ def _payload(model, tree_ids=None, single_tree: bool = False):
                 on_missing=model.params.on_missing)
 
 
+def tree_chunks(model, tree_ids=None) -> list[list[int]]:
+    """The trees in order, cut so that the nodes of a chunk stay within the
+    broadcast bound."""
+    sizes = model.nodes.groupby("tree_id").size().to_dict()
+    out: list[list[int]] = [[]]
+    room = MAX_BROADCAST_NODES
+    for t in model.trees.tree_id:
+        if tree_ids is not None and t not in tree_ids:
+            continue
+        n = sizes.get(t, 0)
+        if out[-1] and n > room:
+            out.append([])
+            room = MAX_BROADCAST_NODES
+        out[-1].append(int(t))
+        room -= n
+    return out
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    rows, width = a.shape
+    ends = pa.array(np.arange(rows + 1, dtype=np.int32) * width)
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(a).ravel()))
+
+
+def _by_chunks(model, df: DataFrame, keep, tree_ids, single_tree: bool, kind: str, step, finish, fields) -> DataFrame:
+    """Applies the trees to every row, a chunk at a time.  A chunk is broadcast
+    and ``step(payload, bins, so far)`` adds its votes to those of the chunks
+    before; ``finish`` makes the output columns of the last one's.  Between
+    chunks the rows with their votes are written below the work folder: no
+    task holds more than a chunk, and no row key or exchange is needed.  One
+    chunk, the usual case, is one pass without writing."""
+    spark = df.sparkSession
+    keep = list(df.columns) if keep is None else list(keep)
+    names = list(model.spec.names)
+    fnames = [f"__f{i}" for i in range(len(names))]
+    rows = df.select(*keep, *[F.col(n).cast("double").alias(f) for n, f in zip(names, fnames)])
+    held = list(rows.schema.fields)
+    votes = T.StructField("__votes", T.ArrayType(T.DoubleType() if kind == "double" else T.LongType()))
+    chunks = tree_chunks(model, tree_ids)
+
+    def one_pass(rows: DataFrame, trees: list[int], first: bool, last: bool) -> DataFrame:
+        bc = spark.sparkContext.broadcast(_payload(model, trees, single_tree))
+        stay = keep if last else [*keep, *fnames]
+        schema = T.StructType(held[:len(stay)] + (fields if last else [votes]))
+
+        def fn(batches):
+            p = bc.value
+            for rb in batches:
+                bins = Hg.bin_matrix(rb, fnames, p["splits"], p["arity"], p["on_missing"])
+                acc = None
+                if not first and rb.num_rows:
+                    acc = rb.column("__votes").flatten().to_numpy(zero_copy_only=False).reshape(rb.num_rows, -1)
+                acc = step(p, bins, acc)
+                cols = [rb.column(c) for c in stay] + (finish(acc) if last else [_lists(acc)])
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+        return rows.mapInArrow(fn, schema)
+
+    for i, trees in enumerate(chunks):
+        rows = one_pass(rows, trees, i == 0, i == len(chunks) - 1)
+        if i < len(chunks) - 1:
+            path = new_work_path(spark, "votes")
+            rows.write.parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+    return rows
+
+
 def transform(model, df: DataFrame, keep=None, tree_ids=None, single_tree: bool = False,
               raw_col: str = "raw", prob_col: str = "probability",
               pred_col: str = "prediction", path: str = "auto") -> DataFrame:
@@ -128,50 +196,29 @@ def transform(model, df: DataFrame, keep=None, tree_ids=None, single_tree: bool
         if not expression_ok(model):
             raise ValueError("forest too large for the expression path")
         return transform_expr(model, df, keep, raw_col, prob_col, pred_col)
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(_payload(model, tree_ids, single_tree))
-    keep = list(df.columns) if keep is None else list(keep)
-    names = list(model.spec.names)
-    inp = df.select(*keep, *[F.col(n).cast("double").alias(f"__f{i}")
-                             for i, n in enumerate(names)])
     k = model.spec.num_classes
-    fields = [df.schema[c] for c in keep]
-    if k == 0:
-        fields += [T.StructField(pred_col, T.DoubleType())]
-    else:
-        fields += [T.StructField(raw_col, T.ArrayType(T.DoubleType())),
-                   T.StructField(prob_col, T.ArrayType(T.DoubleType())),
-                   T.StructField(pred_col, T.DoubleType())]
-    schema = T.StructType(fields)
-    fnames = [f"__f{i}" for i in range(len(names))]
+    weights = [float(w) for t, w in zip(model.trees.tree_id, model.trees.weight) if tree_ids is None or t in tree_ids]
+    total_weight = float(np.sum(weights))
+    many = T.ArrayType(T.DoubleType())
+    fields = ([T.StructField(raw_col, many), T.StructField(prob_col, many)] if k else []) + [
+        T.StructField(pred_col, T.DoubleType())]
 
-    def fn(batches):
-        p = bc.value
+    def vote(p, bins, acc):
         fo = p["forest"]
-        for rb in batches:
-            n = rb.num_rows
-            bins = Hg.bin_matrix(rb, fnames, p["splits"], p["arity"], p["on_missing"])
-            if p["k"] == 0:
-                acc = np.zeros(n)
-                for tpos in range(len(fo.tree_ids)):
-                    acc += p["val"][fo.route(tpos, bins)] * p["tw"][tpos]
-                tws = p["tw"].sum()
-                pred = acc / tws if tws > 0 else acc
-                cols = [rb.column(c) for c in keep] + [pa.array(pred)]
-            else:
-                raw = np.zeros((n, p["k"]))
-                for tpos in range(len(fo.tree_ids)):
-                    raw += p["val"][fo.route(tpos, bins)]
-                tot = raw.sum(axis=1, keepdims=True)
-                prob = np.where(tot > 0, raw / np.where(tot > 0, tot, 1.0), 0.0)
-                pred = np.argmax(raw, axis=1).astype(np.float64)
-                cols = [rb.column(c) for c in keep] + [
-                    pa.FixedSizeListArray.from_arrays(raw.ravel(), p["k"]).cast(pa.list_(pa.float64())),
-                    pa.FixedSizeListArray.from_arrays(prob.ravel(), p["k"]).cast(pa.list_(pa.float64())),
-                    pa.array(pred)]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
-
-    return inp.mapInArrow(fn, schema)
+        acc = np.zeros((len(bins), max(k, 1))) if acc is None else acc.copy()
+        for tpos in range(len(fo.tree_ids)):
+            got = p["val"][fo.route(tpos, bins)]
+            acc += got if k else (got * p["tw"][tpos])[:, None]
+        return acc
+
+    def finish(raw):
+        if not k:
+            return [pa.array((raw / total_weight if total_weight > 0 else raw)[:, 0])]
+        tot = raw.sum(axis=1, keepdims=True)
+        prob = np.where(tot > 0, raw / np.where(tot > 0, tot, 1.0), 0.0)
+        return [_lists(raw), _lists(prob), pa.array(np.argmax(raw, axis=1).astype(np.float64))]
+
+    return _by_chunks(model, df, keep, tree_ids, single_tree, "double", vote, finish, fields)
 
 
 def transform_tree(model, df: DataFrame, tree_id: int, keep=None) -> DataFrame:
@@ -181,28 +228,14 @@ def transform_tree(model, df: DataFrame, tree_id: int, keep=None) -> DataFrame:
 
 def leaf_ids(model, df: DataFrame, keep=None) -> DataFrame:
     """A2: node id reached by each row in each tree, as ``array<bigint>``."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(_payload(model))
-    keep = list(df.columns) if keep is None else list(keep)
-    names = list(model.spec.names)
-    inp = df.select(*keep, *[F.col(n).cast("double").alias(f"__f{i}") for i, n in enumerate(names)])
-    fnames = [f"__f{i}" for i in range(len(names))]
-    schema = T.StructType([df.schema[c] for c in keep]
-                          + [T.StructField("node_ids", T.ArrayType(T.LongType()))])
-
-    def fn(batches):
-        p = bc.value
+    def ids(p, bins, acc):
         fo = p["forest"]
-        nt = len(fo.tree_ids)
-        for rb in batches:
-            bins = Hg.bin_matrix(rb, fnames, p["splits"], p["arity"], p["on_missing"])
-            ids = np.stack([fo.node_id[fo.route(t, bins)] for t in range(nt)], axis=1) \
-                if nt else np.zeros((rb.num_rows, 0), np.int64)
-            arr = pa.FixedSizeListArray.from_arrays(ids.ravel(), nt).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [arr],
-                                             names=[f.name for f in schema.fields])
-
-    return inp.mapInArrow(fn, schema)
+        new = [fo.node_id[fo.route(t, bins)] for t in range(len(fo.tree_ids))]
+        new = np.stack(new, axis=1) if new else np.zeros((len(bins), 0), np.int64)
+        return new if acc is None else np.concatenate([acc, new], axis=1)
+
+    return _by_chunks(model, df, keep, None, False, "bigint", ids, lambda a: [_lists(a)],
+                      [T.StructField("node_ids", T.ArrayType(T.LongType()))])
 
 
 def tree_accuracy(model, df: DataFrame, label: str = "label") -> DataFrame:

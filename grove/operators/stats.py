@@ -2,57 +2,144 @@
 
 The summary is kept as *moments* per column, which merge by plain sums and
 min/max; that is what makes a stored summary mergeable with the summary of
-a new batch (L2) and lets Spark do the partial aggregation map-side.
+a new batch (L2) and lets each task sum its own rows first.
 
-moments: n (rows with weight > 0), w, w2, s1 = sum w x, s2 = sum w x^2,
-         nnz = sum w [x != 0], l1 = sum w |x|, min, max
+moments: n (values in rows of weight > 0), w, w2, s1 = sum w (x - c),
+         s2 = sum w (x - c)^2, q = sum w x^2, nnz = sum w [x != 0],
+         l1 = sum w |x|, min, max
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from grove.session import new_work_path
 
 MOMENT_COLS = ["n", "w", "w2", "c", "s1", "s2", "q", "nnz", "l1", "vmin", "vmax"]
+PARTIAL_COLS = [*MOMENT_COLS, "rows", "rows_w"]
+SUMS = ["n", "w", "w2", "q", "nnz", "l1"]
+MAX_HELD_GROUPS = 10_000  # groups a task holds before it hands them on
 
 
 def _w(weight: str | None) -> Column:
     return F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
 
 
-def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None,
-            group_by: Sequence[str] = ()) -> DataFrame:
-    """One wide aggregate over all columns, unpivoted afterwards into
-    (group..., feature, moments...).  Zero-weight rows are skipped.
+def _partials(df: DataFrame, columns: Sequence[str], weight: str | None, group_by: Sequence[str]) -> DataFrame:
+    """Moments of each partition's rows from one pass, a row per group and column.
 
-    Sums are taken of x minus a shift (the column's smallest value in the
-    frame, from a first pass), so that a large offset does not cancel; ``c`` is
-    that shift."""
+    A batch's sums are taken of x minus the batch's mean and then moved to the
+    shift the group already has, so that a large offset does not cancel."""
     w = _w(weight)
     base = df.where(w > 0) if weight else df
-    low = base.agg(*[F.min(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"c{i}")
-                     for i, c in enumerate(columns)]).first()
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        d = x - F.lit(float(low[i] or 0.0))
-        aggs += [F.count(x).alias(f"n_{i}"), F.sum(F.when(x.isNotNull(), w)).alias(f"w_{i}"),
-                 F.sum(F.when(x.isNotNull(), w * w)).alias(f"w2_{i}"),
-                 F.first(F.lit(float(low[i] or 0.0))).alias(f"c_{i}"),
-                 F.sum(w * d).alias(f"s1_{i}"), F.sum(w * d * d).alias(f"s2_{i}"), F.sum(w * x * x).alias(f"q_{i}"),
-                 F.sum(F.when(x != 0, w).otherwise(F.lit(0.0))).alias(f"nnz_{i}"),
-                 F.sum(w * F.abs(x)).alias(f"l1_{i}"),
-                 F.min(x).alias(f"vmin_{i}"), F.max(x).alias(f"vmax_{i}")]
-    aggs += [F.count(F.lit(1)).alias("_rows"), F.sum(w).alias("_weight")]
-    wide = base.groupBy(*group_by).agg(*aggs) if group_by else base.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("feature"),
-                        *[F.col(f"{m}_{i}").alias(m) for m in MOMENT_COLS],
-                        F.col("_rows").alias("rows"), F.col("_weight").alias("rows_w"))
-               for i, c in enumerate(columns)]
-    return (wide.select(*group_by, F.explode(F.array(*structs)).alias("_m"))
-            .select(*group_by, "_m.*"))
+    inp = base.select(*group_by, w.alias("__w"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    schema = T.StructType([inp.schema[g] for g in group_by] + [T.StructField("feature", T.StringType())]
+                          + [T.StructField(m, T.LongType() if m in ("n", "rows") else T.DoubleType()) for m in PARTIAL_COLS])
+    groups, k = list(group_by), len(columns)
+
+    def of_batch(rb: pa.RecordBatch) -> Iterator[tuple[tuple, dict]]:
+        code, coded = np.zeros(rb.num_rows, np.int64), []
+        for g in groups:
+            d = rb.column(g).dictionary_encode()
+            at = d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = np.unique(code * (len(d.dictionary) + 1) + at, return_inverse=True)[1]
+            coded.append((d.dictionary, at))
+        _, first, code = np.unique(code, return_index=True, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        starts = np.searchsorted(code, np.arange(len(first)))
+        wt = rb.column("__w").to_numpy(zero_copy_only=False)[order]
+        out = {m: np.zeros((k, len(first))) for m in PARTIAL_COLS}
+        out["rows"][:] = np.diff(np.append(starts, len(code)))
+        out["rows_w"][:] = np.add.reduceat(wt, starts)
+        for i in range(k):
+            col = rb.column(f"__x{i}")
+            x = col.to_numpy(zero_copy_only=False)[order]
+            there = col.is_valid().to_numpy(zero_copy_only=False)[order]
+            v, u = np.where(there, x, 0.0), np.where(there, wt, 0.0)
+            total = np.add.reduceat(u, starts)
+            mean = np.add.reduceat(u * v, starts) / np.where(total > 0, total, 1.0)
+            c = np.where(np.isfinite(mean), mean, 0.0)
+            d = v - c[code]
+            for m, part in (("n", there), ("w", u), ("w2", u * u), ("s1", u * d), ("s2", u * d * d), ("q", u * v * v),
+                            ("nnz", u * (v != 0)), ("l1", u * np.abs(v))):
+                out[m][i] = np.add.reduceat(part.astype(np.float64), starts)
+            out["c"][i] = c
+            # NaN counts as the largest value
+            out["vmin"][i] = np.fmin.reduceat(np.where(there, x, np.nan), starts)
+            out["vmax"][i] = np.maximum.reduceat(np.where(there, x, -np.inf), starts)
+        for j, f in enumerate(first):
+            key = tuple(None if at[f] == len(values) else values[int(at[f])].as_py() for values, at in coded)
+            yield key, {m: a[:, j] for m, a in out.items()}
+
+    def merged(a: dict, b: dict) -> dict:
+        c = np.where(a["n"] > 0, a["c"], b["c"])
+        out = {m: a[m] + b[m] for m in SUMS + ["rows", "rows_w"]} | {
+            "c": c, "vmin": np.fmin(a["vmin"], b["vmin"]), "vmax": np.maximum(a["vmax"], b["vmax"])}
+        d = b["c"] - c
+        out["s1"] = a["s1"] + b["s1"] + np.where(b["n"] > 0, d * b["w"], 0.0)
+        out["s2"] = a["s2"] + b["s2"] + np.where(b["n"] > 0, 2 * d * b["s1"] + d * d * b["w"], 0.0)
+        return out
+
+    def emit(held: dict, types: list[pa.DataType]) -> pa.RecordBatch:
+        cols = [pa.array([key[j] for key in held for _ in range(k)], t) for j, t in enumerate(types)]
+        cols.append(pa.array(list(columns) * len(held), pa.string()))
+        none = np.concatenate([a["n"] for a in held.values()]) == 0
+        for m in PARTIAL_COLS:
+            a = np.concatenate([a[m] for a in held.values()])
+            whole = m in ("n", "rows")
+            cols.append(pa.array(a.astype(np.int64) if whole else a, mask=None if whole or m in ("nnz", "rows_w") else none))
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, dict] = {}
+        types: list[pa.DataType] = []
+        with np.errstate(invalid="ignore", over="ignore"):
+            for rb in batches:
+                if not rb.num_rows:
+                    continue
+                types = [rb.schema.field(g).type for g in groups]
+                for key, part in of_batch(rb):
+                    held[key] = merged(held[key], part) if key in held else part
+                if len(held) > MAX_HELD_GROUPS:
+                    yield emit(held, types)
+                    held = {}
+        if held:
+            yield emit(held, types)
+
+    return inp.mapInArrow(run, schema)
+
+
+def _added(u: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Sums moments by ``keys`` after moving them to the smallest shift.  The
+    window and the sums share one exchange, so the parts are read once."""
+    low = F.min(F.when(F.col("n") > 0, F.col("c"))).over(Window.partitionBy(*keys))
+    d = F.col("c") - F.col("_c")
+    u = (u.withColumn("_c", F.coalesce(low, F.lit(0.0)))
+         .withColumn("s2", F.col("s2") + 2 * d * F.col("s1") + d * d * F.col("w"))
+         .withColumn("s1", F.col("s1") + d * F.col("w")).withColumn("c", F.col("_c")))
+    how = {"c": F.min, "vmin": F.min, "vmax": F.max}
+    return u.groupBy(*keys).agg(*[how.get(m, F.sum)(m).alias(m) for m in [*MOMENT_COLS, *more]])
+
+
+def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None,
+            group_by: Sequence[str] = ()) -> DataFrame:
+    """(group..., feature, moments..., rows, rows_w) from one scan: each partition's
+    moments, then their sums.  Zero-weight rows are skipped; ``c`` is the shift
+    of s1 and s2.  Without groups an empty table gives a row of nothing per column."""
+    columns = list(dict.fromkeys(columns))
+    parts = _partials(df, columns, weight, group_by)
+    if not group_by:
+        empty = df.sparkSession.createDataFrame([(c, 0, 0) for c in columns], "feature string, n long, rows long")
+        parts = parts.unionByName(empty, allowMissingColumns=True)
+    return _added(parts, [*group_by, "feature"], ["rows", "rows_w"])
 
 
 def merge_moments(*parts: DataFrame, group_by: Sequence[str] = ("feature",)) -> DataFrame:
@@ -61,15 +148,7 @@ def merge_moments(*parts: DataFrame, group_by: Sequence[str] = ("feature",)) ->
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    low = u.groupBy(*group_by).agg(F.min(F.when(F.col("n") > 0, F.col("c"))).alias("_c"))
-    u = u.join(F.broadcast(low), list(group_by))  # one row per feature (and group)
-    d = F.col("c") - F.col("_c")
-    u = (u.withColumn("s2", F.col("s2") + 2 * d * F.col("s1") + d * d * F.col("w"))
-         .withColumn("s1", F.col("s1") + d * F.col("w")).withColumn("c", F.col("_c")))
-    return u.groupBy(*group_by).agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("w2").alias("w2"), F.min("c").alias("c"),
-        F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("q").alias("q"), F.sum("nnz").alias("nnz"),
-        F.sum("l1").alias("l1"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
+    return _added(u, group_by)
 
 
 def summary_from_moments(m: DataFrame, keep: Sequence[str] = ("feature",)) -> DataFrame:
@@ -115,10 +194,14 @@ def check_labels(hist_rows, num_classes: int | None = None) -> int:
 
 def joint_summary(df: DataFrame, columns: Sequence[str], label: str = "label",
                   weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """L4: feature moments and the label histogram from ONE scan: moments
-    grouped by label (a handful of rows), then merged over labels."""
+    """L4: feature moments and the label histogram from one scan: moments
+    grouped by label, written once (a row per label and column), then merged
+    over labels for the one and counted for the other."""
     per_label = moments(df.withColumn("_y", F.col(label).cast("double")), columns, weight,
                         group_by=["_y"])
+    path = new_work_path(df.sparkSession, "joint-summary")
+    per_label.write.parquet(path)
+    per_label = df.sparkSession.read.schema(per_label.schema).parquet(path)
     feats = summary_from_moments(merge_moments(per_label.drop("_y")))
     labels = (per_label.where(F.col("feature") == columns[0])
               .select(F.col("_y").alias("label"), F.col("rows_w").alias("weight"),

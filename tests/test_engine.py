@@ -168,3 +168,19 @@ def test_routing_through_unordered_categories(spark):
     df, arity, k = _mc_cat(spark, SMALL)
     spec = FeatureSpec(["segment_idx", "status_idx"], arity, "label", k)
     _leaf_counts_match(spark, df, spec)
+
+
+def test_forest_above_the_broadcast_bound_scores_in_chunks(spark, monkeypatch):
+    """Bound of 20 nodes: several chunks of whole trees, equal votes and leaves."""
+    from grove.operators import score as S
+    h = FX.hyperplane(spark, SMALL)
+    m = _est().fit(h)
+    want = m.transform(h, keep=["rk"]).toPandas().sort_values("rk")
+    ids = S.leaf_ids(m, h, keep=["rk"]).toPandas().sort_values("rk")
+    monkeypatch.setattr(S, "MAX_BROADCAST_NODES", 20)
+    assert len(S.tree_chunks(m)) > 1 and sum(S.tree_chunks(m), []) == list(m.trees.tree_id)
+    got = m.transform(h, keep=["rk"]).toPandas().sort_values("rk")
+    for c in ("raw", "probability", "prediction"):
+        assert [list(np.atleast_1d(x)) for x in got[c]] == [list(np.atleast_1d(x)) for x in want[c]]
+    again = S.leaf_ids(m, h, keep=["rk"]).toPandas().sort_values("rk")
+    assert [list(x) for x in again.node_ids] == [list(x) for x in ids.node_ids]

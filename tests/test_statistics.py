@@ -115,3 +115,34 @@ def test_string_index_holds_many_labels(spark):
     assert got == want | {None: 12001.0}
     with pytest.raises(Exception, match="unseen label"):
         string_index(df, "c", "i", index=index)[0].collect()
+
+
+def test_moments_read_the_table_once(spark, tmp_path):
+    rows = [(1e9 + i % 5, float(i % 3), float(i % 2), 1.0 + i % 2) for i in range(200)] + [(None, math.nan, 1.0, 1.0)]
+    frame(spark, rows).repartition(6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    whole, by_label = L.moments(df, ["x", "z"], "w"), L.moments(df, ["x", "z"], "w", ["label"])
+    for m in (whole, by_label, L.merge_moments(by_label.drop("label"))):
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1
+    got = {r.feature: r for r in L.summary_from_moments(L.merge_moments(by_label.drop("label"))).collect()}
+    want = {r.feature: r for r in L.summary_from_moments(whole).collect()}
+    for c in ("count", "mean", "variance", "min", "max", "num_nonzeros", "norm_l1", "norm_l2"):
+        assert got["x"][c] == pytest.approx(want["x"][c], rel=1e-9)
+    xs, ws = [r[0] for r in rows[:-1]], [r[3] for r in rows[:-1]]
+    mean = sum(x * w for x, w in zip(xs, ws)) / sum(ws)
+    assert want["x"]["mean"] == pytest.approx(mean)
+    assert want["x"]["variance"] == pytest.approx(
+        sum(w * (x - mean) ** 2 for x, w in zip(xs, ws)) / (sum(ws) - sum(w * w for w in ws) / sum(ws)), rel=1e-9)
+    assert want["z"]["min"] == 0 and math.isnan(want["z"]["max"]) and math.isnan(want["z"]["mean"])
+
+
+def test_moments_of_nothing_and_of_many_groups(spark, monkeypatch):
+    empty = {r.feature: r for r in L.moments(frame(spark, []), ["x", "z"]).collect()}
+    assert {f: (r.n, r.rows, r.w, r.vmin) for f, r in empty.items()} == {"x": (0, 0, None, None), "z": (0, 0, None, None)}
+    nulls = L.moments(frame(spark, [(None, 1.0, None, 1.0)] * 3), ["x"], group_by=["label"]).first()
+    assert (nulls.n, nulls.rows, nulls.label, nulls.w, nulls.nnz) == (0, 3, None, None, 0.0)
+    monkeypatch.setattr(L, "MAX_HELD_GROUPS", 5)
+    rows = [(float(i), 1.0, float(i % 40), 1.0) for i in range(400)]
+    got = {r.label: (r.n, r.vmin, r.vmax) for r in L.moments(frame(spark, rows), ["x"], group_by=["label"]).collect()}
+    assert got == {float(k): (10, float(k), float(k + 360)) for k in range(40)}
