@@ -138,6 +138,13 @@ def test_histogram_flushing_does_not_change_cells(spark):
     assert len(a) == len(b) and np.allclose(a[["s0", "s1"]].values, b[["s0", "s1"]].values)
 
 
+def test_pending_updates_take_no_more_memory_than_the_buffer():
+    from grove.operators import histogram as Hg
+    assert Hg.flush_entries_for(1280) == Hg.FLUSH_LEAST < 300_000  # five roots: not millions of updates
+    assert Hg.flush_entries_for(1_000_000) == 1_000_000
+    assert Hg.flush_entries_for(1 << 30) == Hg.FLUSH_ENTRIES
+
+
 def _leaf_counts_match(spark, df, spec, **kw):
     from grove.operators.score import leaf_ids
     m = IncrementalForest(spec, ForestParams(num_trees=1, max_depth=3, seed=1, **kw)).fit(df)
