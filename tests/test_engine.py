@@ -145,6 +145,17 @@ def test_pending_updates_take_no_more_memory_than_the_buffer():
     assert Hg.flush_entries_for(1 << 30) == Hg.FLUSH_ENTRIES
 
 
+def test_curves_do_not_compute_the_row_key(spark):
+    from grove.plans.catalog import _bins
+    bins = _bins(spark, SMALL)
+    plan = bins._jdf.queryExecution().optimizedPlan().toString() + "".join(
+        str(r) for r in [bins._jdf.queryExecution().withCachedData().toString()])
+    assert "MapInArrow" in plan and "aggregate(" not in plan  # the hash of key columns folds in ``aggregate``
+    last = bins.orderBy(F.desc("bin")).first()
+    n = FX.hyperplane(spark, SMALL).agg(F.count(F.lit(1)), F.sum("label")).first()
+    assert (last["cum_pos"] + last["cum_neg"], last["cum_pos"]) == tuple(n)
+
+
 def _leaf_counts_match(spark, df, spec, **kw):
     from grove.operators.score import leaf_ids
     m = IncrementalForest(spec, ForestParams(num_trees=1, max_depth=3, seed=1, **kw)).fit(df)
