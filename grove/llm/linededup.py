@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WS, lower_az, stored
+from grove.llm.common import WS, lean, lower_az, sliced, stored
 
 MIN_CHARS = 10
 SEGMENT = 1 << 19  # bits of a filter that travel as one row
@@ -79,6 +79,7 @@ def filter_bits(docs: DataFrame, bits_per_line: int, max_bits: int) -> int:
 
 def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The merged twice filter as packed bits."""
+    @lean("linededup")
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         once, twice = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -143,9 +144,10 @@ def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, bits_per_line: in
     bits = filter_bits(docs, bits_per_line, max_bits)
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, bits, min_chars))
 
+    @lean("linededup")
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
-        for b in batches:
+        for b in sliced(batches):
             ids, keys = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 mine = [k for k in dict.fromkeys(keys_of(t, min_chars)) if k]
@@ -176,8 +178,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits_per_line: int
     joined = docs.join(drops, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
     at = names.index("text")
 
+    @lean("linededup")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, total, gone = [], [], []
             for t, drop in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
                 lines = (t or "").split("\n")

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import WordHashes, mix64, only, shingles, sliced, stored
+from grove.llm.common import WordHashes, lean, mix64, shingles, sliced, stored
 from grove.llm.components import components
 
 SYMBOLS = 256
@@ -136,8 +136,8 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, set_id, sig) of each row."""
     from xxhash import xxh3_128_digest
 
+    @lean("neardup")  # the worker goes on to stages without texts
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("neardup")
         for b in sliced(batches):
             size, ids, sigs = [], [], []
             for t in b.column(1).to_pylist():
@@ -148,7 +148,6 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n_shingles", "set_id", "sig"])
-        _WORDS.known.clear()  # the worker goes on to stages without texts
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_shingles long, set_id binary, sig binary")
@@ -190,6 +189,7 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
         order = np.lexsort((ids[who], keys))
         return ids, sig, keys[order], who[order]
 
+    @lean("neardup")
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Star pairs inside a block."""
         for b in batches:
@@ -201,6 +201,7 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
             ok = close_pairs(sig, a, c, radius)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[c[ok]])], names=["a", "b"])
 
+    @lean("neardup")
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each key of a block once, with its least member, by range."""
         from pyspark import TaskContext
@@ -236,16 +237,19 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
                              "keys": [live.astype("<u8").tobytes()], "first": [first],
                              "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
+    @lean("neardup")
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, "<i8")) for v in (x, y)], names=["a", "b"])
 
+    @lean("neardup")
     def unfold_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8"))], names=["key"])
 
+    @lean("neardup")
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -268,6 +272,7 @@ def bucket_rows(sigs: DataFrame, chunks: int, radius: int) -> tuple[DataFrame, D
     across = across.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(
         sigs.select(F.col("id").alias("b"), F.col("sig").alias("t")), "b").select("a", "b", "s", "t")
 
+    @lean("neardup")
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = distance(_matrix(b.column(2), WIDTH), _matrix(b.column(3), WIDTH)) <= radius
@@ -330,6 +335,7 @@ def candidate_clusters(rows: DataFrame, comps: DataFrame, sigs: DataFrame, radiu
         node, low = np.r_[ids[rt][rows], ids[lt][cols]], np.r_[a[rows], b[cols]]
         return node[node != low], low[node != low]
 
+    @lean("neardup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -363,13 +369,12 @@ def candidate_clusters(rows: DataFrame, comps: DataFrame, sigs: DataFrame, radiu
 
 def sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """Stored (id, s): the packed shingle sets of the rows whose id is in ``needed``."""
+    @lean("neardup")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("neardup")
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([pack_set(shingle_set(t, n)) for t in b.column(1).to_pylist()], pa.binary())],
                 names=["id", "s"])
-        _WORDS.known.clear()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return stored(texts.join(needed, "id", "left_semi").mapInArrow(sets, "id long, s binary"), "near-sets")
@@ -428,6 +433,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, per_cent: int) -> DataF
     both = pairs.join(found.withColumnRenamed("id", "b").withColumnRenamed("s", "t"), "b").join(
         found.withColumnRenamed("id", "a"), "a").select("a", "b", "s", "t")
 
+    @lean("neardup")
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             ok = []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import lower_az, mix64, stored
+from grove.llm.common import lean, lower_az, mix64, sliced, stored
 
 ORDERS = (3, 4, 5, 6)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, n_feature
         bias = {(True, False): 50.0, (False, True): -50.0, (False, False): -50.0}[bool(n.get(1)), bool(n.get(0))]
         return ToxicityModel(np.zeros(0), np.zeros(0), bias)
 
+    @lean("toxicity")
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of each class with an n-gram, combined per task."""
         for b in batches:
@@ -157,8 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, n_feature
     ratios = model.weights.copy()
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
+    @lean("toxicity")
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), b.column(2),
                  pa.array([shared.value.features(t).astype("<i4").tobytes() for t in b.column(0).to_pylist()], pa.binary())],
@@ -188,9 +190,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     at = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             s = np.array([m.score(t) for t in b.column(at).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=[*names, "score", "predicted"])

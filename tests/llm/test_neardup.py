@@ -167,3 +167,21 @@ def test_empty(spark, no_docs):
     assert N.near_duplicates(no_docs).count() == 0
     with pytest.raises(ValueError):
         N.chunks_for(0.1)
+
+
+def test_a_step_leaves_a_small_worker(spark):
+    """Caches of the step's operator and of others are empty once its task ends."""
+    from grove.llm.common import lean
+
+    def step(batches):
+        for b in batches:
+            N._WORDS([b"one", b"two"])
+            yield b
+
+    N._WORDS.known.clear()
+    out = list(lean("neardup")(step)(iter([1, 2])))
+    assert out == [1, 2] and not N._WORDS.known
+    some = lean("neardup")(step)(iter([1, 2]))
+    assert next(some) == 1 and N._WORDS.known
+    some.close()  # a consumer that stops early
+    assert not N._WORDS.known
